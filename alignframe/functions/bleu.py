@@ -1,4 +1,4 @@
-"""BLEU from token arrays, row by row and without a shuffle.
+"""BLEU from n-gram counts.
 
 Score = brevity penalty * exp(mean of ln p_n), n = 1..4 (Papineni et al. 2002). An order without a match gets
 1 / (2^k * total), k counting such orders so far (exponential smoothing, Chen and Cherry 2014).
@@ -12,32 +12,6 @@ from pyspark.sql import functions as F
 MAX_ORDER = 4
 
 
-def _numbered(tokens: str, n: int) -> str:
-    """Every n-gram with the number of its occurrence, so that a plain set intersection clips the counts.
-
-    Sorting brings equal n-grams together; a run that starts at p and ends before q yields copies 1..q-p. Nested
-    lambdas name the sorted grams and the run starts: each is computed once per row.
-    """
-    grams = f"transform(sequence(1, size({tokens}) - {n - 1}), i -> array_join(slice({tokens}, i, {n}), '\u0001'))"
-    starts = "filter(sequence(1, size(grams)), i -> i = 1 OR grams[i - 1] <> grams[i - 2])"
-    copies = """flatten(transform(starts, (p, j) -> transform(
-        sequence(1, coalesce(get(starts, j + 1), size(grams) + 1) - p), k -> concat(grams[p - 1], '\u0002', k))))"""
-    counted = f"transform(array(sort_array({grams})), grams -> transform(array({starts}), starts -> {copies})[0])[0]"
-    return f"CASE WHEN size({tokens}) >= {n} THEN {counted} ELSE cast(array() AS array<string>) END"
-
-
-def ngram_counts(hyp: str, ref: str) -> Column:
-    """``struct(hyp_len, ref_len, matches, totals)`` of one hypothesis against one reference, both token arrays."""
-    orders = range(1, MAX_ORDER + 1)
-    matches = [
-        f"bigint(size(array_intersect({_numbered('pair.h', n)}, {_numbered('pair.r', n)})))" for n in orders
-    ]
-    totals = [f"bigint(greatest(size(pair.h) - {n - 1}, 0))" for n in orders]
-    counts = f"""named_struct('hyp_len', bigint(size(pair.h)), 'ref_len', bigint(size(pair.r)),
-        'matches', array({', '.join(matches)}), 'totals', array({', '.join(totals)}))"""
-    return F.expr(f"transform(array(named_struct('h', {hyp}, 'r', {ref})), pair -> {counts})[0]")
-
-
 def score(hyp_len: Column, ref_len: Column, matches: list[Column], totals: list[Column],
           effective_order: bool = True) -> Column:
     """BLEU in 0..1 from counts of one row or of a whole group.

@@ -302,7 +302,7 @@ def formula_reward(pairs: DataFrame, sim: DataFrame, key: str = "pair_id", pred:
         key, F.col(pred).alias("_pred"), logic.tokens(pred).alias("_hyp"),
         logic.tokens(gold).alias("_ref"),
     )
-    both = sentence_bleu(texts, "_hyp", "_ref", "bleu").join(scores, key)
+    both = sentence_bleu(texts, key, "_hyp", "_ref", ["_pred"]).join(scores, key)
     reward = F.when(F.length("_pred") > logic.MAX_CHARS, F.lit(0.0)).otherwise(
         (F.col("equivalence") + F.col("bleu")) * 0.5
     )
@@ -334,12 +334,12 @@ def preference_reward(completions: DataFrame, formulas: DataFrame, vectors: Data
     return rewarded.select(*completions.columns, F.coalesce("_score", F.lit(0.0)).alias("reward"))
 
 
-def formula_evaluation(scored: DataFrame, score: str = "score", pred: str = "pred", gold: str = "gold",
-                       batch: str = "batch_id") -> DataFrame:
+def formula_evaluation(scored: DataFrame, key: str = "pair_id", score: str = "score", pred: str = "pred",
+                       gold: str = "gold", batch: str = "batch_id") -> DataFrame:
     """``LE, bleu`` of an evaluation set: mean score with all rows in the denominator, batch-weighted BLEU."""
     tokens = scored.select(
-        batch, logic.tokens(pred).alias("_hyp"), logic.tokens(gold).alias("_ref")
+        key, batch, logic.tokens(pred).alias("_hyp"), logic.tokens(gold).alias("_ref")
     )
-    bleu = batch_weighted_bleu(tokens, "_hyp", "_ref", batch).agg(F.first("bleu"))
+    bleu = batch_weighted_bleu(tokens, key, "_hyp", "_ref", batch).agg(F.first("bleu"))
     mean = F.sum(F.coalesce(score, F.lit(0.0))) / F.count(F.lit(1))
     return scored.agg(F.count(F.lit(1)).alias("rows"), mean.alias("LE")).withColumn("bleu", bleu.scalar())

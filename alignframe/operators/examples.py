@@ -103,8 +103,8 @@ def padding_report(df: DataFrame, length: str, batch_size: int, multiple: int =
         "_upto",
     ).withColumns(
         {
-            "_first": F.floor(F.col("_from") / batch_size),
-            "_last": F.floor((F.col("_upto") - 1) / batch_size),
+            "_first": F.expr(f"_from div {batch_size}"),
+            "_last": F.expr(f"(_upto - 1) div {batch_size}"),
         }
     )
     # A length shared by very many rows reaches very many batches: list them in pieces, in many tasks.

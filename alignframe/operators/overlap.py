@@ -7,44 +7,75 @@ from pyspark.sql import functions as F
 
 from alignframe.functions import bleu
 
+_ORDERS = range(1, bleu.MAX_ORDER + 1)
+_COUNTS = ["hyp_len", "ref_len", *[f"match_{n}" for n in _ORDERS], *[f"total_{n}" for n in _ORDERS]]
 
-def _pick(array: str) -> list[Column]:
-    return [F.get(array, F.lit(i)) for i in range(bleu.MAX_ORDER)]
 
+def ngram_counts(df: DataFrame, key: str, hyp: str, ref: str, keep: list[str] | None = None) -> DataFrame:
+    """Lengths, clipped matches and totals per row; ``key`` is unique, ``keep`` names further columns of the row.
 
-def sentence_bleu(df: DataFrame, hyp: str, ref: str, out: str = "bleu") -> DataFrame:
-    """BLEU of every row, from two token columns."""
-    counted = df.withColumn("_ngrams", bleu.ngram_counts(hyp, ref))
-    score = bleu.score(
-        F.col("_ngrams.hyp_len"), F.col("_ngrams.ref_len"), _pick("_ngrams.matches"), _pick("_ngrams.totals")
+    The token arrays shuffle once, on the key. Their n-grams, many times larger, are counted where they are: both
+    aggregates group by the key and need no exchange of their own. Order 0 stands for the length of a side.
+    """
+    keys = [key, *(keep or [])]
+    side = lambda c: f"coalesce({c}, cast(array() AS array<string>))"
+    sides = df.repartition(key).select(
+        *keys,
+        F.expr(
+            f"inline(array(named_struct('_hyp', 1, '_tokens', {side(hyp)}), named_struct('_hyp', 0, '_tokens', {side(ref)})))"
+        ),
     )
-    return counted.withColumn(out, score).drop("_ngrams")
+    grams = f"""transform(sequence(1, {bleu.MAX_ORDER}), n -> CASE WHEN size(_tokens) >= n THEN
+        transform(sequence(1, size(_tokens) - n + 1), i -> named_struct(
+            '_n', n, '_gram', array_join(slice(_tokens, i, n), '\u0001'), '_uses', 1))
+        ELSE array() END)"""
+    length = "array(named_struct('_n', 0, '_gram', '', '_uses', size(_tokens)))"
+    placed = sides.select(*keys, "_hyp", F.expr(f"inline(concat({length}, flatten({grams})))"))
+    uses = placed.groupBy(*keys, "_n", "_gram").agg(
+        F.sum(F.col("_uses") * F.col("_hyp")).alias("_h"), F.sum(F.col("_uses") * (1 - F.col("_hyp"))).alias("_r")
+    )
+    of_order = lambda n, v: F.sum(F.when(F.col("_n") == n, v).otherwise(0))
+    rows = uses.groupBy(*keys).agg(
+        of_order(0, F.col("_h")).alias("hyp_len"),
+        of_order(0, F.col("_r")).alias("ref_len"),
+        *[of_order(n, F.least("_h", "_r")).alias(f"match_{n}") for n in _ORDERS],
+    )
+    return rows.withColumns({f"total_{n}": F.greatest(F.col("hyp_len") - (n - 1), F.lit(0)) for n in _ORDERS})
 
 
-def corpus_bleu(df: DataFrame, hyp: str, ref: str, group: list[str], effective_order: bool = True,
-                out: str = "bleu") -> DataFrame:
-    """BLEU per group: counts are summed first (map-side), then combined once."""
-    counted = df.select(*group, bleu.ngram_counts(hyp, ref).alias("_ngrams"))
-    orders = range(bleu.MAX_ORDER)
-    sums = counted.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum("_ngrams.hyp_len").alias("_h"),
-        F.sum("_ngrams.ref_len").alias("_r"),
-        *[F.sum(F.col("_ngrams.matches")[i]).alias(f"_m{i}") for i in orders],
-        *[F.sum(F.col("_ngrams.totals")[i]).alias(f"_t{i}") for i in orders],
-    )
-    score = bleu.score(
-        F.col("_h"), F.col("_r"), [F.col(f"_m{i}") for i in orders], [F.col(f"_t{i}") for i in orders],
+def _score(effective_order: bool = True) -> Column:
+    return bleu.score(
+        F.col("hyp_len"),
+        F.col("ref_len"),
+        [F.col(f"match_{n}") for n in _ORDERS],
+        [F.col(f"total_{n}") for n in _ORDERS],
         effective_order,
     )
-    return sums.select(*group, "rows", score.alias(out))
 
 
-def batch_weighted_bleu(df: DataFrame, hyp: str, ref: str, batch: str, group: list[str] | None = None,
+def sentence_bleu(df: DataFrame, key: str, hyp: str, ref: str, keep: list[str] | None = None,
+                  out: str = "bleu") -> DataFrame:
+    """``key``, the kept columns and the BLEU of every row."""
+    counted = ngram_counts(df, key, hyp, ref, keep)
+    return counted.select(key, *(keep or []), _score().alias(out))
+
+
+def corpus_bleu(df: DataFrame, key: str, hyp: str, ref: str, group: list[str], effective_order: bool = True,
+                out: str = "bleu") -> DataFrame:
+    """BLEU per group: counts of rows are summed (map-side first), then combined once."""
+    sums = (
+        ngram_counts(df, key, hyp, ref, group)
+        .groupBy(*group)
+        .agg(F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(c) for c in _COUNTS])
+    )
+    return sums.select(*group, "rows", _score(effective_order).alias(out))
+
+
+def batch_weighted_bleu(df: DataFrame, key: str, hyp: str, ref: str, batch: str, group: list[str] | None = None,
                         effective_order: bool = True, out: str = "bleu") -> DataFrame:
     """Corpus BLEU of each batch, averaged with the rows as weights."""
     group = group or []
-    scored = corpus_bleu(df, hyp, ref, [*group, batch], effective_order, "_bleu")
+    scored = corpus_bleu(df, key, hyp, ref, [*group, batch], effective_order, "_bleu")
     weighted = F.sum(F.col("_bleu") * F.col("rows")) / F.sum("rows")
     return scored.groupBy(*group).agg(F.sum("rows").alias("rows"), weighted.alias(out))
 

@@ -31,11 +31,11 @@ def with_position(df: DataFrame, order: list[Column | str], name: str = "positio
 
 
 def running_total(df: DataFrame, order: str, value: str, name: str, width: int = 4096) -> DataFrame:
-    """Running sum along a whole-number column with one row per value.
+    """Running sum along a column of whole numbers from 0 with one row per value.
 
     Rows are summed inside blocks of ``width`` values; only the block totals meet in one task.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(order) / width))
+    blocked = df.withColumn("_block", F.expr(f"{order} div {width}"))
     totals = blocked.groupBy("_block").agg(F.sum(value).alias("_total"))
     earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select("_block", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))

@@ -20,6 +20,11 @@ def lookup(rows: DataFrame, table: DataFrame, on: list[str], take: list[str],
     only moves work, the result does not depend on it. ``weight`` names a column of ``table`` that already holds
     the number of rows per key; without it the keys of ``rows`` are counted, with map-side combine.
     """
+    # Both uses of the table below are kept alike, so that Spark computes its shuffle once and reads it twice.
+    for c in on:
+        table = table.where(F.col(c).isNotNull())
+    taken = F.struct(*take, *([weight] if weight and weight not in take else []))
+
     if weight is None:
         counted = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
         hottest = counted.orderBy(F.desc("_n"), *on).limit(hot_keys).select(*on)
@@ -29,7 +34,7 @@ def lookup(rows: DataFrame, table: DataFrame, on: list[str], take: list[str],
 
     hot = hot.select(
         *[F.col(c).alias(f"_h_{c}") for c in on],
-        F.struct(*take).alias("_hot"),
+        taken.alias("_hot"),
         F.lit(True).alias("_is_hot"),
     )
     matched = rows.join(F.broadcast(hot), _all([F.col(c) == F.col(f"_h_{c}") for c in on]), "left")
@@ -46,9 +51,9 @@ def lookup(rows: DataFrame, table: DataFrame, on: list[str], take: list[str],
     )
     others = table.select(
         *[F.col(c).alias(f"_o_{c}") for c in on],
-        F.struct(*take).alias("_other"),
+        taken.alias("_other"),
         # Always 0, but not a constant to the optimizer: a constant would drop out of the join key.
-        F.pmod(F.hash(*on), F.lit(1)).alias("_zero"),
+        F.coalesce(F.pmod(F.hash(*on), F.lit(1)), F.lit(0)).alias("_zero"),
     )
     same = [F.col(f"_k_{c}") == F.col(f"_o_{c}") for c in on] + [F.col("_deal") == F.col("_zero")]
     joined = dealt.join(others, _all(same), "left")

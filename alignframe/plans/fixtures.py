@@ -131,7 +131,7 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pref_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring documents as two responses; a response without a label has no safety flag."""
-    docs = _labelled(spark, sf_dir).withColumn("pair_id", F.floor(F.col("doc_id") / 2))
+    docs = _labelled(spark, sf_dir).withColumn("pair_id", F.expr("doc_id div 2"))
     side = lambda k: docs.where(F.col("doc_id") % 2 == k).select(
         "pair_id",
         F.col("text").alias(f"response_{k}"),
@@ -198,7 +198,7 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bitext(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbouring documents as source and reference."""
-    docs = table(spark, sf_dir, "documents").withColumn("pair_id", F.floor(F.col("doc_id") / 2))
+    docs = table(spark, sf_dir, "documents").withColumn("pair_id", F.expr("doc_id div 2"))
     side = lambda k, name: docs.where(F.col("doc_id") % 2 == k).select("pair_id", F.col("text").alias(name))
     return side(0, "src").join(side(1, "ref"), "pair_id")
 
@@ -208,7 +208,7 @@ def token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitext(spark, sf_dir).select(
         "pair_id",
         F.when(F.col("pair_id") % 2 == 0, "forward").otherwise("backward").alias("direction"),
-        F.floor(F.col("pair_id") / 16).alias("batch_id"),
+        F.expr("pair_id div 16").alias("batch_id"),
         words("src").alias("hyp"),
         words("ref").alias("ref"),
     )

@@ -265,8 +265,9 @@ def f1(spark, d):
 
 @query("f2_by_direction")
 def f2(spark, d):
-    scored = overlap.sentence_bleu(fx.token_pairs(spark, d), "hyp", "ref")
-    metrics = {"bleu": r6(F.avg("bleu")), "best": r6(F.max("bleu")), "tokens": F.sum(F.size("hyp").cast("bigint"))}
+    pairs = fx.token_pairs(spark, d).withColumn("length", F.size("hyp").cast("bigint"))
+    scored = overlap.sentence_bleu(pairs, "pair_id", "hyp", "ref", ["direction", "length"])
+    metrics = {"bleu": r6(F.avg("bleu")), "best": r6(F.max("bleu")), "tokens": F.sum("length")}
     return bitext.by_direction(scored, metrics)
 
 
@@ -275,23 +276,23 @@ def f2(spark, d):
 
 @query("g1_sentence_bleu")
 def g1(spark, d):
-    return overlap.sentence_bleu(fx.token_pairs(spark, d), "hyp", "ref").select("pair_id", r6("bleu").alias("bleu"))
+    return overlap.sentence_bleu(fx.token_pairs(spark, d), "pair_id", "hyp", "ref").select("pair_id", r6("bleu").alias("bleu"))
 
 
 @query("g2_corpus_bleu")
 def g2(spark, d):
-    return overlap.corpus_bleu(fx.token_pairs(spark, d), "hyp", "ref", ["direction"]).withColumn("bleu", r6("bleu"))
+    return overlap.corpus_bleu(fx.token_pairs(spark, d), "pair_id", "hyp", "ref", ["direction"]).withColumn("bleu", r6("bleu"))
 
 
 @query("g3_batch_weighted_bleu")
 def g3(spark, d):
-    scored = overlap.batch_weighted_bleu(fx.token_pairs(spark, d), "hyp", "ref", "batch_id", ["direction"])
+    scored = overlap.batch_weighted_bleu(fx.token_pairs(spark, d), "pair_id", "hyp", "ref", "batch_id", ["direction"])
     return scored.withColumn("bleu", r6("bleu"))
 
 
 @query("g4_blend_scores")
 def g4(spark, d):
-    scored = overlap.sentence_bleu(fx.token_pairs(spark, d), "hyp", "ref")
+    scored = overlap.sentence_bleu(fx.token_pairs(spark, d), "pair_id", "hyp", "ref")
     with_quality = scored.withColumn("quality", (F.col("pair_id") % 10) / 10)
     return overlap.blend_scores(with_quality, ["bleu", "quality"]).select("pair_id", r6("score").alias("score"))
 
@@ -437,7 +438,7 @@ def h11(spark, d):
 @query("h12_formula_evaluation")
 def h12(spark, d):
     scored = fx.formula_pairs(spark, d).join(_scored_formulas(spark, d).select("pair_id", "score"), "pair_id")
-    batched = scored.withColumn("batch_id", F.floor(F.col("pair_id") / 16))
+    batched = scored.withColumn("batch_id", F.expr("pair_id div 16"))
     return equivalence.formula_evaluation(batched).select("rows", r6("LE").alias("LE"), r6("bleu").alias("bleu"))
 
 
@@ -460,7 +461,7 @@ def i1(spark, d):
 @query("i1_drop_consecutive")
 def i1_consecutive(spark, d):
     orders = fx.table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.lit(0).alias("one"))
-    block = F.floor(F.col("o_orderkey") / 4096)
+    block = F.expr("o_orderkey div 4096")
     kept = rollouts.drop_consecutive(orders, ["one"], "o_orderstatus", "o_orderkey", block)
     return kept.select("o_orderkey", "o_orderstatus")
 
@@ -531,7 +532,7 @@ def i9(spark, d):
 @query("i10_tokens_seen")
 def i10(spark, d):
     masked = rollouts.completion_mask(fx.completions(spark, d), "ids", 0)
-    return rollouts.tokens_seen(masked.withColumn("step", F.floor(F.col("prompt_id") / 16)), "step", "length")
+    return rollouts.tokens_seen(masked.withColumn("step", F.expr("prompt_id div 16")), "step", "length")
 
 
 @query("m1_apply_rewards")

@@ -23,7 +23,7 @@ def lookup(rows: DataFrame, table: DataFrame, on: list[str], take: list[str],
     # Both uses of the table below are kept alike, so that Spark computes its shuffle once and reads it twice.
     for c in on:
         table = table.where(F.col(c).isNotNull())
-    taken = F.struct(*take, *([weight] if weight and weight not in take else []))
+    taken = F.struct(*[c for c in table.columns if c in take or c == weight])
 
     if weight is None:
         counted = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))

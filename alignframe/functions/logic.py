@@ -119,21 +119,17 @@ def _well_formed(codes: str) -> str:
     return rf"NOT ({shape} RLIKE r'[L)][Ln(]|[\^o(n][o)$]|nn|x') AND {depth} = 0"
 
 
-def postfix(c: str) -> Column:
-    """Evaluation order: literal numbers (>= 0) and negative operator codes; NULL when not well formed.
+def parsed(c: str) -> Column:
+    """``struct(lits, ord)``: literals, and the evaluation order or NULL when the formula is not well formed.
 
-    A pair of parentheses only lifts the strength of the operators inside it. With that the pending operators stay
-    sorted by strength, and an arriving operator releases exactly those that bind at least as tightly. A pending
-    entry is 64 * depth + 8 * strength + code.
+    The order consists of literal numbers (>= 0) and negative operator codes. A pair of parentheses only lifts the
+    strength of the operators inside it. With that the pending operators stay sorted by strength, and an arriving
+    operator releases exactly those that bind at least as tightly. A pending entry is 64 * depth + 8 * strength + code.
     """
-    codes = _let(
-        "atoms_of",
-        "atoms",
-        f"""transform(units, t -> CASE
-            WHEN array_position(atoms, t) > 0 THEN int(array_position(atoms, t)) - 1
-            WHEN length(t) = 1 AND contains('{_OPERATORS}()', t) THEN -instr('{_OPERATORS}()', t)
-            ELSE {_STRAY} END)""",
-    ).replace("atoms_of", _atoms("units"))
+    codes = f"""transform(units, t -> CASE
+        WHEN array_position(atoms, t) > 0 THEN int(array_position(atoms, t)) - 1
+        WHEN length(t) = 1 AND contains('{_OPERATORS}()', t) THEN -instr('{_OPERATORS}()', t)
+        ELSE {_STRAY} END)"""
     state = "named_struct('depth', {0}, 'out', {1}, 'pending', {2})".format
     empty = "cast(array() AS array<int>)"
     entry = f"(64 * acc.depth + 8 * element_at({_STRENGTHS}, -t) - t)"
@@ -152,7 +148,13 @@ def postfix(c: str) -> Column:
         "acc -> concat(acc.out, transform(reverse(acc.pending), e -> -(e % 8))))"
     )
     guarded = f"CASE WHEN {_well_formed('codes')} THEN {ordered} END"
-    return F.expr(_let(_units(c), "units", _let(codes, "codes", guarded)))
+    result = f"named_struct('lits', atoms, 'ord', {_let(codes, 'codes', guarded)})"
+    return F.expr(_let(_units(c), "units", _let(_atoms("units"), "atoms", result)))
+
+
+def postfix(c: str) -> Column:
+    """The evaluation order alone."""
+    return parsed(c)["ord"]
 
 
 def _truth_mask(order: str, variables: str) -> str:

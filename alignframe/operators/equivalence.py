@@ -9,7 +9,7 @@ from alignframe.functions import logic
 from alignframe.functions.text import let
 from alignframe.operators.overlap import batch_weighted_bleu, sentence_bleu
 from alignframe.operators.skew import lookup, salted_lookup
-from alignframe.session import cut
+from alignframe.session import cut, spread
 
 # A 64-bit mask covers six variables; 2^12 blocks, so 18 variables, make one unit of work.
 _MASK_VARIABLES = 6
@@ -117,11 +117,11 @@ def truth_agreement(bound: DataFrame, keys: list[str], carry: list[str] | None =
     carry = carry or []
     blocks = F.expr(f"shiftleft(1L, greatest(variables - {_MASK_VARIABLES}, 0))")
     per_row = F.lit(1 << _BLOCK_BITS).cast("bigint")
-    spread = bound.withColumn("_blocks", blocks).select(
+    pieces = bound.withColumn("_blocks", blocks).select(
         *keys, *carry, "variables", "_blocks", "gold_order", "gold_vars", "pred_order", "pred_vars",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1, per_row)).alias("_first"),
-    ).repartition(*keys, "_first")
-    agreed = spread.withColumn("_last", F.least("_blocks", F.col("_first") + per_row) - 1).select(
+    )
+    agreed = spread(pieces, *keys, "_first").withColumn("_last", F.least("_blocks", F.col("_first") + per_row) - 1).select(
         *keys, *carry, "_blocks",
         logic.agreeing_bits(
             "gold_order", "gold_vars", "pred_order", "pred_vars", "variables", "_first", "_last"
@@ -134,22 +134,23 @@ def truth_agreement(bound: DataFrame, keys: list[str], carry: list[str] | None =
 def _parsed(pairs: DataFrame, key: str, pred: str, gold: str) -> DataFrame:
     """Pairs worth a truth table: within the size budget on both sides and well formed."""
     fits = logic.in_budget(pred) & logic.in_budget(gold)
-    read = F.struct(
-        F.col(key).alias(key),
-        logic.postfix(gold).alias("gold_order"),
-        logic.postfix(pred).alias("pred_order"),
-        logic.literals(gold).alias("gold_lits"),
-        logic.literals(pred).alias("pred_lits"),
+    read = F.struct(F.col(key).alias(key), logic.parsed(gold).alias("g"), logic.parsed(pred).alias("p"))
+    whole = F.filter(F.array(read), lambda f: f["g"]["ord"].isNotNull() & f["p"]["ord"].isNotNull())
+    # Reading is heavy and rows are short. inline() keeps the filter on the result from reading them twice.
+    formulas = spread(pairs.where(fits).select(key, pred, gold), key).select(F.inline(whole))
+    return formulas.select(
+        key,
+        F.col("g.ord").alias("gold_order"),
+        F.col("p.ord").alias("pred_order"),
+        F.col("g.lits").alias("gold_lits"),
+        F.col("p.lits").alias("pred_lits"),
     )
-    whole = F.filter(F.array(read), lambda f: f["gold_order"].isNotNull() & f["pred_order"].isNotNull())
-    # inline() keeps the filter on the result from reading the formulas twice.
-    return pairs.where(fits).select(F.inline(whole))
 
 
 def formula_similarity(pairs: DataFrame, key: str = "pair_id", pred: str = "pred", gold: str = "gold",
                        method: str = "vectors", vectors: DataFrame | None = None) -> DataFrame:
     """``literal_similarity`` of the pairs that will be scored."""
-    fits = pairs.where(logic.in_budget(pred) & logic.in_budget(gold))
+    fits = spread(pairs.where(logic.in_budget(pred) & logic.in_budget(gold)).select(key, pred, gold), key)
     return literal_similarity(
         formula_literals(fits, key, pred), formula_literals(fits, key, gold), key, method, vectors
     )

@@ -7,21 +7,23 @@ from pyspark.sql import functions as F
 
 from alignframe.functions.text import hash_bucket, words
 from alignframe.operators.ranking import running_total, with_position
-from alignframe.operators.skew import salted_lookup
+from alignframe.operators.skew import lookup
 
 IGNORED_LABEL = -100
 EOS_ID = 0
 UNKNOWN_ID = -1
 _BUCKETS = 1_000_000
+# Word frequencies are steep: this many words cover most of a text, and take a few megabytes to broadcast.
+_HOT_WORDS = 1 << 16
 _BATCHES_PER_TASK = 1 << 16
 
 
 def build_vocabulary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``token, token_id``: ids from 1 by falling count, then by token; 0 is the end mark."""
+    """``token, token_id, uses``: ids from 1 by falling count, then by token; 0 is the end mark."""
     tokens = df.select(F.explode(F.flatten(F.array(*[words(c) for c in columns]))).alias("token"))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
     ranked = with_position(counts, [F.desc("uses"), F.col("token")], "rank")
-    return ranked.select("token", (F.col("rank") + 1).alias("token_id"))
+    return ranked.select("token", (F.col("rank") + 1).alias("token_id"), "uses")
 
 
 def supervised_examples(df: DataFrame, key: str, prompt: str, answer: str, vocab: DataFrame,
@@ -36,7 +38,7 @@ def supervised_examples(df: DataFrame, key: str, prompt: str, answer: str, vocab
         F.size("_p").alias("_prompt_len"),
         F.posexplode_outer(F.concat("_p", "_a")).alias("_pos", "token"),
     )
-    coded = salted_lookup(placed, vocab, ["token"], ["token_id"])
+    coded = lookup(placed, vocab, ["token"], ["token_id"], weight="uses", hot_keys=_HOT_WORDS)
     # One group is one example.
     gathered = coded.groupBy(key).agg(
         F.first("_prompt_len").alias("_prompt_len"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alignframe.functions import bleu
+from alignframe.session import spread
 
 _ORDERS = range(1, bleu.MAX_ORDER + 1)
 _COUNTS = ["hyp_len", "ref_len", *[f"match_{n}" for n in _ORDERS], *[f"total_{n}" for n in _ORDERS]]
@@ -19,7 +20,7 @@ def ngram_counts(df: DataFrame, key: str, hyp: str, ref: str, keep: list[str] |
     """
     keys = [key, *(keep or [])]
     side = lambda c: f"coalesce({c}, cast(array() AS array<string>))"
-    sides = df.repartition(key).select(
+    sides = spread(df.select(*keys, hyp, ref), key).select(
         *keys,
         F.expr(
             f"inline(array(named_struct('_hyp', 1, '_tokens', {side(hyp)}), named_struct('_hyp', 0, '_tokens', {side(ref)})))"

@@ -31,3 +31,12 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows from the shared folder: later steps neither plan nor compute the earlier ones again."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into as many tasks as the session uses, for work that is heavy per row.
+
+    Adaptive execution sizes tasks by bytes and would gather small rows in few tasks; a stated number prevents that.
+    """
+    tasks = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    return df.repartition(int(tasks), *keys) if tasks.isdigit() else df.repartition(*keys)

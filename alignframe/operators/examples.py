@@ -19,11 +19,11 @@ _BATCHES_PER_TASK = 1 << 16
 
 
 def build_vocabulary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``token, token_id, uses``: ids from 1 by falling count, then by token; 0 is the end mark."""
+    """``token, token_id``: ids from 1 by falling count, then by token; 0 is the end mark."""
     tokens = df.select(F.explode(F.flatten(F.array(*[words(c) for c in columns]))).alias("token"))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
     ranked = with_position(counts, [F.desc("uses"), F.col("token")], "rank")
-    return ranked.select("token", (F.col("rank") + 1).alias("token_id"), "uses")
+    return ranked.select("token", (F.col("rank") + 1).alias("token_id"))
 
 
 def supervised_examples(df: DataFrame, key: str, prompt: str, answer: str, vocab: DataFrame,
@@ -38,7 +38,8 @@ def supervised_examples(df: DataFrame, key: str, prompt: str, answer: str, vocab
         F.size("_p").alias("_prompt_len"),
         F.posexplode_outer(F.concat("_p", "_a")).alias("_pos", "token"),
     )
-    coded = lookup(placed, vocab, ["token"], ["token_id"], weight="uses", hot_keys=_HOT_WORDS)
+    # Ids are ranks by frequency, so the first ones are the hot words.
+    coded = lookup(placed, vocab, ["token"], ["token_id"], hot_where=F.col("token_id") <= _HOT_WORDS)
     # One group is one example.
     gathered = coded.groupBy(key).agg(
         F.first("_prompt_len").alias("_prompt_len"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alignframe.functions.text import col
+from alignframe.functions.text import col, number
+from alignframe.operators.skew import lookup
 from alignframe.session import cut
 
 
@@ -63,9 +64,8 @@ def group_quantile(df: DataFrame, group: str, value: str, q: float, name: str) -
     Values are first counted in logarithmic bins (map-side combine). Only the one or two bins that hold the wanted
     ranks are read again, and there equal values collapse to a count before they are ordered.
     """
-    rows = df.where(F.col(value).isNotNull()).select(
-        group, F.col(value).cast("double").alias("_v"), _bin(F.col(value).cast("double")).alias("_bin")
-    )
+    values = df.select(group, number(value).alias("_v")).where(F.col("_v").isNotNull())
+    rows = values.withColumn("_bin", _bin(F.col("_v")))
     bins = rows.groupBy(group, "_bin").agg(F.count(F.lit(1)).alias("_n"))
     in_bins = Window.partitionBy(group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     ranked = bins.withColumn("_upto", F.sum("_n").over(in_bins)).withColumn(
@@ -74,16 +74,22 @@ def group_quantile(df: DataFrame, group: str, value: str, q: float, name: str) -
     rank = (F.col("_all") - 1) * F.lit(float(q))
     low, high = F.floor(rank), F.ceil(rank)
     holds = lambda r: (F.col("_before") <= r) & (r < F.col("_upto"))
-    wanted = (
-        ranked.withColumn("_before", F.col("_upto") - F.col("_n"))
-        .where(holds(low) | holds(high))
-        .select(group, "_bin", "_before", low.alias("_low"), high.alias("_high"), (rank - low).alias("_part"))
+    ranked = ranked.withColumn("_before", F.col("_upto") - F.col("_n"))
+    of = lambda c, r: F.max(F.when(holds(r), F.col(c)))
+    wanted = ranked.groupBy(group, "_all").agg(
+        of("_bin", low).alias("_low_bin"),
+        of("_before", low).alias("_low_before"),
+        of("_bin", high).alias("_high_bin"),
+        of("_before", high).alias("_high_before"),
     )
-    values = (
-        rows.join(wanted, [group, "_bin"])
-        .groupBy(group, "_bin", "_before", "_low", "_high", "_part", "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
+    columns = ["_all", "_low_bin", "_low_before", "_high_bin", "_high_before"]
+    near = lookup(rows, wanted, [group], columns, weight="_all").where(
+        (F.col("_bin") == F.col("_low_bin")) | (F.col("_bin") == F.col("_high_bin"))
     )
+    before = F.when(F.col("_bin") == F.col("_low_bin"), F.col("_low_before")).otherwise(F.col("_high_before"))
+    values = near.groupBy(
+        group, "_bin", before.alias("_before"), low.alias("_low"), high.alias("_high"), (rank - low).alias("_part"), "_v"
+    ).agg(F.count(F.lit(1)).alias("_n"))
     in_bin = Window.partitionBy(group, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     placed = values.withColumn("_to", F.col("_before") + F.sum("_n").over(in_bin)).withColumn(
         "_from", F.col("_to") - F.col("_n")

@@ -12,20 +12,23 @@ SALTS = 32
 
 
 def lookup(rows: DataFrame, table: DataFrame, on: list[str], take: list[str],
-           weight: str | None = None, hot_keys: int = HOT_KEYS) -> DataFrame:
+           weight: str | None = None, hot_keys: int = HOT_KEYS, hot_where: Column | None = None) -> DataFrame:
     """Left join of ``rows`` to ``table``, which has one row per ``on``.
 
     The most frequent keys are broadcast, so their rows need no partner from the shuffle. Those rows, and rows with
     a NULL key, are dealt out by the task that produced them; all others shuffle on the key. The choice of hot keys
     only moves work, the result does not depend on it. ``weight`` names a column of ``table`` that already holds
-    the number of rows per key; without it the keys of ``rows`` are counted, with map-side combine.
+    the number of rows per key; without it the keys of ``rows`` are counted, with map-side combine. ``hot_where`` names
+    the hot rows of a table that is ranked already; it must hold for a bounded number of them.
     """
     # Both uses of the table below are kept alike, so that Spark computes its shuffle once and reads it twice.
     for c in on:
         table = table.where(F.col(c).isNotNull())
     taken = F.struct(*[c for c in table.columns if c in take or c == weight])
 
-    if weight is None:
+    if hot_where is not None:
+        hot = table.where(hot_where)
+    elif weight is None:
         counted = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
         hottest = counted.orderBy(F.desc("_n"), *on).limit(hot_keys).select(*on)
         hot = table.join(F.broadcast(hottest), on, "left_semi")

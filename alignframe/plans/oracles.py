@@ -551,6 +551,45 @@ ORACLES |= {
         FROM formula_pairs WHERE {_bucket('pair_id', 2, 1_000_000)} >= 200000""",
     ),
 }
+
+def _reduced(text: str, passes: int = 14) -> str:
+    """A formula over T, F and connectives, rewritten until one letter is left; the guards keep the binding order."""
+    for _ in range(passes):
+        text = rf"regexp_replace({text}, '\(([TF])\)', '\1', 'g')"
+        for a, b in (("¬T", "F"), ("¬F", "T"), ("T∧T", "T"), ("T∧F", "F"), ("F∧T", "F"), ("F∧F", "F")):
+            text = f"replace({text}, '{a}', '{b}')"
+        for before, true, false, after in (
+            ("[(→↔]", "T∨T|T∨F|F∨T|T⊕F|F⊕T", "F∨F|T⊕T|F⊕F", "[)∨⊕→↔]"),
+            ("[(→↔]", "T→T|F→T|F→F", "T→F", "[)↔]"),
+            (r"\(", "T↔T|F↔F", "T↔F|F↔T", "[)↔]"),
+        ):
+            for cases, value in ((true, "T"), (false, "F")):
+                text = rf"regexp_replace({text}, '(^|{before})(?:{cases})($|{after})', '\1{value}\2', 'g')"
+    return text
+
+
+def _assigned(side: str) -> str:
+    """The formula with the truth values of assignment ``a``: literal number ``pos`` is bit ``pos``."""
+    return rf"""list_reduce({side}_l, lambda s, l: replace(s, l,
+        CASE WHEN (a >> (list_position({side}_l, l) - 1)::BIGINT) & 1 = 1 THEN 'T' ELSE 'F' END), {side}_m)"""
+
+
+ORACLES["h6_truth_agreement"] = _with(
+    "formula_pairs pred_lits gold_lits",
+    f""", small AS (SELECT pair_id, replace({_MATRIX.format('gold')}, ' ', '') AS g_m,
+            replace({_MATRIX.format('pred')}, ' ', '') AS p_m FROM formula_pairs
+        WHERE {' AND '.join(
+            f"length({c}) <= 180 AND len(regexp_extract_all({c}, '∧')) <= 5 AND len(regexp_extract_all({c}, '∨')) <= 5"
+            for c in ('gold', 'pred'))}),
+        lists AS (SELECT *, unnest(range((2 ** greatest(len(g_l), len(p_l)))::BIGINT)) AS a FROM small
+            JOIN (SELECT pair_id, list(literal ORDER BY pos) AS g_l FROM gold_lits GROUP BY 1) USING (pair_id)
+            JOIN (SELECT pair_id, list(literal ORDER BY pos) AS p_l FROM pred_lits GROUP BY 1) USING (pair_id)),
+        assigned AS (SELECT pair_id, {_assigned('g')} AS g, {_assigned('p')} AS p FROM lists),
+        texts AS (SELECT DISTINCT g AS t FROM assigned UNION SELECT p FROM assigned),
+        known AS MATERIALIZED (SELECT t, {_reduced('t')} AS v FROM texts)
+        SELECT pair_id, round(avg(CASE WHEN x.v = y.v THEN 1.0 ELSE 0.0 END), 6) AS score FROM assigned
+        JOIN known x ON x.t = g JOIN known y ON y.t = p WHERE x.v IN ('T', 'F') AND y.v IN ('T', 'F') GROUP BY pair_id""",
+).replace(") , small AS", "), small AS")
 ORACLES["m2_task_translation"] = (
     "SELECT seq, direction, prompt FROM (" + ORACLES["f1_bidirectional"] + ")"
 )

@@ -568,19 +568,94 @@ def _reduced(text: str, passes: int = 14) -> str:
     return text
 
 
-def _assigned(side: str) -> str:
-    """The formula with the truth values of assignment ``a``: literal number ``pos`` is bit ``pos``."""
+def _assigned(side: str, variable: str = "(list_position({0}_l, l) - 1)") -> str:
+    """The formula with the truth values of assignment ``a``: a literal's variable is its bit."""
     return rf"""list_reduce({side}_l, lambda s, l: replace(s, l,
-        CASE WHEN (a >> (list_position({side}_l, l) - 1)::BIGINT) & 1 = 1 THEN 'T' ELSE 'F' END), {side}_m)"""
+        CASE WHEN (a >> {variable.format(side)}::BIGINT) & 1 = 1 THEN 'T' ELSE 'F' END), {side}_m)"""
+
+
+_SMALL = f"""SELECT pair_id, replace({_MATRIX.format('gold')}, ' ', '') AS g_m,
+    replace({_MATRIX.format('pred')}, ' ', '') AS p_m FROM formula_pairs
+    WHERE {' AND '.join(
+        f"length({c}) <= 180 AND len(regexp_extract_all({c}, '∧')) <= 5 AND len(regexp_extract_all({c}, '∨')) <= 5"
+        for c in ('gold', 'pred'))}"""
+
+# Claims, then one digit of the binding number per claimed prediction, then variables of all predictions.
+_CTE |= {
+    "best": """SELECT pair_id, gold_pos, pred_pos, similarity FROM similarity QUALIFY row_number() OVER (
+        PARTITION BY pair_id, gold_pos ORDER BY greatest(similarity, 0) DESC, pred_pos) = 1""",
+    "claimed": """SELECT pair_id, pred_pos, list(gold_pos ORDER BY gold_pos) AS golds, count(*) AS n,
+        min(gold_pos) AS first FROM best GROUP BY ALL""",
+    "digits": """SELECT *, coalesce(product(n) OVER (PARTITION BY pair_id ORDER BY first
+        ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1)::BIGINT AS weight FROM claimed""",
+    "ways": """SELECT pair_id, unnest(range(product(n)::BIGINT)) AS binding_id FROM claimed GROUP BY pair_id""",
+    "kept": """SELECT pair_id, binding_id, pred_pos, golds[1 + (binding_id // weight) % n] AS gold_pos
+        FROM ways JOIN digits USING (pair_id)""",
+    "sizes": """SELECT pair_id, list(literal ORDER BY pos) AS g_l FROM gold_lits GROUP BY 1""",
+    "pred_side": """SELECT w.pair_id, w.binding_id, p.pos, p.literal, k.gold_pos,
+        CASE WHEN k.gold_pos IS NULL THEN len(g_l) - 1 + sum(CASE WHEN k.gold_pos IS NULL THEN 1 ELSE 0 END)
+            OVER (PARTITION BY w.pair_id, w.binding_id ORDER BY p.pos) ELSE k.gold_pos END::BIGINT AS var
+        FROM ways w JOIN sizes USING (pair_id) JOIN pred_lits p USING (pair_id)
+        LEFT JOIN kept k ON k.pair_id = w.pair_id AND k.binding_id = w.binding_id AND k.pred_pos = p.pos""",
+    "gold_side": """SELECT w.pair_id, w.binding_id, g.pos, g.literal, k.pred_pos, p.literal AS pred
+        FROM ways w JOIN gold_lits g USING (pair_id)
+        LEFT JOIN kept k ON k.pair_id = w.pair_id AND k.binding_id = w.binding_id AND k.gold_pos = g.pos
+        LEFT JOIN pred_lits p ON p.pair_id = w.pair_id AND p.pos = k.pred_pos""",
+}
+_CTE |= {
+    "bindings": """SELECT pair_id, binding_id, g_l, p_l, p_vars, free, gold_preds, gold_names, len(g_l) + len(free) AS variables
+        FROM sizes JOIN (SELECT pair_id, binding_id, list(literal ORDER BY pos) AS p_l, list(var ORDER BY pos) AS p_vars,
+            coalesce(list(literal ORDER BY pos) FILTER (gold_pos IS NULL), []) AS free FROM pred_side GROUP BY ALL)
+            USING (pair_id)
+        JOIN (SELECT pair_id, binding_id, string_agg(coalesce(pred_pos::VARCHAR, '-'), ',' ORDER BY pos) AS gold_preds,
+            list(coalesce(pred, '#DUMMY_' || literal) ORDER BY pos) AS gold_names FROM gold_side GROUP BY ALL)
+            USING (pair_id, binding_id)""",
+}
+_BINDING_CTES = (
+    "formula_pairs pred_lits gold_lits vectors similarity best claimed digits ways kept sizes pred_side gold_side bindings"
+)
+
+
+def _equivalence(threshold: float | None) -> str:
+    weak = (
+        ""
+        if threshold is None
+        else f""" WHERE (pair_id, binding_id) NOT IN (SELECT (k.pair_id, k.binding_id) FROM kept k JOIN best b
+            USING (pair_id, gold_pos) WHERE b.similarity < {threshold})"""
+    )
+    return f""", small AS ({_SMALL}), rows AS (SELECT *, unnest(range((2 ** variables)::BIGINT)) AS a
+            FROM bindings JOIN small USING (pair_id){weak}),
+        assigned AS (SELECT pair_id, binding_id, {_assigned('g')} AS g,
+            {_assigned('p', "p_vars[list_position({0}_l, l)]")} AS p FROM rows),
+        texts AS (SELECT DISTINCT g AS t FROM assigned UNION SELECT p FROM assigned),
+        known AS MATERIALIZED (SELECT t, {_reduced('t')} AS v FROM texts),
+        scored AS (SELECT pair_id, binding_id, avg(CASE WHEN x.v = y.v THEN 1.0 ELSE 0.0 END) AS score FROM assigned
+            JOIN known x ON x.t = g JOIN known y ON y.t = p WHERE x.v IN ('T', 'F') AND y.v IN ('T', 'F') GROUP BY ALL),
+        top AS (SELECT * FROM scored WHERE score > 0
+            QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, binding_id) = 1)
+        SELECT pair_id, round(coalesce(score, 0), 6) AS score"""
+
+
+ORACLES["h7_candidate_bindings"] = _with(
+    _BINDING_CTES,
+    """SELECT pair_id, binding_id, gold_preds AS gold_pred, array_to_string(p_vars, ',') AS pred_vars, variables::BIGINT
+    AS variables FROM bindings""",
+)
+ORACLES["h8_logical_equivalence"] = _with(
+    _BINDING_CTES,
+    _equivalence(None)
+    + """, array_to_string(g_l || list_transform(free, lambda f: '#DUMMY_' || f), ' ') AS gold_binding,
+        array_to_string(gold_names || free, ' ') AS pred_binding
+        FROM formula_pairs LEFT JOIN top USING (pair_id) LEFT JOIN bindings USING (pair_id, binding_id)""",
+).replace(") , small AS", "), small AS")
+ORACLES["h8_logical_equivalence_threshold"] = _with(
+    _BINDING_CTES, _equivalence(0.6) + " FROM formula_pairs LEFT JOIN top USING (pair_id)"
+).replace(") , small AS", "), small AS")
 
 
 ORACLES["h6_truth_agreement"] = _with(
     "formula_pairs pred_lits gold_lits",
-    f""", small AS (SELECT pair_id, replace({_MATRIX.format('gold')}, ' ', '') AS g_m,
-            replace({_MATRIX.format('pred')}, ' ', '') AS p_m FROM formula_pairs
-        WHERE {' AND '.join(
-            f"length({c}) <= 180 AND len(regexp_extract_all({c}, '∧')) <= 5 AND len(regexp_extract_all({c}, '∨')) <= 5"
-            for c in ('gold', 'pred'))}),
+    f""", small AS ({_SMALL}),
         lists AS (SELECT *, unnest(range((2 ** greatest(len(g_l), len(p_l)))::BIGINT)) AS a FROM small
             JOIN (SELECT pair_id, list(literal ORDER BY pos) AS g_l FROM gold_lits GROUP BY 1) USING (pair_id)
             JOIN (SELECT pair_id, list(literal ORDER BY pos) AS p_l FROM pred_lits GROUP BY 1) USING (pair_id)),

@@ -668,3 +668,29 @@ ORACLES["h6_truth_agreement"] = _with(
 ORACLES["m2_task_translation"] = (
     "SELECT seq, direction, prompt FROM (" + ORACLES["f1_bidirectional"] + ")"
 )
+
+_EXACT = "coalesce(score, 0) AS score"
+_REWARDED = f"""SELECT l_orderkey AS prompt_id, l_partkey AS part_id, l_linenumber AS line_no, {_EXACT}
+    FROM lineitem LEFT JOIN ({ORACLES['h8_logical_equivalence_threshold'].replace('round(coalesce(score, 0), 6) AS score', _EXACT)})
+    ON pair_id = l_partkey"""
+ORACLES["h11_preference_reward"] = f"SELECT prompt_id, part_id, line_no, round(score, 6) AS reward FROM ({_REWARDED})"
+ORACLES["flagship_formula_advantages"] = f"""SELECT prompt_id, part_id, line_no, round(score, 6) AS reward,
+    round((score - m) / (s + 1e-4), 6) AS advantage, abs(s) <= 1e-8 AS zero_std FROM (
+    SELECT *, avg(score) OVER g AS m, coalesce(stddev_samp(score) OVER g, 0) AS s FROM ({_REWARDED})
+    WINDOW g AS (PARTITION BY prompt_id))"""
+
+_FORMULA_BLEU = f"""WITH formula_pairs AS ({_CTE['formula_pairs']}),
+    formulas AS (SELECT pair_id, pred, string_split({_MERGED.format('pred')}, ' ') AS hyp,
+        string_split({_MERGED.format('gold')}, ' ') AS ref FROM formula_pairs),
+    equal AS ({ORACLES['h8_logical_equivalence'].replace('round(coalesce(score, 0), 6) AS score', _EXACT)}),
+    {_bleu_counts('formulas', 'pair_id')}"""
+ORACLES["h10_formula_reward"] = _FORMULA_BLEU + f""", overlap AS ({_bleu_score('counts', 'pair_id')})
+    SELECT pair_id, round(score, 6) AS equivalence, round(bleu, 6) AS bleu,
+        round(CASE WHEN length(pred) > 180 THEN 0 ELSE (score + bleu) * 0.5 END, 6) AS reward
+    FROM formulas JOIN equal USING (pair_id) JOIN overlap USING (pair_id)"""
+ORACLES["h12_formula_evaluation"] = _FORMULA_BLEU + f""", sums AS (SELECT pair_id // 16 AS batch_id, n, sum(t) AS t, sum(m) AS m,
+        sum(h) AS h, sum(r) AS r, count(*) AS rows FROM counts GROUP BY ALL),
+    overlap AS ({_bleu_score('sums', 'batch_id')})
+    SELECT (SELECT count(*) FROM equal) AS rows, (SELECT round(avg(score), 6) FROM equal) AS "LE",
+        round(sum(bleu * rows) / sum(rows), 6) AS bleu FROM overlap
+    JOIN (SELECT batch_id, max(rows) AS rows FROM sums GROUP BY 1) USING (batch_id)"""

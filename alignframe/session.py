@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, as named by ``spark.checkpoint.dir``.
+    """The cluster's shared folder, as named by ``spark.checkpoint.dir`` or set on the Spark context.
 
-    A local temporary folder is used only where that setting is absent, as in tests.
+    There is no fallback: a folder of one machine would lose what other machines wrote.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(named)
+        return named
+    named = spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="alignframe-")
-        spark.sparkContext.setCheckpointDir(named)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named
 
 

@@ -106,7 +106,9 @@ def ragged_take(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
-class _Forest:
+class Forest:
+    """Union-find; the smallest number of a set is its root."""
+
     def __init__(self) -> None:
         self.parent: dict[int, int] = {}
 
@@ -132,13 +134,13 @@ _FOREST_NODES = 1 << 20
 
 def _spanning(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Drop links whose ends are connected already by links of the same task."""
-    forest = _Forest()
+    forest = Forest()
     for batch in batches:
         kept = [(a, b) for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True) if forest.join(a, b)]
         yield pd.DataFrame(kept, columns=["a", "b"]).astype("int64")
         if len(forest.parent) > _FOREST_NODES:
             # Forgetting only keeps a few more links; memory stays bounded.
-            forest = _Forest()
+            forest = Forest()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignframe.llm import mixing, quality, sentencepieces, simhash, toxicity
+from alignframe.llm import crosspolytope, kneser, mixing, quality, sentencepieces, simhash, tokenfiles, topk, toxicity, warc
 from alignframe.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,21 @@ def op2(spark, d):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op3_top_k")
+def op3(spark, d):
+    return topk.top_k(table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op4_token_files")
+def op4(spark, d):
+    return tokenfiles.token_files(table(spark, d, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op5_cross_polytope")
+def op5(spark, d):
+    return crosspolytope.near_duplicates(table(spark, d, "embeddings"))
+
+
 @query("op6_toxicity")
 def op6(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
@@ -74,6 +89,23 @@ def op7(spark, d):
     return simhash.near_duplicates(table(spark, d, "documents").select("doc_id", "text"))
 
 
+@query("op8_warc")
+def op8(spark, d):
+    """Pages bear no time of capture; their ids count seconds from a fixed moment instead."""
+    pages = table(spark, d, "pages")
+    return warc.archive(pages, F.timestamp_seconds(F.coalesce("page_id", F.lit(0)) + 1_700_000_000)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+@query("op9_kneser_ney")
+def op9(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    held_out = crc_mod(F.col("doc_id"), 7) == 2
+    model = kneser.train(docs.where(~held_out))
+    return kneser.score(docs, model, F.col("text"), [F.col("doc_id"), held_out.alias("held_out")])
+
+
 @query("op10_quality")
 def op10(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
@@ -112,3 +144,54 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target,
     (greatest(least(size, floor(target) - before), 0) + greatest(least(size, floor(target) - before - source_size), 0))::BIGINT AS taken
 FROM queued"""
+
+
+# base32 of the digest: 160 bits from its hexadecimal form, five at a time.
+LLM_ORACLES["op8_warc"] = r"""
+WITH hashed AS (
+    SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+), bits AS (
+    SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, hex,
+        list_aggregate(list_transform(range(40), lambda i: right('000' || bin(strpos('0123456789abcdef', substr(hex, i::INT + 1, 1)) - 1), 4)), 'string_agg', '') AS bits,
+        max(page_id) OVER (PARTITION BY hex) AS largest
+    FROM hashed
+)
+SELECT page_id, payload_bytes,
+    list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + list_sum(list_transform(range(5), lambda j: substr(bits, (5 * i + j + 1)::INT, 1)::INT * (16 >> j::INT)))::INT, 1)), 'string_agg', '') AS payload_digest,
+    CASE WHEN page_id < largest THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id < largest THEN largest END AS refers_to
+FROM bits"""
+
+# Every query against every other row.
+LLM_ORACLES["op3_top_k"] = r"""
+WITH whole AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.w, v.w)::BIGINT AS score
+    FROM whole q JOIN whole v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10"""
+
+# Links, then the smallest row reachable, by repeated joins.
+LLM_ORACLES["op5_cross_polytope"] = r"""
+WITH RECURSIVE good AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93
+), reach(a, b) AS (
+    SELECT vec_id, vec_id FROM embeddings
+    UNION
+    SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (
+    SELECT a, min(b) AS component_id FROM reach GROUP BY a
+), degrees AS (
+    SELECT a, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT e.vec_id, coalesce(d.n_links, 0)::BIGINT AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+FROM embeddings e JOIN least l ON e.vec_id = l.a LEFT JOIN degrees d ON e.vec_id = d.a"""

@@ -5,6 +5,8 @@ The expressions nest lambdas deeply, so they are written as SQL text. ``let`` na
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,7 +19,6 @@ MAX_DISJUNCTIONS = 5
 DUMMY = "#DUMMY_"
 DUMMY_DISTANCE = 10000
 SIMILARITY_FLOOR = 0.6
-BINDING_LIMIT = 1000
 
 _NAME = rf"[^{SYMBOLS}\s]+"
 _LITERAL = rf"{_NAME} \( {_NAME}(?: , {_NAME})* \)"
@@ -99,12 +100,24 @@ def literals(c: str) -> Column:
     return F.expr(_atoms(_units(c)))
 
 
-def in_budget(c: str) -> Column:
+@dataclass(frozen=True)
+class Budget:
+    """Size limits of formulas that are worth a truth table."""
+
+    max_chars: int = MAX_CHARS
+    max_and: int = MAX_CONJUNCTIONS
+    max_or: int = MAX_DISJUNCTIONS
+
+    def allows(self, c: str) -> Column:
+        return in_budget(c, self.max_chars, self.max_and, self.max_or)
+
+
+def in_budget(c: str, max_chars: int = MAX_CHARS, max_and: int = MAX_CONJUNCTIONS, max_or: int = MAX_DISJUNCTIONS) -> Column:
     """Short enough, and with few enough connectives, to be worth a truth table."""
     return (
-        (F.length(c) <= MAX_CHARS)
-        & (F.regexp_count(c, F.lit("∧")) <= MAX_CONJUNCTIONS)
-        & (F.regexp_count(c, F.lit("∨")) <= MAX_DISJUNCTIONS)
+        (F.length(c) <= max_chars)
+        & (F.regexp_count(c, F.lit("∧")) <= max_and)
+        & (F.regexp_count(c, F.lit("∨")) <= max_or)
     )
 
 
@@ -170,6 +183,31 @@ def _truth_mask(order: str, variables: str) -> str:
         ELSE concat(slice(stack, 1, size(stack) - 2), array({joined})) END, stack -> stack[0])"""
 
 
+def conditional_agreement(order_a: str, vars_a: str, order_b: str, vars_b: str, repeated: str, first: str, last: str) -> Column:
+    """Summed over assignments ``first``..``last`` of the ``repeated`` variables: the share of all others on which two
+    formulas agree.
+
+    Every other variable occurs once, in one of the formulas. Given the repeated ones, the two sides of each connective
+    are then independent, so the probability of a formula follows from those of its parts, exactly.
+    """
+
+    def chance(order: str, variables: str) -> str:
+        a, b = "element_at(stack, -2)", "element_at(stack, -1)"
+        joined = (
+            f"CASE t WHEN {_AND} THEN {a} * {b} WHEN {_OR} THEN {a} + {b} - {a} * {b} WHEN {_XOR} THEN {a} + {b} - 2D * {a} * {b} "
+            f"WHEN {_IMPLIES} THEN 1D - {a} + {a} * {b} ELSE 1D - {a} - {b} + 2D * {a} * {b} END"
+        )
+        place = f"array_position({repeated}, {variables}[t])"
+        leaf = f"CASE WHEN {place} > 0 THEN double(getbit(assignment, int({place} - 1))) ELSE 0.5D END"
+        return f"""aggregate({order}, cast(array() AS array<double>), (stack, t) -> CASE
+            WHEN t >= 0 THEN concat(stack, array({leaf}))
+            WHEN t = {_NOT} THEN concat(slice(stack, 1, size(stack) - 1), array(1D - {b}))
+            ELSE concat(slice(stack, 1, size(stack) - 2), array({joined})) END, stack -> stack[0])"""
+
+    both = f"transform(array(named_struct('a', {chance(order_a, vars_a)}, 'b', {chance(order_b, vars_b)})), c -> c.a * c.b + (1D - c.a) * (1D - c.b))[0]"
+    return F.expr(f"aggregate(sequence({first}, {last}), 0D, (total, assignment) -> total + {both})")
+
+
 def agreeing_bits(order_a: str, vars_a: str, order_b: str, vars_b: str, variables: str,
                   first: str, last: str) -> Column:
     """Number of assignments in blocks ``first``..``last`` on which two formulas agree.

@@ -7,6 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The rules by which translation metrics set punctuation apart.
+PUNCTUATION = (
+    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "),
+    (r"([^0-9])([\.,])", "$1 $2 "),
+    (r"([\.,])([^0-9])", " $1 $2"),
+    (r"([0-9])(-)", "$1 $2 "),
+)
+
 # All white space a dialogue parser would trim, not only the blank that Spark's trim() knows.
 _EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
@@ -24,6 +32,14 @@ def words(c: Column | str) -> Column:
     return F.filter(F.split(col(c), r"(?U)\s+"), lambda w: w != F.lit(""))
 
 
+def translation_tokens(c: Column | str) -> Column:
+    """White-space tokens after punctuation is set apart, but for points and commas inside numbers."""
+    apart = col(c)
+    for pattern, put in PUNCTUATION:
+        apart = F.regexp_replace(apart, pattern, put)
+    return words(apart)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Name an intermediate value.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from alignframe.operators.overlap import batch_weighted_bleu
 from alignframe.operators.prompts import ENGLISH_TO_GERMAN, GERMAN_TO_ENGLISH, template_column
 from alignframe.operators.ranking import with_position
 
@@ -35,6 +36,17 @@ def bidirectional(df: DataFrame, key: str, src: str = "src", ref: str = "ref",
     )
 
 
+def translation_evaluation(df: DataFrame, key: str, hyp: str, ref: str, batch: str, quality: str,
+                           direction: str = "direction") -> DataFrame:
+    """``direction, rows, bleu, quality``: corpus BLEU of each batch, weighted by its rows, and mean quality.
+
+    As in corpus scoring, a batch too short for some order of n-grams scores 0.
+    """
+    bleu = batch_weighted_bleu(df, key, hyp, ref, batch, [direction], effective_order=False)
+    means = by_direction(df, {"quality": F.avg(quality)}, direction).select(direction, "quality")
+    return bleu.join(means, direction)
+
+
 def by_direction(df: DataFrame, metrics: dict[str, Column], direction: str = "direction") -> DataFrame:
     """Metrics of each direction over that direction's own rows."""
     return df.groupBy(direction).agg(

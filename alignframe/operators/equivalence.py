@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import factorial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from alignframe.session import cut, spread
 # A 64-bit mask covers six variables; 2^12 blocks, so 18 variables, make one unit of work.
 _MASK_VARIABLES = 6
 _BLOCK_BITS = 12
+# Assignments of so many repeated variables are enumerated at most.
+_MAX_REPEATED = 24
 
 
 def formula_tokens(df: DataFrame, column: str) -> DataFrame:
@@ -74,14 +78,15 @@ def best_literal_match(sim: DataFrame, key: str = "pair_id") -> DataFrame:
     return best.select(key, "gold_pos", "gold", "_best.*")
 
 
-def candidate_bindings(matched: DataFrame) -> DataFrame:
+def candidate_bindings(matched: DataFrame, limit: int | None = None) -> DataFrame:
     """One row per way to settle double claims, numbered ``binding_id``.
 
     Input columns: ``claims array<int>`` (the predicted literal each gold literal claims) and ``pred_count``. Adds
     ``gold_pred`` (per gold literal the predicted literal it keeps, or NULL), ``pred_vars`` (per predicted literal
     its variable), ``free`` (predictions nobody claims) and ``variables``. Gold literal j is variable j; free
     predictions get variables of their own. The number of ways is the product of the claim counts, and the binding
-    number has one digit per claimed prediction, the last one moving fastest.
+    number has one digit per claimed prediction, the last one moving fastest. ``limit`` keeps the first so many ways of
+    a row; ``complete`` tells whether they are all.
     """
     claimants = """transform(array_distinct(claims), p -> named_struct(
         'pred', p, 'golds', filter(transform(claims, (c, j) -> CASE WHEN c = p THEN j END), j -> j IS NOT NULL)))"""
@@ -100,40 +105,64 @@ def candidate_bindings(matched: DataFrame) -> DataFrame:
     settled = f"transform(array({kept}), kept -> transform(array({free}), free -> {binding})[0])[0]"
     return (
         matched.withColumn("_claimed", F.expr(weighted))
-        .withColumn("binding_id", F.expr(f"explode(sequence(0L, {product('_claimed')} - 1))"))
+        .withColumn("_ways", F.expr(product("_claimed")))
+        .withColumn("complete", F.lit(True) if limit is None else F.col("_ways") <= limit)
+        .withColumn("binding_id", F.explode(F.sequence(F.lit(0).cast("bigint"), _at_most("_ways", limit) - 1)))
         .withColumn("_binding", F.expr(settled))
-        .select(*matched.columns, "binding_id", "_binding.*")
+        .select(*matched.columns, "binding_id", "_binding.*", "complete")
     )
 
 
+def _at_most(column: str, limit: int | None) -> Column:
+    return F.col(column) if limit is None else F.least(column, F.lit(limit).cast("bigint"))
+
+
+# Why a pair has no truth-table score.
+TOO_WIDE = "too many repeated literals"
+OVER_BUDGET = "over budget"
+NO_BINDING = "not well formed, or no binding allowed"
+
+
 def truth_agreement(bound: DataFrame, keys: list[str], carry: list[str] | None = None) -> DataFrame:
     """``keys, score`` and the carried columns: share of all assignments on which both formulas agree, exact.
 
     Input columns: ``gold_order`` and ``pred_order`` (postfix), ``gold_vars`` and ``pred_vars`` (variable of each
-    literal), ``variables``; ``keys`` identify a row. 64 assignments are one machine word; up to 18 variables are
-    handled in the row, more are spread over rows and added up. The evaluation is the costly step, hence the even
-    spread before it.
+    literal), ``variables``; ``keys`` identify a row. Up to 18 variables are enumerated in the row, 64 assignments in a
+    machine word. With more, only variables that occur more than once in the two formulas are enumerated; all
+    others are independent of each other, and their share follows from the parts of the formula. These
+    assignments are spread over rows and added up. Beyond ``_MAX_REPEATED`` such variables the score is NULL.
     """
     carry = carry or []
+    leaves = lambda side: f"transform(filter({side}_order, t -> t >= 0), t -> {side}_vars[t])"
+    seen = f"concat({leaves('gold')}, {leaves('pred')})"
+    repeated = f"transform(array({seen}), s -> filter(array_distinct(s), v -> size(filter(s, x -> x = v)) > 1))[0]"
+    wide = F.col("variables") > _MASK_VARIABLES + _BLOCK_BITS
     blocks = F.expr(f"shiftleft(1L, greatest(variables - {_MASK_VARIABLES}, 0))")
+    cases = F.when(F.size("_repeated") <= _MAX_REPEATED, F.expr("shiftleft(1L, size(_repeated))"))
     per_row = F.lit(1 << _BLOCK_BITS).cast("bigint")
-    pieces = bound.withColumn("_blocks", blocks).select(
-        *keys, *carry, "variables", "_blocks", "gold_order", "gold_vars", "pred_order", "pred_vars",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1, per_row)).alias("_first"),
+    sized = bound.withColumn("_repeated", F.when(wide, F.expr(repeated))).withColumn(
+        "_blocks", F.when(wide, cases).otherwise(blocks)
+    )
+    pieces = sized.select(
+        *keys, *carry, "variables", "_blocks", "_repeated", "gold_order", "gold_vars", "pred_order", "pred_vars",
+        F.explode_outer(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1, per_row)).alias("_first"),
     )
+    # The evaluation is the costly step, hence the even spread before it.
+    sides = ("gold_order", "gold_vars", "pred_order", "pred_vars")
     agreed = spread(pieces, *keys, "_first").withColumn("_last", F.least("_blocks", F.col("_first") + per_row) - 1).select(
         *keys, *carry, "_blocks",
-        logic.agreeing_bits(
-            "gold_order", "gold_vars", "pred_order", "pred_vars", "variables", "_first", "_last"
-        ).alias("_bits"),
+        F.when(F.col("_first").isNull(), F.lit(None).cast("double"))
+        .when(wide, logic.conditional_agreement(*sides, "_repeated", "_first", "_last"))
+        .otherwise(logic.agreeing_bits(*sides, "variables", "_first", "_last") / 64.0)
+        .alias("_share"),
     )
-    share = F.sum("_bits") / (F.first("_blocks") * 64)
+    share = F.sum("_share") / F.first("_blocks")
     return agreed.groupBy(*keys).agg(share.alias("score"), *[F.first(c).alias(c) for c in carry])
 
 
-def _parsed(pairs: DataFrame, key: str, pred: str, gold: str) -> DataFrame:
+def _parsed(pairs: DataFrame, key: str, pred: str, gold: str, budget: logic.Budget) -> DataFrame:
     """Pairs worth a truth table: within the size budget on both sides and well formed."""
-    fits = logic.in_budget(pred) & logic.in_budget(gold)
+    fits = budget.allows(pred) & budget.allows(gold)
     read = F.struct(F.col(key).alias(key), logic.parsed(gold).alias("g"), logic.parsed(pred).alias("p"))
     whole = F.filter(F.array(read), lambda f: f["g"]["ord"].isNotNull() & f["p"]["ord"].isNotNull())
     # Reading is heavy and rows are short. inline() keeps the filter on the result from reading them twice.
@@ -148,9 +177,10 @@ def _parsed(pairs: DataFrame, key: str, pred: str, gold: str) -> DataFrame:
 
 
 def formula_similarity(pairs: DataFrame, key: str = "pair_id", pred: str = "pred", gold: str = "gold",
-                       method: str = "vectors", vectors: DataFrame | None = None) -> DataFrame:
+                       method: str = "vectors", vectors: DataFrame | None = None,
+                       budget: logic.Budget = logic.Budget()) -> DataFrame:
     """``literal_similarity`` of the pairs that will be scored."""
-    fits = spread(pairs.where(logic.in_budget(pred) & logic.in_budget(gold)).select(key, pred, gold), key)
+    fits = spread(pairs.where(budget.allows(pred) & budget.allows(gold)).select(key, pred, gold), key)
     return literal_similarity(
         formula_literals(fits, key, pred), formula_literals(fits, key, gold), key, method, vectors
     )
@@ -161,36 +191,41 @@ def _identity(array: str) -> Column:
 
 
 def _best(agreement: DataFrame, key: str, carry: list[str]) -> DataFrame:
-    """Per key the first binding with the highest score; an all-disagree pair has none."""
-    rank = F.struct(F.col("score"), -F.col("binding_id"))
+    """Per key the first binding with the highest score; an all-disagree pair has a score and no binding."""
+    rank = F.when(F.col("score") > 0, F.struct(F.col("score"), -F.col("binding_id")))
     return (
-        agreement.where(F.col("score") > 0)
-        .groupBy(key)
-        .agg(F.max_by(F.struct("score", *carry), rank).alias("_best"))
-        .select(key, "_best.*")
+        agreement.groupBy(key)
+        .agg(
+            F.max_by(F.struct(*carry), rank).alias("_best"),
+            F.max("score").alias("score"),
+            F.max(F.when(F.col("score").isNull(), F.lit(TOO_WIDE))).alias("reason"),
+        )
+        .select(key, "score", "reason", *[F.col("_best")[c].alias(c) for c in carry])
     )
 
 
 def logical_equivalence(pairs: DataFrame, sim: DataFrame, key: str = "pair_id", pred: str = "pred",
-                        gold: str = "gold", threshold: float | None = None) -> DataFrame:
-    """``key, score, gold_binding, pred_binding, bound_scores`` for every pair.
+                        gold: str = "gold", threshold: float | None = None, budget: logic.Budget = logic.Budget(),
+                        binding_limit: int | None = None) -> DataFrame:
+    """``key, score, reason, complete, gold_binding, pred_binding, bound_scores`` for every pair.
 
     ``sim`` is the result of ``literal_similarity``. The score is the best truth-table agreement over the candidate
     bindings; with a threshold, bindings that join literals less similar than it are left out. Pairs over budget or
-    not well formed score 0 and have no binding.
+    not well formed score 0, have no binding and say so in ``reason``; where bindings are too wide to score, ``reason`` says
+    that, and the score is the best of the others or NULL. ``complete`` is false if ``binding_limit`` left some out.
     """
     matches = best_literal_match(sim, key)
     claims = matches.groupBy(key).agg(
         F.sort_array(F.array_agg(F.struct("gold_pos", "pred_pos", "similarity"))).alias("_match")
     )
-    matched = _parsed(pairs, key, pred, gold).join(claims, key).select(
+    matched = _parsed(pairs, key, pred, gold, budget).join(claims, key).select(
         "*",
         F.transform("_match", lambda m: m["pred_pos"]).alias("claims"),
         F.transform("_match", lambda m: m["similarity"]).alias("claim_scores"),
         F.size("pred_lits").alias("pred_count"),
         _identity("gold_lits").alias("gold_vars"),
     )
-    bound = candidate_bindings(matched)
+    bound = candidate_bindings(matched, binding_limit)
     if threshold is not None:
         weak = F.exists(
             F.arrays_zip("gold_pred", "claim_scores"),
@@ -198,7 +233,10 @@ def logical_equivalence(pairs: DataFrame, sim: DataFrame, key: str = "pair_id",
         )
         bound = bound.where(~weak)
     carry = ["gold_lits", "pred_lits", "gold_pred", "free", "claim_scores"]
-    settled = _best(truth_agreement(bound, [key, "binding_id"], carry), key, carry)
+    agreement = truth_agreement(bound, [key, "binding_id"], [*carry, "complete"])
+    settled = _best(agreement, key, carry).join(agreement.groupBy(key).agg(F.min("complete").alias("complete")), key) if (
+        binding_limit is not None
+    ) else _best(agreement, key, carry).withColumn("complete", F.lit(True))
     dummy = lambda name: F.concat(F.lit(logic.DUMMY), name)
     gold_names = F.concat(
         F.col("gold_lits"), F.transform("free", lambda p: dummy(F.get("pred_lits", p)))
@@ -212,27 +250,35 @@ def logical_equivalence(pairs: DataFrame, sim: DataFrame, key: str = "pair_id",
         lambda b: b["claim_scores"],
     )
     named = settled.select(
-        key, "score", gold_names.alias("gold_binding"), pred_names.alias("pred_binding"),
+        key, "score", "reason", "complete", gold_names.alias("gold_binding"), pred_names.alias("pred_binding"),
         bound_scores.alias("bound_scores"),
     )
-    return _every_pair(pairs, named, key)
+    return _every_pair(pairs, named, key, budget.allows(pred) & budget.allows(gold))
 
 
-def _every_pair(pairs: DataFrame, scored: DataFrame, key: str) -> DataFrame:
-    return pairs.select(key).join(scored, key, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+def _every_pair(pairs: DataFrame, scored: DataFrame, key: str, fits: Column) -> DataFrame:
+    """Scores of all pairs, with the reason where a pair has no score of its own."""
+    joined = pairs.select(key, fits.alias("_fits")).join(scored.withColumn("_scored", F.lit(True)), key, "left")
+    missing = F.col("_scored").isNull()
+    return joined.withColumns({
+        "score": F.when(missing, F.lit(0.0)).otherwise(F.col("score")),
+        "reason": F.when(~F.coalesce("_fits", F.lit(False)), F.lit(OVER_BUDGET)).when(missing, F.lit(NO_BINDING)).otherwise(F.col("reason")),
+        "complete": F.coalesce("complete", F.lit(True)),
+    }).drop("_fits", "_scored")
 
 
-# n! up to 6!; 7! already exceeds the limit on bindings.
-_FACTORIALS = [1, 1, 2, 6, 24, 120, 720]
+# n! as far as it fits into 64 bits.
+_FACTORIALS = [factorial(n) for n in range(21)]
 
 
-def logical_equivalence_permuted(pairs: DataFrame, key: str = "pair_id", pred: str = "pred",
-                                 gold: str = "gold") -> DataFrame:
-    """``key, score, gold_binding, pred_binding``: bindings are permutations, nearest literals first, 1000 at most.
+def logical_equivalence_permuted(pairs: DataFrame, key: str = "pair_id", pred: str = "pred", gold: str = "gold",
+                                 budget: logic.Budget = logic.Budget(), binding_limit: int | None = None) -> DataFrame:
+    """``key, score, reason, complete, gold_binding, pred_binding``: bindings are permutations, nearest literals first.
 
     Each gold literal ranks the predictions by edit distance, and permutations follow these ranks with the last
-    literal moving fastest. Permutation number k is read digit by digit in the factorial number system. Below 1000
-    only the last seven literals can move, so longer formulas are covered exactly as well.
+    literal moving fastest. Permutation number k is read digit by digit in the factorial number system.
+    ``binding_limit`` tries the first so many only; ``complete`` tells whether all were tried. The number of
+    permutations is the factorial of the literals: state a limit for long formulas. Beyond 20 literals there must be one.
     """
     padded = lambda names, other: F.concat(
         F.col(names),
@@ -243,7 +289,7 @@ def logical_equivalence_permuted(pairs: DataFrame, key: str = "pair_id", pred: s
             lambda i: F.concat(F.lit(logic.DUMMY), i.cast("string")),
         ),
     )
-    names = _parsed(pairs, key, pred, gold).select(
+    names = _parsed(pairs, key, pred, gold, budget).select(
         key, "gold_order", "pred_order",
         padded("gold_lits", "pred_lits").alias("gold_names"),
         padded("pred_lits", "gold_lits").alias("pred_names"),
@@ -261,14 +307,19 @@ def logical_equivalence_permuted(pairs: DataFrame, key: str = "pair_id", pred: s
         ),
     )
     n = F.size("gold_names")
-    tries = F.coalesce(F.get(F.array(*map(F.lit, _FACTORIALS)), n), F.lit(logic.BINDING_LIMIT))
-    numbered = names.withColumn("_ranked", ranked).withColumn(
-        "binding_id", F.explode(F.sequence(F.lit(0).cast("bigint"), tries.cast("bigint") - 1))
+    factorials = F.array(*[F.lit(f).cast("bigint") for f in _FACTORIALS])
+    all_ways = F.get(factorials, n)
+    if binding_limit is None:
+        tries = F.coalesce(all_ways, F.raise_error(F.lit("more than 20 literals need a binding_limit")).cast("bigint"))
+    else:
+        tries = F.least(F.coalesce(all_ways, F.lit(binding_limit)), F.lit(binding_limit)).cast("bigint")
+    numbered = names.withColumn("_ranked", ranked).withColumn("complete", F.coalesce(all_ways <= tries, F.lit(False))).withColumn(
+        "binding_id", F.explode(F.sequence(F.lit(0).cast("bigint"), tries - 1))
     )
 
     def place(used: Column, i: Column) -> Column:
         left = F.filter(F.get("_ranked", i), lambda p: ~F.array_contains(used, p))
-        weight = F.get(F.array(*map(F.lit, _FACTORIALS)), n - 1 - i)
+        weight = F.get(factorials, n - 1 - i)
         digit = F.coalesce(F.floor(F.col("binding_id") / weight) % (n - i), F.lit(0)).cast("int")
         return F.concat(used, F.array(F.get(left, digit)))
 
@@ -285,37 +336,41 @@ def logical_equivalence_permuted(pairs: DataFrame, key: str = "pair_id", pred: s
                 lambda p: (F.array_position(perm, p) - 1).cast("int"),
             ),
         ).alias("pred_vars"),
-        n.alias("variables"),
+        n.alias("variables"), "complete",
     )
-    carry = ["gold_names", "pred_names", "_perm"]
-    named = _best(truth_agreement(evaluated, [key, "binding_id"], carry), key, carry).select(
-        key, "score", F.col("gold_names").alias("gold_binding"),
+    carry = ["gold_names", "pred_names", "_perm", "complete"]
+    agreement = truth_agreement(evaluated, [key, "binding_id"], carry)
+    named = _best(agreement, key, carry).select(
+        key, "score", "reason", "complete", F.col("gold_names").alias("gold_binding"),
         F.transform("_perm", lambda p: F.get("pred_names", p)).alias("pred_binding"),
     )
-    return _every_pair(pairs, named, key)
+    return _every_pair(pairs, named, key, budget.allows(pred) & budget.allows(gold))
 
 
-def formula_reward(pairs: DataFrame, sim: DataFrame, key: str = "pair_id", pred: str = "pred",
-                   gold: str = "gold") -> DataFrame:
-    """``key, equivalence, bleu, reward``: half equivalence, half BLEU; over-long completions get 0."""
-    scores = logical_equivalence(pairs, sim, key, pred, gold).select(key, F.col("score").alias("equivalence"))
+def formula_reward(pairs: DataFrame, sim: DataFrame, key: str = "pair_id", pred: str = "pred", gold: str = "gold",
+                   budget: logic.Budget = logic.Budget()) -> DataFrame:
+    """``key, equivalence, bleu, reward, reason``: half equivalence, half BLEU; completions over the length limit get 0."""
+    scores = logical_equivalence(pairs, sim, key, pred, gold, budget=budget).select(
+        key, F.col("score").alias("equivalence"), "reason"
+    )
     texts = pairs.select(
         key, F.col(pred).alias("_pred"), logic.tokens(pred).alias("_hyp"),
         logic.tokens(gold).alias("_ref"),
     )
     both = sentence_bleu(texts, key, "_hyp", "_ref", ["_pred"]).join(scores, key)
-    reward = F.when(F.length("_pred") > logic.MAX_CHARS, F.lit(0.0)).otherwise(
+    reward = F.when(F.length("_pred") > budget.max_chars, F.lit(0.0)).otherwise(
         (F.col("equivalence") + F.col("bleu")) * 0.5
     )
-    return both.select(key, "equivalence", "bleu", reward.alias("reward"))
+    return both.select(key, "equivalence", "bleu", reward.alias("reward"), "reason")
 
 
 def preference_reward(completions: DataFrame, formulas: DataFrame, vectors: DataFrame | None = None,
                       completion: str = "completion", reference: str = "reference",
-                      method: str = "vectors") -> DataFrame:
+                      method: str = "vectors", budget: logic.Budget = logic.Budget()) -> DataFrame:
     """Adds ``reward``: equivalence, above the similarity floor, of the formulas of completion and reference.
 
-    ``formulas`` is ``text, formula``, one row per text. Each distinct pair of formulas is scored once.
+    ``formulas`` is ``text, formula``, one row per text. Each distinct pair of formulas is scored once. Where a text has no
+    formula the reward does not apply and is NULL; ``unmatched_references`` counts such rows.
     """
     of = lambda text, name: formulas.select(F.col("text").alias(text), F.col("formula").alias(name))
     named = lookup(
@@ -328,11 +383,11 @@ def preference_reward(completions: DataFrame, formulas: DataFrame, vectors: Data
     distinct = cut(
         paired.where(F.col("_pair").isNotNull()).groupBy("_pair", "_pred", "_gold").agg(F.count(F.lit(1)).alias("_n"))
     )
-    sim = formula_similarity(distinct, "_pair", "_pred", "_gold", method, vectors)
-    scores = logical_equivalence(distinct, sim, "_pair", "_pred", "_gold", logic.SIMILARITY_FLOOR)
+    sim = formula_similarity(distinct, "_pair", "_pred", "_gold", method, vectors, budget)
+    scores = logical_equivalence(distinct, sim, "_pair", "_pred", "_gold", logic.SIMILARITY_FLOOR, budget)
     weighted = cut(distinct.select("_pair", "_n").join(scores.select("_pair", F.col("score").alias("_score")), "_pair"))
     rewarded = lookup(paired, weighted, ["_pair"], ["_score"], weight="_n")
-    return rewarded.select(*completions.columns, F.coalesce("_score", F.lit(0.0)).alias("reward"))
+    return rewarded.select(*completions.columns, F.col("_score").alias("reward"))
 
 
 def formula_evaluation(scored: DataFrame, key: str = "pair_id", score: str = "score", pred: str = "pred",

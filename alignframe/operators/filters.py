@@ -59,5 +59,6 @@ def require(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.where(F.assert_true(ok, message).isNull())
 
 
-def within_formula_budget(df: DataFrame, column: str, out: str = "in_budget") -> DataFrame:
-    return df.withColumn(out, logic.in_budget(column))
+def within_formula_budget(df: DataFrame, column: str, out: str = "in_budget", max_chars: int = logic.MAX_CHARS,
+                          max_and: int = logic.MAX_CONJUNCTIONS, max_or: int = logic.MAX_DISJUNCTIONS) -> DataFrame:
+    return df.withColumn(out, logic.in_budget(column, max_chars, max_and, max_or))

@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from alignframe.operators.prompts import template_column
 
 
+# A readable verdict that prefers neither answer by name.
+NO_LETTER = ""
+
+
 def judge_requests(df: DataFrame, template: str, idx: str = "idx", question: str = "question",
-                   answer: str = "answer", other: str = "other") -> DataFrame:
+                   answer: str = "answer", other: str = "other", system: str | None = None) -> DataFrame:
     """Every question twice, with the answers in both orders; ``target`` is the letter of ``answer``.
 
-    The template may use ``{question} {answer_a} {answer_b}`` or ``{input} {output_1} {output_2}``.
+    The template may use ``{question} {answer_a} {answer_b}`` or ``{input} {output_1} {output_2}``. With ``system`` a request
+    also has ``messages``, the system's and the user's, for judges that take a chat.
     """
 
     def message(first: str, second: str) -> Column:
@@ -26,16 +31,21 @@ def judge_requests(df: DataFrame, template: str, idx: str = "idx", question: str
         F.struct(F.lit("A").alias("target"), message(answer, other).alias("message")),
         F.struct(F.lit("B").alias("target"), message(other, answer).alias("message")),
     )
-    return df.select(idx, F.inline(orders))
+    requests = df.select(idx, F.inline(orders))
+    if system is None:
+        return requests
+    said = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return requests.withColumn("messages", F.array(said("system", F.lit(system)), said("user", F.col("message"))))
 
 
 def parse_verdicts(df: DataFrame, raw: str, style: str = "json", out: str = "output") -> DataFrame:
     """Adds the letter a judge gave; NULL where the reply cannot be read.
 
-    ``json`` replies name it in ``better_answer``. ``short`` replies say ``(a)`` or ``(b)``, and ``(c)`` for a tie.
+    ``json`` replies name it in ``better_answer``; one that is null there is a verdict without a letter. ``short`` replies say ``(a)`` or ``(b)``, and ``(c)`` for a tie.
     """
     if style == "json":
-        letter = F.try_variant_get(F.try_parse_json(F.col(raw)), "$.better_answer", "string")
+        answer = F.try_variant_get(F.try_parse_json(F.col(raw)), "$.better_answer", "variant")
+        letter = F.when(F.is_variant_null(answer), F.lit(NO_LETTER)).otherwise(F.try_variant_get(answer, "$", "string"))
     elif style == "short":
         letter = F.nullif(F.upper(F.regexp_extract(raw, r"\(([abc])\)", 1)), F.lit(""))
     else:

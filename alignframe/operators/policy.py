@@ -88,7 +88,8 @@ def high_entropy_mask(df: DataFrame, q: float, out: str = "high_entropy") -> Dat
     """Marks the unmasked tokens at or above the ``1 - q`` quantile of their batch's unmasked entropies."""
     kept = df.where(F.col("mask") == 1)
     cut = group_quantile(kept, "batch_id", "entropy", 1.0 - q, "_cut")
-    rows = lookup(df, cut, ["batch_id"], ["_cut"])
+    # The number of values per batch comes with the quantile, so tokens are not counted once more to find hot batches.
+    rows = lookup(df, cut, ["batch_id"], ["_cut"], weight="_rows")
     mark = (F.col("mask") == 1) & F.coalesce(F.col("entropy") >= F.col("_cut"), F.lit(False))
     return rows.withColumn(out, mark).drop("_cut")
 

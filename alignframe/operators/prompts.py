@@ -53,7 +53,7 @@ def chat_text(messages: Column, add_generation_prompt: bool = True, markup: str
     """One model-ready string. ``markup`` shapes a message; its part before the content opens the answer."""
     body = F.array_join(
         F.transform(
-            messages, lambda m: template_column(markup, {"role": m["role"], "content": m["content"]})
+            messages, lambda m: template_column(markup, {"role": m["role"], "content": F.coalesce(m["content"], F.lit(""))})
         ),
         "",
     )

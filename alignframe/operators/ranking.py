@@ -17,7 +17,12 @@ def with_position(df: DataFrame, order: list[Column | str], name: str = "positio
     added. The sorted rows are checkpointed, because both passes must see the same slices: keep ``df`` narrow and
     join the positions back.
     """
-    ranked = cut(df.orderBy(*[col(c) for c in order]).withColumn("_id", F.monotonically_increasing_id()))
+    return number_rows(df.orderBy(*[col(c) for c in order]), name)
+
+
+def number_rows(ordered: DataFrame, name: str = "position") -> DataFrame:
+    """The rows of a sorted table with their numbers from 0."""
+    ranked = cut(ordered.withColumn("_id", F.monotonically_increasing_id()))
     # The id holds the slice number above bit 33 and the row number inside the slice below it.
     ranked = ranked.withColumn("_slice", F.shiftright("_id", 33)).withColumn(
         "_row", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
@@ -27,19 +32,24 @@ def with_position(df: DataFrame, order: list[Column | str], name: str = "positio
     earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
     return ranked.join(F.broadcast(starts), "_slice").select(
-        *df.columns, (F.col("_start") + F.col("_row")).alias(name)
+        *ordered.columns, (F.col("_start") + F.col("_row")).alias(name)
     )
 
 
-def running_total(df: DataFrame, order: str, value: str, name: str, width: int = 4096) -> DataFrame:
+def running_total(df: DataFrame, order: str, value: str, name: str, width: int = 4096, levels: int = 2) -> DataFrame:
     """Running sum along a column of whole numbers from 0 with one row per value.
 
-    Rows are summed inside blocks of ``width`` values; only the block totals meet in one task.
+    Rows are summed inside blocks of ``width`` values, block totals inside blocks of blocks, and so on for ``levels``;
+    only the totals of the last level meet in one task, one for ``width`` ** ``levels`` values.
     """
     blocked = df.withColumn("_block", F.expr(f"{order} div {width}"))
     totals = blocked.groupBy("_block").agg(F.sum(value).alias("_total"))
-    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select("_block", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+    if levels > 1:
+        upto = running_total(totals.withColumnRenamed("_block", "_at"), "_at", "_total", "_upto", width, levels - 1)
+        before = upto.select(F.col("_at").alias("_block"), (F.col("_upto") - F.col("_total")).alias("_before"))
+    else:
+        earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        before = totals.select("_block", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         blocked.withColumn("_inside", F.sum(value).over(inside))
@@ -58,15 +68,15 @@ def _bin(v: Column) -> Column:
     return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0)).cast("bigint")
 
 
-def group_quantile(df: DataFrame, group: str, value: str, q: float, name: str) -> DataFrame:
-    """Exact interpolated quantile per group, for groups of any size.
+def group_quantile(df: DataFrame, group: str, value: str, q: float, name: str, rows: str = "_rows") -> DataFrame:
+    """Exact interpolated quantile per group, for groups of any size, and the number of values it is taken over (``rows``).
 
     Values are first counted in logarithmic bins (map-side combine). Only the one or two bins that hold the wanted
     ranks are read again, and there equal values collapse to a count before they are ordered.
     """
     values = df.select(group, number(value).alias("_v")).where(F.col("_v").isNotNull())
-    rows = values.withColumn("_bin", _bin(F.col("_v")))
-    bins = rows.groupBy(group, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    binned = values.withColumn("_bin", _bin(F.col("_v")))
+    bins = binned.groupBy(group, "_bin").agg(F.count(F.lit(1)).alias("_n"))
     in_bins = Window.partitionBy(group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     ranked = bins.withColumn("_upto", F.sum("_n").over(in_bins)).withColumn(
         "_all", F.sum("_n").over(Window.partitionBy(group))
@@ -83,17 +93,17 @@ def group_quantile(df: DataFrame, group: str, value: str, q: float, name: str) -
         of("_before", high).alias("_high_before"),
     )
     columns = ["_all", "_low_bin", "_low_before", "_high_bin", "_high_before"]
-    near = lookup(rows, wanted, [group], columns, weight="_all").where(
+    near = lookup(binned, wanted, [group], columns, weight="_all").where(
         (F.col("_bin") == F.col("_low_bin")) | (F.col("_bin") == F.col("_high_bin"))
     )
     before = F.when(F.col("_bin") == F.col("_low_bin"), F.col("_low_before")).otherwise(F.col("_high_before"))
     values = near.groupBy(
-        group, "_bin", before.alias("_before"), low.alias("_low"), high.alias("_high"), (rank - low).alias("_part"), "_v"
+        group, "_bin", "_all", before.alias("_before"), low.alias("_low"), high.alias("_high"), (rank - low).alias("_part"), "_v"
     ).agg(F.count(F.lit(1)).alias("_n"))
     in_bin = Window.partitionBy(group, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     placed = values.withColumn("_to", F.col("_before") + F.sum("_n").over(in_bin)).withColumn(
         "_from", F.col("_to") - F.col("_n")
     )
     at = lambda r: F.max(F.when((F.col("_from") <= F.col(r)) & (F.col(r) < F.col("_to")), F.col("_v")))
-    ends = placed.groupBy(group).agg(at("_low").alias("_lv"), at("_high").alias("_hv"), F.max("_part").alias("_part"))
-    return ends.select(group, (F.col("_lv") + (F.col("_hv") - F.col("_lv")) * F.col("_part")).alias(name))
+    ends = placed.groupBy(group).agg(at("_low").alias("_lv"), at("_high").alias("_hv"), F.max("_part").alias("_part"), F.max("_all").alias("_all"))
+    return ends.select(group, F.col("_all").alias(rows), (F.col("_lv") + (F.col("_hv") - F.col("_lv")) * F.col("_part")).alias(name))

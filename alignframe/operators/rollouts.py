@@ -27,8 +27,8 @@ def dedupe_references(df: DataFrame, prompt: str, ref: str, order: str) -> DataF
 def drop_consecutive(df: DataFrame, group: list[str], column: str, order: str, block: Column) -> DataFrame:
     """Collapse runs of equal values along ``order`` inside each group.
 
-    ``block`` cuts a group into pieces that follow ``order``, so that a group of any size is handled in pieces. A
-    row that opens a piece looks at the last row of the piece before it.
+    ``block``, a whole number, cuts a group into pieces that follow ``order``, so that a group of any size is handled in
+    pieces. A row that opens a piece looks at the last row of the piece before it.
     """
     pieced = df.withColumn("_block", block)
     inside = Window.partitionBy(*group, "_block").orderBy(order)
@@ -36,13 +36,28 @@ def drop_consecutive(df: DataFrame, group: list[str], column: str, order: str, b
         {"_previous": F.lag(F.struct(column)).over(inside), "_nth": F.row_number().over(inside)}
     )
     ends = pieced.groupBy(*group, "_block").agg(F.max_by(F.struct(column), order).alias("_end"))
-    chain = Window.partitionBy(*group).orderBy("_block")
-    before = ends.select(*group, "_block", F.lag("_end").over(chain).alias("_end"))
+    before = _previous_end(ends, group)
     joined = marked.join(before, [*group, "_block"], "left")
     previous = F.when(F.col("_nth") == 1, F.col("_end")).otherwise(F.col("_previous"))
     return joined.where(previous.isNull() | ~previous[column].eqNullSafe(F.col(column))).select(*df.columns)
 
 
+_PIECES = 4096
+
+
+def _previous_end(ends: DataFrame, group: list[str]) -> DataFrame:
+    """``_end`` of the piece before each piece. Pieces are chained inside stretches of ``_PIECES`` numbers; only one row per
+    stretch is chained over a whole group."""
+    placed = ends.withColumn("_stretch", F.floor(F.col("_block") / _PIECES))
+    chain = Window.partitionBy(*group, "_stretch").orderBy("_block")
+    inside = placed.withColumns({"_before": F.lag("_end").over(chain), "_nth_piece": F.row_number().over(chain)})
+    lasts = placed.groupBy(*group, "_stretch").agg(F.max_by("_end", "_block").alias("_last"))
+    over_group = Window.partitionBy(*group).orderBy("_stretch")
+    earlier = lasts.select(*group, "_stretch", F.lag("_last").over(over_group).alias("_last"))
+    joined = inside.join(earlier, [*group, "_stretch"])
+    return joined.select(*group, "_block", F.when(F.col("_nth_piece") == 1, F.col("_last")).otherwise(F.col("_before")).alias("_end"))
+
+
 def attach_references(rollouts: DataFrame, refs: DataFrame, prompt: str, ref: str) -> DataFrame:
     """The reference of its prompt on every rollout; ``refs`` has one row per prompt."""
     return lookup(rollouts, refs, [prompt], [ref])
@@ -74,15 +89,16 @@ def group_advantages(df: DataFrame, group: str, reward: str, scale: bool = True)
     """Adds ``group_mean, group_std, advantage, zero_std``.
 
     Group statistics are an aggregate with map-side combine, looked up per row; a window would gather a group in one
-    task. A group of one has no spread: its advantage is 0.
+    task. A group of one has no spread: its advantage is 0. A row without reward has no advantage and does not count in
+    its group's statistics.
     """
     stats = df.groupBy(group).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.avg(reward).alias("group_mean"),
-        F.coalesce(F.stddev_samp(reward), F.lit(0.0)).alias("group_std"),
+        F.avg(number(reward)).alias("group_mean"),
+        F.coalesce(F.stddev_samp(number(reward)), F.lit(0.0)).alias("group_std"),
     )
     rows = lookup(df, stats, [group], ["group_mean", "group_std"], weight="_n")
-    distance = F.col(reward) - F.col("group_mean")
+    distance = number(reward) - F.col("group_mean")
     advantage = distance / (F.col("group_std") + STD_EPSILON) if scale else distance
     return rows.withColumns({"advantage": advantage, "zero_std": F.abs("group_std") <= ZERO_STD})
 
@@ -97,8 +113,8 @@ def reward_report(df: DataFrame, group: str, reward: str, rewards: list[str]) ->
 
     spread = df.groupBy(group).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(reward).alias("total"),
-        F.coalesce(F.stddev_samp(reward), F.lit(0.0)).alias("std"),
+        F.sum(number(reward)).alias("total"),
+        F.coalesce(F.stddev_samp(number(reward)), F.lit(0.0)).alias("std"),
     )
     # Every rollout carries its group's statistics, so groups weigh by their size; the share counts groups.
     groups = spread.agg(
@@ -142,8 +158,9 @@ def completion_report(df: DataFrame, length: str = "length", terminated: str = "
 
 
 def minmax_scale(df: DataFrame, column: str, group: str | None = None, out: str = "scaled") -> DataFrame:
-    """Rescale to 0..1 over the table or over each group; a constant column becomes 0."""
-    ends = [F.min(column).alias("_low"), F.max(column).alias("_high")]
+    """Rescale to 0..1 over the table or over each group; a constant column becomes 0, a missing value stays missing."""
+    value = number(column)
+    ends = [F.min(value).alias("_low"), F.max(value).alias("_high")]
     if group is None:
         span = df.agg(F.struct(*ends).alias("_span"))
         rows = df.withColumn("_span", span.scalar()).withColumns(
@@ -152,8 +169,8 @@ def minmax_scale(df: DataFrame, column: str, group: str | None = None, out: str
     else:
         spans = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), *ends)
         rows = lookup(df, spans, [group], ["_low", "_high"], weight="_n")
-    scaled = F.when(F.col("_low") == F.col("_high"), F.lit(0.0)).otherwise(
-        (F.col(column) - F.col("_low")) / (F.col("_high") - F.col("_low"))
+    scaled = F.when(value.isNull(), F.lit(None).cast("double")).when(F.col("_low") == F.col("_high"), F.lit(0.0)).otherwise(
+        (value - F.col("_low")) / (F.col("_high") - F.col("_low"))
     )
     return rows.withColumn(out, scaled).select(*df.columns, out)
 

@@ -6,7 +6,9 @@ No fixture needs a rank over a whole table or over a group of unknown size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alignframe.functions import logic
@@ -107,8 +109,13 @@ def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both orders of every question but those divisible by 50, which got no answer."""
-    return _derive(table(spark, sf_dir, "orders"), VERDICTS).where("idx % 50 <> 0")
+    """Both orders of every question."""
+    return _derive(table(spark, sf_dir, "orders"), VERDICTS)
+
+
+def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions divisible by 50 got no answer, so that the rates have invalid rows to count."""
+    return verdicts(spark, sf_dir).where("idx % 50 <> 0")
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,9 +197,13 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark passage, whole, as claim. Passages are shorter and longer than 200 characters."""
     faithful = F.when(F.col("quality") == 1, "faithful").otherwise("unfaithful")
-    return _labelled(spark, sf_dir).select(
-        "doc_id", F.col("text").alias("document"), F.substring("text", 1, 150).alias("claim"), faithful.alias("label")
+    items = table(spark, sf_dir, "benchmark")
+    size = items.agg(F.count(F.lit(1))).scalar()
+    docs = _labelled(spark, sf_dir).withColumn("item_id", F.pmod("doc_id", size))
+    return docs.join(items.select("item_id", F.col("text").alias("claim")), "item_id").select(
+        "doc_id", F.col("text").alias("document"), "claim", faithful.alias("label")
     )
 
 
@@ -203,14 +214,14 @@ def bitext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return side(0, "src").join(side(1, "ref"), "pair_id")
 
 
-def token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def token_pairs(spark: SparkSession, sf_dir: str, tokens: Callable[[str], Column] = words) -> DataFrame:
     """Hypothesis and reference tokens of the text pairs, with a direction and a batch."""
     return bitext(spark, sf_dir).select(
         "pair_id",
         F.when(F.col("pair_id") % 2 == 0, "forward").otherwise("backward").alias("direction"),
         F.expr("pair_id div 16").alias("batch_id"),
-        words("src").alias("hyp"),
-        words("ref").alias("ref"),
+        tokens("src").alias("hyp"),
+        tokens("ref").alias("ref"),
     )
 
 

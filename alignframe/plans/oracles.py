@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from alignframe.functions.logic import _LITERAL, SYMBOLS, _NAME
+from alignframe.functions.text import PUNCTUATION
 from alignframe.operators import prompts
 from alignframe.plans import fixtures as fx
-from alignframe.plans.queries import JUDGE_TEMPLATE, SHORT_JUDGE_TEMPLATE
+from alignframe.plans.queries import JUDGE_SYSTEM, JUDGE_TEMPLATE, SHORT_JUDGE_TEMPLATE
 
 
 def _quote(text: str) -> str:
@@ -84,8 +84,9 @@ _CTE: dict[str, str] = {
         CASE better_response_id WHEN 0 THEN response_1 ELSE response_0 END AS rejected FROM pref_pairs""",
     "agreed": """SELECT * FROM picked WHERE better_response_id = safer_response_id
         AND coalesce(CASE better_response_id WHEN 0 THEN is_response_0_safe ELSE is_response_1_safe END, false)""",
-    "summaries": """SELECT doc_id, text AS document, substr(text, 1, 150) AS claim,
-        CASE WHEN quality = 1 THEN 'faithful' ELSE 'unfaithful' END AS label FROM labelled""",
+    "summaries": """SELECT doc_id, l.text AS document, i.text AS claim,
+        CASE WHEN quality = 1 THEN 'faithful' ELSE 'unfaithful' END AS label FROM labelled l
+        JOIN benchmark i ON i.item_id = l.doc_id % (SELECT count(*) FROM benchmark)""",
     "claim_prompts": f"SELECT *, {_render(prompts.CLAIM_TO_FORMULA, claim='claim')} AS prompt FROM summaries",
     "spoken": """SELECT conv_id, max(turn) FILTER (role <> 'system') AS last_turn FROM conversations GROUP BY conv_id""",
     "answers": """SELECT conv_id - 1 AS conv_id, arg_max(text, turn) AS answer FROM conversations
@@ -114,10 +115,17 @@ _CTE: dict[str, str] = {
         AND list_position(ids, 0) > 0 AS terminated FROM completions""",
     "measured": "SELECT *, CASE WHEN terminated THEN ended_at ELSE len(ids) END AS length FROM masked",
     "token_stats": _select(fx.TOKEN_STATS, "lineitem"),
-    "verdicts": f"SELECT * FROM ({_select(fx.VERDICTS, 'orders')}) WHERE idx % 50 <> 0",
+    "verdicts": _select(fx.VERDICTS, "orders"),
+    "answered": f"SELECT * FROM ({_select(fx.VERDICTS, 'orders')}) WHERE idx % 50 <> 0",
     "judged": _select(fx.JUDGED, "orders WHERE o_orderkey % 2 = 0"),
     "read": """SELECT *, CASE WHEN json_valid(raw) THEN json_extract_string(raw, '$.better_answer') END AS output
         FROM verdicts""",
+    "read_answered": """SELECT *, CASE WHEN json_valid(raw) THEN json_extract_string(raw, '$.better_answer') END AS output
+        FROM answered""",
+    "board_answered": """SELECT idx, sum(CASE WHEN output = target THEN 1 WHEN output IN ('A', 'B') THEN -1 ELSE 0 END)::BIGINT
+        AS net FROM read_answered WHERE output IS NOT NULL GROUP BY idx""",
+    "outcomes_answered": """SELECT idx, net, CASE WHEN net > 0 THEN 'win' WHEN net < 0 THEN 'lost' ELSE 'tie' END AS outcome
+        FROM board_answered""",
     "board": """SELECT idx, sum(CASE WHEN output = target THEN 1 WHEN output IN ('A', 'B') THEN -1 ELSE 0 END)::BIGINT
         AS net FROM read WHERE output IS NOT NULL GROUP BY idx""",
     "outcomes": """SELECT idx, net, CASE WHEN net > 0 THEN 'win' WHEN net < 0 THEN 'lost' ELSE 'tie' END AS outcome
@@ -125,6 +133,11 @@ _CTE: dict[str, str] = {
     "formula_pairs": f"{_select(fx.FORMULA_PAIRS, '(' + _select(fx.FORMULA_BODIES, 'part') + ')')}",
 }
 
+# The same alphabet and shapes as the library's, written down on their own.
+SYMBOLS = "⊕∨∧→↔∀∃¬(),"
+_NAME = r"[^⊕∨∧→↔∀∃¬(),\s]+"
+_LITERAL = r"[^⊕∨∧→↔∀∃¬(),\s]+ \( [^⊕∨∧→↔∀∃¬(),\s]+(?: , [^⊕∨∧→↔∀∃¬(),\s]+)* \)"
+
 # Formula tokens: pad the symbols, then bracket words of two or more characters and let adjoining brackets vanish.
 _PADDED = rf"regexp_replace({{0}}, '([{SYMBOLS}])', ' \1 ', 'g')"
 _RAW = rf"list_filter(list_transform(string_split_regex({_PADDED}, '\s+'), lambda t: replace(t, '''', '')), lambda t: t <> '')"
@@ -164,8 +177,13 @@ _CTE |= {
 }
 
 
+# Tables that others read more than once and that are costly to make.
+_READ_OFTEN = {"formula_pairs", "pred_lits", "gold_lits", "vectors", "similarity", "best", "bindings"}
+
+
 def _with(names: str, body: str) -> str:
-    return "WITH " + ", ".join(f"{n} AS ({_CTE[n]})" for n in names.split()) + " " + body
+    kept = lambda n: " MATERIALIZED" if n in _READ_OFTEN else ""
+    return "WITH " + ", ".join(f"{n} AS{kept(n)} ({_CTE[n]})" for n in names.split()) + " " + body
 
 
 def _bleu_counts(source: str, keys: str) -> str:
@@ -194,6 +212,15 @@ _CTE |= {
     "token_pairs": f"""SELECT pair_id, CASE WHEN pair_id % 2 = 0 THEN 'forward' ELSE 'backward' END AS direction,
         pair_id // 16 AS batch_id, {_words('src')} AS hyp, {_words('ref')} AS ref FROM bitext""",
 }
+def _set_apart(x: str) -> str:
+    for pattern, put in PUNCTUATION:
+        x = f"regexp_replace({x}, '{pattern}', '{put.replace('$', chr(92))}', 'g')"
+    return x
+
+
+_TRANSLATION_TOKENS = _CTE["token_pairs"].replace(_words("src"), _words(_set_apart("src"))).replace(
+    _words("ref"), _words(_set_apart("ref"))
+)
 _BLEU = f"{_bleu_counts('token_pairs', 'pair_id')}, scored AS ({_bleu_score('counts', 'pair_id')})"
 _TOKENS_WITH = f"WITH bitext AS ({_CTE['bitext']}), token_pairs AS ({_CTE['token_pairs']}), "
 _SUMS = "SELECT {0}, n, sum(t) AS t, sum(m) AS m, sum(h) AS h, sum(r) AS r, count(*) AS rows FROM counts JOIN token_pairs USING (pair_id) GROUP BY ALL"
@@ -299,6 +326,22 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, array_to_string(ids, ',') AS input_ids, array_to_string(
             list_transform(range(len(ids)), lambda i: CASE WHEN i < np THEN -100 ELSE ids[i + 1] END), ',') AS labels,
             len(ids)::BIGINT AS n FROM whole""",
+    "i5_group_advantages_missing": _with(
+        "rollouts",
+        """SELECT prompt_id, part_id, supp_id, line_no, round((v - m) / (s + 1e-4), 6) AS advantage, abs(s) <= 1e-8 AS zero_std
+        FROM (SELECT *, avg(v) OVER g AS m, coalesce(stddev_samp(v) OVER g, 0) AS s FROM (
+            SELECT *, CASE WHEN isnan(reward_b) THEN NULL ELSE reward_b END AS v FROM rollouts)
+        WINDOW g AS (PARTITION BY prompt_id))""",
+    ),
+    "i9_minmax_scale_missing": _with(
+        "rollouts",
+        """SELECT prompt_id, part_id, supp_id, line_no,
+        round(CASE WHEN v IS NULL THEN NULL WHEN gl = gh THEN 0 ELSE (v - gl) / (gh - gl) END, 6) AS in_group,
+        round(CASE WHEN v IS NULL THEN NULL WHEN tl = th THEN 0 ELSE (v - tl) / (th - tl) END, 6) AS in_table
+        FROM (SELECT *, min(v) OVER (PARTITION BY prompt_id) AS gl, max(v) OVER (PARTITION BY prompt_id) AS gh,
+        min(v) OVER () AS tl, max(v) OVER () AS th FROM (
+            SELECT *, CASE WHEN isnan(reward_b) THEN NULL ELSE reward_b END AS v FROM rollouts))""",
+    ),
     "e2_split_by_key": f"""SELECT doc_id, CASE WHEN {_bucket('doc_id', 0, 1_000_000)} < 200000 THEN 'test' ELSE 'train' END
         AS part FROM documents""",
     "e3_seeded_order": """SELECT o_orderkey, row_number() OVER (ORDER BY md5('0:' || o_orderkey), o_orderkey) - 1
@@ -323,6 +366,20 @@ ORACLES: dict[str, str] = {
     "f2_by_direction": _TOKENS_WITH + _BLEU + """ SELECT direction, count(*) AS rows, round(avg(bleu), 6) AS bleu,
         round(max(bleu), 6) AS best, sum(len(hyp))::BIGINT AS tokens FROM token_pairs JOIN scored USING (pair_id)
         GROUP BY direction""",
+    "f2_translation_evaluation": f"WITH bitext AS ({_CTE['bitext']}), token_pairs AS ({_TRANSLATION_TOKENS}), "
+    + _bleu_counts("token_pairs", "pair_id")
+    + f""", sums AS ({_SUMS.format('direction, batch_id')}),
+        overlap AS (SELECT s.*, t > 0 AS long FROM ({_bleu_score('sums', 'direction, batch_id')}) s
+            JOIN (SELECT direction, batch_id, min(t) AS t FROM sums GROUP BY ALL) USING (direction, batch_id)),
+        weighted AS (SELECT direction, sum(rows)::BIGINT AS rows,
+            round(sum(CASE WHEN long THEN bleu ELSE 0 END * rows) / sum(rows), 6) AS bleu FROM overlap
+            JOIN (SELECT direction, batch_id, max(rows) AS rows FROM sums GROUP BY ALL) USING (direction, batch_id)
+            GROUP BY direction)
+        SELECT direction, rows, bleu, quality FROM weighted JOIN (SELECT direction, round(avg((pair_id % 10) / 10), 6) AS quality
+            FROM token_pairs GROUP BY direction) USING (direction)""",
+    "m1_translation_reward": _TOKENS_WITH
+    + _BLEU
+    + " SELECT pair_id, round(bleu * 0.5 + (pair_id % 10) / 10 * 0.5, 6) AS reward FROM scored",
     "g1_sentence_bleu": _TOKENS_WITH + _BLEU + " SELECT pair_id, round(bleu, 6) AS bleu FROM scored",
     "g2_corpus_bleu": _TOKENS_WITH
     + _bleu_counts("token_pairs", "pair_id")
@@ -500,7 +557,7 @@ ORACLES |= {
         "token_stats",
         f""", base AS (SELECT batch_id, avg(l / greatest(t, 1)) AS loss FROM ({_SEQ}) GROUP BY batch_id),
         anchor AS (SELECT batch_id, {_MASKED(_CLIP('logp - (ref_logp - 0.5)', 0.8, 1.2))} AS a FROM token_stats
-            WHERE pos % 3 = 0 GROUP BY batch_id)
+            GROUP BY batch_id)
         SELECT batch_id, round(loss - coalesce(a, 0) / 8, 6) AS loss, round(-coalesce(a, 0), 6) AS loss_corrected
         FROM base LEFT JOIN anchor USING (batch_id)""",
     ).replace(") , base AS", "), base AS"),
@@ -525,11 +582,21 @@ ORACLES |= {
     ),
     "k3_pair_scoreboard": _with("verdicts read board outcomes", "SELECT idx, net, outcome FROM outcomes"),
     "k4_win_rates": _with(
-        "verdicts judged read board outcomes",
+        "answered judged read_answered board_answered outcomes_answered",
         """SELECT subset, round(count(*) FILTER (outcome = 'win') / count(*), 6) AS win,
         round(count(*) FILTER (outcome = 'lost') / count(*), 6) AS lost,
         round(count(*) FILTER (outcome = 'tie') / count(*), 6) AS tie, count(*) AS total,
-        count(*) FILTER (outcome IS NULL) AS invalid FROM judged LEFT JOIN outcomes USING (idx) GROUP BY subset""",
+        count(*) FILTER (outcome IS NULL) AS invalid FROM judged LEFT JOIN outcomes_answered USING (idx) GROUP BY subset""",
+    ),
+    "k1_judge_chat": _with(
+        "labelled pref_pairs picked",
+        "SELECT pair_id AS idx, target, md5(" + _quote(f"<|system|>\n{JUDGE_SYSTEM}\n<|user|>\n")
+        + " || message || " + _quote("\n<|assistant|>\n") + ") AS chat FROM ("
+        + " UNION ALL ".join(
+            f"SELECT pair_id, '{target}' AS target, {_render(JUDGE_TEMPLATE, question='prompt', answer_a=a, answer_b=b)} AS message FROM picked"
+            for target, a, b in (("A", "chosen", "rejected"), ("B", "rejected", "chosen"))
+        )
+        + ")",
     ),
     "l1_append_unscored_stream": _with(
         "labelled summaries claim_prompts", "SELECT doc_id, length(prompt)::BIGINT AS score FROM claim_prompts"
@@ -542,13 +609,18 @@ ORACLES |= {
     ),
     "m2_task_dialogue": _with(
         "spoken answers transcripts parsed",
-        f"""SELECT conv_id, subset, {_chat('mc[:-2]')} || '<|assistant|>' || chr(10) AS prompt,
-        mc[-1].content AS better_answer FROM parsed WHERE lc = '' AND len(mc) > 0""",
+        f"""SELECT conv_id, subset, lc <> '' OR len(mc) = 0 AS malformed, {_chat('mc[:-2]')} || '<|assistant|>' || chr(10)
+        AS prompt, mc[-1].content AS better_answer FROM parsed""",
     ),
     "m2_task_formula": _with(
         "formula_pairs",
-        f"""SELECT pair_id, {_render(prompts.NL_TO_FORMULA, NL="('Part ' || pair_id || ' is heavy.')")} AS prompt, gold AS FOL
-        FROM formula_pairs WHERE {_bucket('pair_id', 2, 1_000_000)} >= 200000""",
+        f"""SELECT pair_id, CASE WHEN {_bucket('pair_id', 2, 1_000_000)} < 200000 THEN 'test' ELSE 'train' END AS part,
+        {_render(prompts.NL_TO_FORMULA, NL="('Part ' || pair_id || ' is heavy.')")} AS prompt, gold AS FOL FROM formula_pairs""",
+    ),
+    "m2_task_distill": _with(
+        "labelled summaries",
+        f"""SELECT doc_id, CASE WHEN {_bucket('doc_id', 0, 1_000_000)} < 200000 THEN 'test' ELSE 'train' END AS part,
+        md5({_render(prompts.PASSAGE_TO_FORMULA, document='document')}) AS prompt, claim FROM summaries WHERE length(document) >= 200""",
     ),
 }
 
@@ -662,16 +734,29 @@ ORACLES["h6_truth_agreement"] = _with(
         assigned AS (SELECT pair_id, {_assigned('g')} AS g, {_assigned('p')} AS p FROM lists),
         texts AS (SELECT DISTINCT g AS t FROM assigned UNION SELECT p FROM assigned),
         known AS MATERIALIZED (SELECT t, {_reduced('t')} AS v FROM texts)
-        SELECT pair_id, round(avg(CASE WHEN x.v = y.v THEN 1.0 ELSE 0.0 END), 6) AS score FROM assigned
-        JOIN known x ON x.t = g JOIN known y ON y.t = p WHERE x.v IN ('T', 'F') AND y.v IN ('T', 'F') GROUP BY pair_id""",
+        , agreed AS (SELECT pair_id, round(avg(CASE WHEN x.v = y.v THEN 1.0 ELSE 0.0 END), 6) AS score FROM assigned
+        JOIN known x ON x.t = g JOIN known y ON y.t = p WHERE x.v IN ('T', 'F') AND y.v IN ('T', 'F') GROUP BY pair_id)
+        SELECT f.pair_id, score, CASE WHEN s.pair_id IS NULL THEN 'over budget' WHEN score IS NULL THEN 'not well formed' END AS reason
+        FROM formula_pairs f LEFT JOIN small s USING (pair_id) LEFT JOIN agreed USING (pair_id)""",
 ).replace(") , small AS", "), small AS")
+ORACLES["k4_report_lines"] = f"""SELECT 'run-1' AS run, subset, metric, value FROM (
+    SELECT subset, win, lost, tie, total::DOUBLE AS total, invalid::DOUBLE AS invalid FROM ({ORACLES['k4_win_rates']}))
+    UNPIVOT (value FOR metric IN (win, lost, tie, total, invalid))"""
+ORACLES["j3_clipped_objective_entropy"] = _with(
+    "token_stats",
+    f""", cuts AS (SELECT batch_id, quantile_cont(entropy, 0.8) AS cut FROM token_stats WHERE mask = 1 GROUP BY batch_id),
+    seqs AS (SELECT batch_id, seq_id, sum(((-least(exp(logp - old_logp) * advantage, {_CLIP('exp(logp - old_logp)', 0.8, 1.2)} * advantage))
+        * (mask = 1 AND entropy >= cut)::INT + 0.12 * ({_KL})) * mask) AS l, sum(mask) AS t FROM token_stats JOIN cuts USING (batch_id)
+        GROUP BY ALL)
+    SELECT batch_id, round(avg(l / greatest(t, 1)), 6) AS loss FROM seqs GROUP BY batch_id""",
+).replace(") , cuts AS", "), cuts AS")
 ORACLES["m2_task_translation"] = (
     "SELECT seq, direction, prompt FROM (" + ORACLES["f1_bidirectional"] + ")"
 )
 
 _EXACT = "coalesce(score, 0) AS score"
-_REWARDED = f"""SELECT l_orderkey AS prompt_id, l_partkey AS part_id, l_linenumber AS line_no, {_EXACT}
-    FROM lineitem LEFT JOIN ({ORACLES['h8_logical_equivalence_threshold'].replace('round(coalesce(score, 0), 6) AS score', _EXACT)})
+_REWARDED = f"""SELECT l_orderkey AS prompt_id, l_partkey AS part_id, l_linenumber AS line_no,
+    CASE WHEN l_partkey % 50 <> 7 THEN coalesce(score, 0) END AS score FROM lineitem LEFT JOIN ({ORACLES['h8_logical_equivalence_threshold'].replace('round(coalesce(score, 0), 6) AS score', _EXACT)})
     ON pair_id = l_partkey"""
 ORACLES["h11_preference_reward"] = f"SELECT prompt_id, part_id, line_no, round(score, 6) AS reward FROM ({_REWARDED})"
 ORACLES["flagship_formula_advantages"] = f"""SELECT prompt_id, part_id, line_no, round(score, 6) AS reward,

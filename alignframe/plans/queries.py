@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from alignframe.functions import logic
+from alignframe.functions.text import translation_tokens
 from alignframe.operators import (
     bitext,
     dialogue,
@@ -23,7 +24,7 @@ from alignframe.operators import (
     rollouts,
 )
 from alignframe.plans import fixtures as fx
-from alignframe.plans.tasks import prepare_task
+from alignframe.plans.tasks import prepare_task, task_reward
 from alignframe.session import cut, fresh_path
 from alignframe.sources import io
 from alignframe.streaming import incremental
@@ -233,13 +234,13 @@ def e2(spark, d):
 @query("e3_seeded_order")
 def e3(spark, d):
     keys = fx.table(spark, d, "orders").select("o_orderkey")
-    return ranking.with_position(keys, [examples.shuffle_key("o_orderkey", 0), "o_orderkey"])
+    return ranking.number_rows(examples.seeded_order(keys, "o_orderkey", 0))
 
 
 @query("e3_length_order")
 def e3_length(spark, d):
-    lengths = fx.table(spark, d, "documents").select("doc_id", F.length("text").alias("chars"))
-    return ranking.with_position(lengths, ["chars", "doc_id"]).select("doc_id", "position")
+    ordered = examples.length_order(fx.table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id")
+    return ranking.number_rows(ordered.select("doc_id"))
 
 
 @query("e4_padding_report")
@@ -263,6 +264,13 @@ def f1(spark, d):
     )
 
 
+@query("f2_translation_evaluation")
+def f2_evaluation(spark, d):
+    pairs = fx.token_pairs(spark, d, translation_tokens).withColumn("quality", (F.col("pair_id") % 10) / 10)
+    scored = bitext.translation_evaluation(pairs, "pair_id", "hyp", "ref", "batch_id", "quality")
+    return scored.withColumns({"bleu": r6("bleu"), "quality": r6("quality")})
+
+
 @query("f2_by_direction")
 def f2(spark, d):
     pairs = fx.token_pairs(spark, d).withColumn("length", F.size("hyp").cast("bigint"))
@@ -352,9 +360,10 @@ def h5(spark, d):
 
 @query("h6_truth_agreement")
 def h6(spark, d):
-    """Every prediction against its gold formula, literals bound by position."""
+    """Every prediction against its gold formula, literals bound by position; a pair without a score says why."""
     pairs = fx.formula_pairs(spark, d)
-    read = pairs.where(logic.in_budget("gold") & logic.in_budget("pred")).select(
+    fits = logic.in_budget("gold") & logic.in_budget("pred")
+    read = pairs.where(fits).select(
         "pair_id",
         logic.postfix("gold").alias("gold_order"),
         logic.postfix("pred").alias("pred_order"),
@@ -362,7 +371,9 @@ def h6(spark, d):
         F.transform(logic.literals("pred"), lambda _, i: i).alias("pred_vars"),
     ).where(F.col("gold_order").isNotNull() & F.col("pred_order").isNotNull())
     bound = read.withColumn("variables", F.greatest(F.size("gold_vars"), F.size("pred_vars")))
-    return equivalence.truth_agreement(bound, ["pair_id"]).withColumn("score", r6("score"))
+    scored = equivalence.truth_agreement(bound, ["pair_id"]).withColumn("score", r6("score"))
+    reason = F.when(~F.col("fits"), "over budget").when(F.col("score").isNull(), "not well formed")
+    return pairs.select("pair_id", fits.alias("fits")).join(scored, "pair_id", "left").select("pair_id", "score", reason.alias("reason"))
 
 
 @query("h7_candidate_bindings")
@@ -422,7 +433,8 @@ def _text_formulas(spark, d):
     )
     rolled = fx.rollouts(spark, d).select(
         "prompt_id", "part_id", "line_no",
-        F.concat(F.lit("answer "), F.col("part_id")).alias("completion"),
+        # Some completions were never turned into formulas.
+        F.concat(F.when(F.col("part_id") % 50 == 7, "unknown ").otherwise("answer "), F.col("part_id")).alias("completion"),
         F.concat(F.lit("label "), F.col("part_id")).alias("reference"),
     )
     return rolled, formulas
@@ -501,6 +513,13 @@ def i5(spark, d):
     return scored.select(*_ROLLOUT_KEY, r6("advantage").alias("advantage"), "zero_std")
 
 
+@query("i5_group_advantages_missing")
+def i5_missing(spark, d):
+    """A reward that does not apply to all rows of a group."""
+    scored = rollouts.group_advantages(fx.rollouts(spark, d), "prompt_id", "reward_b")
+    return scored.select(*_ROLLOUT_KEY, r6("advantage").alias("advantage"), "zero_std")
+
+
 @query("i6_reward_report")
 def i6(spark, d):
     report = rollouts.reward_report(_combined(spark, d), "prompt_id", "reward", ["reward_a", "reward_b"])
@@ -529,6 +548,13 @@ def i9(spark, d):
     return scaled.select(*_ROLLOUT_KEY, r6("in_group").alias("in_group"), r6("in_table").alias("in_table"))
 
 
+@query("i9_minmax_scale_missing")
+def i9_missing(spark, d):
+    scaled = rollouts.minmax_scale(fx.rollouts(spark, d), "reward_b", "prompt_id", "in_group")
+    scaled = rollouts.minmax_scale(scaled, "reward_b", None, "in_table")
+    return scaled.select(*_ROLLOUT_KEY, r6("in_group").alias("in_group"), r6("in_table").alias("in_table"))
+
+
 @query("i10_tokens_seen")
 def i10(spark, d):
     masked = rollouts.completion_mask(fx.completions(spark, d), "ids", 0)
@@ -545,6 +571,12 @@ def m1(spark, d):
     return scored.select(*_ROLLOUT_KEY, r6("discount").alias("discount"), r6("reward").alias("reward"))
 
 
+@query("m1_translation_reward")
+def m1_translation(spark, d):
+    pairs = fx.token_pairs(spark, d).withColumn("quality", (F.col("pair_id") % 10) / 10)
+    return task_reward("translation", pairs).select("pair_id", r6("reward").alias("reward"))
+
+
 # --- token diagnostics
 
 _TOKEN_KEY = ["seq_id", "pos", "part_id"]
@@ -584,6 +616,14 @@ for _loss_type in ("grpo", "bnpo", "dr_grpo"):
     QUERIES[f"j3_clipped_objective_{_loss_type}"] = _objective(_loss_type)
 
 
+@query("j3_clipped_objective_entropy")
+def j3_entropy(spark, d):
+    """The policy term of high-entropy tokens only."""
+    marked = policy.high_entropy_mask(fx.token_stats(spark, d), 0.2)
+    loss = policy.clipped_objective(marked, beta=0.12, entropy_mask="high_entropy")
+    return loss.withColumn("loss", r6("loss"))
+
+
 @query("j4_high_entropy_mask")
 def j4(spark, d):
     return policy.high_entropy_mask(fx.token_stats(spark, d), 0.2).select(*_TOKEN_KEY, "high_entropy")
@@ -603,7 +643,7 @@ def j5(spark, d):
 @query("j6_anchored_objective")
 def j6(spark, d):
     tokens = fx.token_stats(spark, d)
-    anchor = tokens.where("pos % 3 = 0").select("batch_id", "logp", F.expr("ref_logp - 0.5").alias("ref_logp"), "mask")
+    anchor = tokens.select("batch_id", "logp", F.expr("ref_logp - 0.5").alias("ref_logp"), "mask")
     loss = policy.anchored_objective(tokens, anchor, num_generations=8, beta=0.12)
     return loss.withColumns({c: r6(c) for c in ("loss", "loss_corrected")})
 
@@ -622,6 +662,19 @@ def k1(spark, d):
     return requests.unionByName(short).select("idx", "target", "style", F.md5("message").alias("message"))
 
 
+JUDGE_SYSTEM = "You compare two answers to a question and name the better one."
+
+
+@query("k1_judge_chat")
+def k1_chat(spark, d):
+    pairs = prompts.pick_preferred(fx.pref_pairs(spark, d)).select(
+        F.col("pair_id").alias("idx"), F.col("prompt").alias("question"), F.col("chosen").alias("answer"),
+        F.col("rejected").alias("other"),
+    )
+    requests = judging.judge_requests(pairs, JUDGE_TEMPLATE, system=JUDGE_SYSTEM)
+    return requests.select("idx", "target", F.md5(prompts.chat_text(F.col("messages"))).alias("chat"))
+
+
 def _parsed_verdicts(spark, d):
     return judging.parse_verdicts(fx.verdicts(spark, d), "raw")
 
@@ -639,8 +692,19 @@ def k3(spark, d):
 
 @query("k4_win_rates")
 def k4(spark, d):
-    rates = judging.win_rates(judging.pair_scoreboard(_parsed_verdicts(spark, d)), fx.judged(spark, d))
-    return rates.withColumns({c: r6(c) for c in ("win", "lost", "tie")})
+    return _rates(spark, d).withColumns({c: r6(c) for c in ("win", "lost", "tie")})
+
+
+def _rates(spark, d):
+    board = judging.pair_scoreboard(judging.parse_verdicts(fx.answered(spark, d), "raw"))
+    return judging.win_rates(board, fx.judged(spark, d))
+
+
+@query("k4_report_lines")
+def k4_report(spark, d):
+    """The rates of each subset as metric lines."""
+    metrics = {c: F.max(c).cast("double") for c in ("win", "lost", "tie", "total", "invalid")}
+    return io.metric_rows(_rates(spark, d), metrics, "run-1", "subset").withColumn("value", r6("value"))
 
 
 # --- incremental forms
@@ -662,22 +726,23 @@ def l1(spark, d):
 
 @query("l2_scoreboard_stream")
 def l2(spark, d):
-    """The stream's last complete state, written to the shared folder."""
+    """Changed questions of every batch are merged into a table in the shared folder: the last state of each one."""
     source, out, checkpoint = (fresh_path(spark, f"board-{n}") for n in ("in", "out", "progress"))
     parsed = _parsed_verdicts(spark, d).select("idx", "target", "output")
     io.append_results(parsed, source)
     arriving = spark.readStream.schema(parsed.schema).parquet(source)
-    save = lambda batch, _: batch.write.mode("overwrite").parquet(out)
+    save = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/n={n}")
     (
         incremental.scoreboard_stream(arriving)
-        .writeStream.outputMode("complete")
+        .writeStream.outputMode("update")
         .foreachBatch(save)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
         .awaitTermination()
     )
-    return spark.read.parquet(out)
+    latest = spark.read.parquet(out).groupBy("idx").agg(F.max_by(F.struct("net", "outcome"), "batch").alias("s"))
+    return latest.select("idx", "s.net", "s.outcome")
 
 
 # --- tasks
@@ -692,7 +757,7 @@ def m2_preference(spark, d):
 
 @query("m2_task_dialogue")
 def m2_dialogue(spark, d):
-    return prepare_task("dialogue", fx.transcripts(spark, d)).select("conv_id", "subset", "prompt", "better_answer")
+    return prepare_task("dialogue", fx.transcripts(spark, d)).select("conv_id", "subset", "malformed", "prompt", "better_answer")
 
 
 @query("m2_task_translation")
@@ -705,7 +770,12 @@ def m2_formula(spark, d):
     statements = fx.formula_pairs(spark, d).select(
         "pair_id", F.concat(F.lit("Part "), F.col("pair_id"), F.lit(" is heavy.")).alias("NL"), F.col("gold").alias("FOL")
     )
-    return prepare_task("formula", statements).select("pair_id", "prompt", "FOL")
+    return prepare_task("formula", statements).select("pair_id", "part", "prompt", "FOL")
+
+
+@query("m2_task_distill")
+def m2_distill(spark, d):
+    return prepare_task("distillation", fx.summaries(spark, d)).select("doc_id", "part", F.md5("prompt").alias("prompt"), "claim")
 
 
 # --- the flagship: formula rewards of rollouts, group advantages, report

@@ -259,7 +259,69 @@ def test_preference_reward_uses_the_floor_and_scores_every_row(spark):
         [("c1", "A(x) ∧ B(x)"), ("c2", "¬(A(x) ∧ B(x))"), ("r1", "A(x) ∧ B(x)")], "text string, formula string"
     )
     got = {r.id: r.reward for r in eq.preference_reward(completions, formulas, method="edit").collect()}
-    assert got == {1: 1.0, 2: 0.0, 3: 0.0, 4: 1.0}
+    # A text without a formula has no reward, rather than the worst one.
+    assert got == {1: 1.0, 2: 0.0, 3: None, 4: 1.0}
+
+
+def test_wide_formulas_are_exact(spark):
+    """36 literals on either side, within the budget: each occurs once, so the share follows from the parts."""
+    gold = "→".join(f"{chr(65 + i % 26)}({'xyz'[i // 26]})" for i in range(36))
+    pred = "↔".join(f"{chr(97 + i % 26)}({'xyz'[i // 26]})" for i in range(36))
+    assert len(gold) == len(pred) == 179
+    # The chain of equivalences is true on half of all assignments, so the two agree on half.
+    pairs = spark.createDataFrame([(1, gold, pred), (2, gold, gold)], "pair_id long, gold string, pred string")
+    read = pairs.select(
+        "pair_id", logic.postfix("gold").alias("gold_order"), logic.postfix("pred").alias("pred_order"),
+        F.transform(logic.literals("gold"), lambda _, i: i).alias("gold_vars"),
+        F.transform(logic.literals("pred"), lambda _, i: F.when(F.col("pair_id") == 1, i + 36).otherwise(i)).alias("pred_vars"),
+        F.when(F.col("pair_id") == 1, 72).otherwise(36).alias("variables"),
+    )
+    got = {r.pair_id: r.score for r in eq.truth_agreement(read, ["pair_id"]).collect()}
+    assert got[1] == pytest.approx(0.5, abs=1e-12)
+    # All 36 variables occur on both sides: too many to enumerate, and said so.
+    assert got[2] is None
+    sim = similarity_table(spark, [(1, g, f"g{g}", p, f"p{p}", 0.0) for g in range(36) for p in range(36)])
+    scored = eq.logical_equivalence(pairs.where("pair_id = 1"), sim).first()
+    assert scored.score == pytest.approx(0.5, abs=1e-9) and scored.reason is None and scored.complete
+
+
+def test_conditional_and_enumerated_shares_agree(spark, monkeypatch):
+    rng = random.Random(11)
+    names = [f"{c}(x)" for c in "ABCDEFGHI"]
+    rows = []
+    for i in range(40):
+        gold, _ = random_formula(rng, names[: rng.randint(2, 9)], 4)
+        pred, _ = random_formula(rng, names[: rng.randint(2, 9)], 4)
+        rows.append((i, gold, pred))
+    df = spark.createDataFrame(rows, "pair_id int, gold string, pred string").select(
+        "pair_id", logic.postfix("gold").alias("gold_order"), logic.postfix("pred").alias("pred_order"),
+        F.transform(logic.literals("gold"), lambda _, i: i).alias("gold_vars"),
+        F.transform(logic.literals("pred"), lambda _, i: i + 2).alias("pred_vars"),
+    ).withColumn("variables", F.greatest(F.size("gold_vars"), F.size("pred_vars") + 2))
+    counted = {r.pair_id: r.score for r in eq.truth_agreement(df, ["pair_id"]).collect()}
+    # With fewer enumerated variables the same pairs take the other way.
+    monkeypatch.setattr(eq, "_MASK_VARIABLES", -1)
+    monkeypatch.setattr(eq, "_BLOCK_BITS", 1)
+    derived = {r.pair_id: r.score for r in eq.truth_agreement(df, ["pair_id"]).collect()}
+    assert derived == pytest.approx(counted)
+
+
+def test_scores_name_their_reason_and_limits(spark):
+    pairs = spark.createDataFrame(
+        [(1, "A(x) ∧ B(x)", "A(x) ∧ B(x)"), (2, "A(x) ∧", "A(x)"), (3, "A(x)", "∧".join(["A(x)"] * 8))], "pair_id long, gold string, pred string"
+    )
+    sim = eq.formula_similarity(pairs, method="edit")
+    got = {r.pair_id: (r.score, r.reason, r.complete) for r in eq.logical_equivalence(pairs, sim).collect()}
+    assert got == {1: (1.0, None, True), 2: (0.0, eq.NO_BINDING, True), 3: (0.0, eq.OVER_BUDGET, True)}
+    wider = logic.Budget(max_and=20)
+    assert {r.pair_id: r.score for r in eq.logical_equivalence(pairs, eq.formula_similarity(pairs, method="edit", budget=wider), budget=wider).collect()}[3] == 1.0
+    eight = " ∧ ".join(f"{c}(x)" for c in "ABCDEF") + " → G(x) ∨ H(x)"
+    long = spark.createDataFrame([(1, eight, eight)], "pair_id long, gold string, pred string")
+    some = eq.logical_equivalence_permuted(long, binding_limit=10).first()
+    assert some.score == 1.0 and not some.complete
+    seven = " → ".join(f"{c}(x)" for c in "ABCDEFG")
+    whole = eq.logical_equivalence_permuted(spark.createDataFrame([(1, seven, seven)], "pair_id long, gold string, pred string")).first()
+    assert whole.score == 1.0 and whole.complete
 
 
 def test_formula_evaluation_keeps_all_rows_in_the_denominator(spark):

@@ -356,3 +356,56 @@ def test_tasks(spark):
         prepare_task("other", spark.range(1))
     df = spark.createDataFrame([(1, TRANSCRIPT), (2, "bad")], "id int, chosen string")
     assert col(prepare_task("dialogue", df), "id", "better_answer") == [(1, "Because.")]
+
+
+def test_missing_rewards_leave_their_group_alone(spark):
+    rows = [(1, 1.0), (1, 3.0), (1, float("nan")), (1, None), (2, None), (3, 5.0)]
+    df = spark.createDataFrame(rows, "g int, r double")
+    got = sorted((r.g, repr(r.r), r.advantage) for r in rollouts.group_advantages(df, "g", "r", scale=False).collect())
+    assert got == [(1, "1.0", -1.0), (1, "3.0", 1.0), (1, "None", None), (1, "nan", None), (2, "None", None), (3, "5.0", 0.0)]
+    scaled = {repr(r.r): r.scaled for r in rollouts.minmax_scale(df.where("g = 1"), "r").collect()}
+    assert scaled == {"1.0": 0.0, "3.0": 1.0, "nan": None, "None": None}
+
+
+def test_a_null_verdict_is_a_tie(spark):
+    raw = [(1, "A", '{"better_answer": null}'), (2, "A", '{"other": 1}'), (3, "A", "{"), (4, "A", '{"better_answer": "A"}')]
+    df = spark.createDataFrame(raw, "idx int, target string, raw string")
+    parsed = judging.parse_verdicts(df, "raw")
+    assert {r.idx: r.output for r in parsed.collect()} == {1: "", 2: None, 3: None, 4: "A"}
+    assert {r.idx: r.outcome for r in judging.pair_scoreboard(parsed).collect()} == {1: "tie", 4: "win"}
+
+
+def test_requests_for_a_chat_judge(spark):
+    df = spark.createDataFrame([(1, "q", "x", "y")], "idx int, question string, answer string, other string")
+    rows = judging.judge_requests(df, "{question}|{answer_a}|{answer_b}", system="be fair").orderBy("target").collect()
+    assert [[tuple(m) for m in r.messages] for r in rows] == [
+        [("system", "be fair"), ("user", "q|x|y")], [("system", "be fair"), ("user", "q|y|x")],
+    ]
+
+
+def test_runs_collapse_across_stretches_of_pieces(spark, monkeypatch):
+    monkeypatch.setattr(rollouts, "_PIECES", 2)
+    values = [v for v in "aabbbacccccab" for _ in range(3)]
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "g int, at int, v string")
+    kept = rollouts.drop_consecutive(df, ["g"], "v", "at", F.expr("at div 2")).orderBy("at").collect()
+    want = [i for i, v in enumerate(values) if i == 0 or values[i - 1] != v]
+    assert [r.at for r in kept] == want
+
+
+def test_running_totals_over_levels(spark):
+    df = spark.createDataFrame([(i * 3, i) for i in range(100)], "at bigint, n bigint")
+    for levels in (1, 2, 3):
+        got = {r["at"]: r["s"] for r in ranking.running_total(df, "at", "n", "s", 4, levels).collect()}
+        assert got == {i * 3: i * (i + 1) // 2 for i in range(100)}
+
+
+def test_translation_tokens(spark):
+    from alignframe.functions.text import translation_tokens
+
+    df = spark.createDataFrame([('He said: "3.5, or 1,000-2?" (maybe).',)], "t string")
+    assert df.select(translation_tokens("t").alias("w")).first().w == ["He", "said", ":", '"', "3.5", ",", "or", "1,000", "-", "2", "?", '"', "(", "maybe", ")", "."]
+
+
+def test_message_without_content_stays(spark):
+    df = spark.createDataFrame([([("user", None), ("assistant", "x")],)], "m array<struct<role:string,content:string>>")
+    assert prompts.render_chat(df, "m", False).first().prompt == "<|user|>\n\n<|assistant|>\nx\n"

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignframe.llm.common import stored
+from alignframe.llm.common import small_batches, stored
 from alignframe.session import spread
 
 MARK = "▁"
@@ -312,11 +312,11 @@ def decoder(pieces: Pieces):
 
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
-        numbers = ids.flatten().to_numpy(zero_copy_only=False).tolist()
+        numbers = ids.flatten().to_numpy(zero_copy_only=False)
         ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)).tolist()
         out, at = [], 0
         for end in ends:
-            raw = b"".join([joined[i] for i in numbers[at:end]])
+            raw = b"".join([joined[i] for i in numbers[at:end].tolist()])
             out.append((raw[skip:] if raw[:1] == b" " else raw).decode(errors="replace"))
             at = end
         return pa.array(out, type=pa.string())
@@ -326,6 +326,7 @@ def decoder(pieces: Pieces):
 
 def encode(docs: DataFrame, pieces: Pieces, text: str = "text", out: str = "ids", frequent: int = FREQUENT) -> DataFrame:
     """Adds the ids of every whole text as ``array<int>``."""
+    small_batches(docs.sparkSession)
     return docs.withColumn(out, encoder(docs, pieces, text, frequent)(F.col(text)))
 
 

@@ -779,3 +779,40 @@ ORACLES["h12_formula_evaluation"] = _FORMULA_BLEU + f""", sums AS (SELECT pair_i
     SELECT (SELECT count(*) FROM equal) AS rows, (SELECT round(avg(score), 6) FROM equal) AS "LE",
         round(sum(bleu * rows) / sum(rows), 6) AS bleu FROM overlap
     JOIN (SELECT batch_id, max(rows) AS rows FROM sums GROUP BY 1) USING (batch_id)"""
+
+# All permutations by recursion: the list of ranks chosen so far orders them. Each side's truth table is read off once.
+ORACLES["h9_logical_equivalence_permuted"] = _with(
+    "formula_pairs pred_lits gold_lits",
+    f""", small AS ({_SMALL}),
+        lists AS MATERIALIZED (SELECT *, greatest(len(g_l), len(p_l)) AS n FROM small
+            JOIN (SELECT pair_id, list(literal ORDER BY pos) AS g_l FROM gold_lits GROUP BY 1) USING (pair_id)
+            JOIN (SELECT pair_id, list(literal ORDER BY pos) AS p_l FROM pred_lits GROUP BY 1) USING (pair_id)),
+        assigned AS (
+            SELECT pair_id, 'g' AS side, a, {_assigned('g')} AS t FROM (SELECT *, unnest(range((2 ** len(g_l))::BIGINT)) AS a FROM lists)
+            UNION ALL
+            SELECT pair_id, 'p', a, {_assigned('p')} FROM (SELECT *, unnest(range((2 ** len(p_l))::BIGINT)) AS a FROM lists)),
+        texts AS (SELECT DISTINCT t FROM assigned),
+        known AS MATERIALIZED (SELECT t, {_reduced('t')} AS v FROM texts),
+        tables AS MATERIALIZED (SELECT pair_id, side, list((v = 'T')::INT ORDER BY a) AS v, bool_and(v IN ('T', 'F')) AS fine
+            FROM assigned JOIN known USING (t) GROUP BY ALL),
+        named AS MATERIALIZED (SELECT l.pair_id, n, g.v AS gv, p.v AS pv, len(g_l) AS ng, len(p_l) AS np,
+                g_l || list_transform(range(n - len(g_l)), lambda i: '#DUMMY_' || i) AS gn,
+                p_l || list_transform(range(n - len(p_l)), lambda i: '#DUMMY_' || i) AS pn
+            FROM lists l JOIN tables g ON g.pair_id = l.pair_id AND g.side = 'g' AND g.fine
+            JOIN tables p ON p.pair_id = l.pair_id AND p.side = 'p' AND p.fine),
+        ranks AS MATERIALIZED (SELECT pair_id, i, p, row_number() OVER (PARTITION BY pair_id, i ORDER BY CASE
+                WHEN starts_with(gn[i + 1], '#DUMMY_') OR starts_with(pn[p + 1], '#DUMMY_') THEN 10000
+                ELSE levenshtein(gn[i + 1], pn[p + 1]) END, p) AS r
+            FROM (SELECT *, unnest(range(n)) AS p FROM (SELECT *, unnest(range(n)) AS i FROM named))),
+        perms AS (SELECT pair_id, 0::BIGINT AS i, []::BIGINT[] AS perm, []::BIGINT[] AS code FROM named
+            UNION ALL
+            SELECT pair_id, m.i + 1, m.perm || [k.p], m.code || [k.r] FROM perms m JOIN ranks k USING (pair_id, i)
+            WHERE NOT list_contains(m.perm, k.p)),
+        placed AS MATERIALIZED (SELECT pair_id, perm, code, n, ng, gv, pv, pn,
+                list_transform(range(np), lambda p: list_position(perm, p) - 1) AS places FROM perms JOIN named USING (pair_id) WHERE i = n),
+        scored AS (SELECT pair_id, perm, code, pn, list_avg(list_transform(range((2 ** n)::BIGINT), lambda a: (gv[1 + (a & ((1 << ng) - 1))]
+                = pv[1 + coalesce(list_sum(list_transform(places, lambda q, i: ((a >> q::BIGINT) & 1) << (i - 1)::BIGINT)), 0)::BIGINT])::INT)) AS score FROM placed),
+        top AS (SELECT * FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, code) = 1)
+        SELECT pair_id, round(coalesce(score, 0), 6) AS score,
+            array_to_string(list_transform(perm, lambda p: pn[p + 1]), ' ') AS pred_binding FROM formula_pairs LEFT JOIN top USING (pair_id)""",
+).replace(") , small AS", "), small AS").replace("WITH formula", "WITH RECURSIVE formula")

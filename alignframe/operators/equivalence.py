@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from alignframe.functions import logic
 from alignframe.functions.text import let
 from alignframe.operators.overlap import batch_weighted_bleu, sentence_bleu
-from alignframe.operators.skew import lookup, salted_lookup
+from alignframe.operators.skew import lookup
 from alignframe.session import cut, spread
 
 # A 64-bit mask covers six variables; 2^12 blocks, so 18 variables, make one unit of work.
@@ -35,11 +35,13 @@ def formula_literals(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.select(key, F.posexplode(logic.literals(column)).alias("pos", "literal"))
 
 
-def _cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(
-        F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v
-    )
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
+def _unit(vector: Column) -> Column:
+    wide = F.transform(vector, lambda x: x.cast("double"))
+    return let(wide, lambda v: let(F.sqrt(_dot(v, v)), lambda size: F.transform(v, lambda x: x / size)))
 
 
 def literal_similarity(pred_lits: DataFrame, gold_lits: DataFrame, key: str = "pair_id", method: str = "vectors",
@@ -58,9 +60,10 @@ def literal_similarity(pred_lits: DataFrame, gold_lits: DataFrame, key: str = "p
     if method != "vectors" or vectors is None:
         raise ValueError("method is 'edit', or 'vectors' with a vector table")
     distinct = pairs.groupBy("gold", "pred").agg(F.count(F.lit(1)).alias("_n"))
-    of = lambda name: vectors.select(F.col("literal").alias(name), F.col("embedding").alias(f"_{name}"))
-    scored = salted_lookup(salted_lookup(distinct, of("gold"), ["gold"], ["_gold"]), of("pred"), ["pred"], ["_pred"])
-    table = scored.select("gold", "pred", "_n", _cosine(F.col("_gold"), F.col("_pred")).alias("similarity"))
+    # Vectors are scaled once each. Every pair of literals occurs once here, so no literal is hot and a plain join serves.
+    of = lambda name: vectors.select(F.col("literal").alias(name), _unit(F.col("embedding")).alias(f"_{name}"))
+    scored = distinct.join(of("gold"), "gold", "left").join(of("pred"), "pred", "left")
+    table = scored.select("gold", "pred", "_n", _dot(F.col("_gold"), F.col("_pred")).alias("similarity"))
     return lookup(pairs, table, ["gold", "pred"], ["similarity"], weight="_n")
 
 

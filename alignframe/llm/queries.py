@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from alignframe.llm import crosspolytope, kneser, mixing, quality, sentencepieces, simhash, tokenfiles, topk, toxicity, warc
 from alignframe.llm.common import crc_mod, table
@@ -34,7 +35,7 @@ def query(name: str) -> Callable[[Query], Query]:
     return register
 
 
-@F.arrow_udf("bigint")
+@F.arrow_udf(LongType())
 def _crc32_of_ids(ids: pa.Array) -> pa.Array:
     numbers = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
     ends = 4 * np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))

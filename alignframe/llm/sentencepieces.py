@@ -33,9 +33,9 @@ from alignframe.llm.common import small_batches, stored
 from alignframe.session import spread
 
 MARK = "▁"
-FREQUENT = 1 << 17
+FREQUENT = 1 << 18
 LONGEST = 32
-_REMEMBERED = 300_000
+_REMEMBERED = 150_000
 _HISTOGRAM = 1 << 14
 
 # Piece kinds and model kinds of the model file.
@@ -89,26 +89,21 @@ class Pieces:
         return f"{MARK}+[^{MARK}{apart}]*|[^{MARK}{apart}]+{alone}"
 
 
-def marked(text: Column, prefix: bool) -> Column:
-    """The text with blanks as word marks, and one in front."""
-    body = F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit(MARK))
-    return F.when(F.length(body) > 0, F.concat(F.lit(MARK if prefix else ""), body)).otherwise(F.lit(""))
-
-
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     rows = [(n, i, float(pieces.scores[i])) for n, i in pieces.normal().items()]
     return spark.createDataFrame(pd.DataFrame(rows, columns=["piece", "id", "score"]), "piece string, id int, score double")
 
 
-def frequent_units(docs: DataFrame, pieces: Pieces, text: str = "text", most: int = FREQUENT, longest: int = LONGEST) -> DataFrame:
+def frequent_units(docs: DataFrame, text: str = "text", most: int = FREQUENT, longest: int = LONGEST) -> DataFrame:
     """``unit``: the units of at most ``longest`` characters that occur most, ``most`` of them at most.
 
-    The least count is read off a histogram of counts, so nothing is sorted and equal counts stay together.
+    Counted are the words between blanks, which are units with the mark of the blank before them. The least count is read off a histogram of counts, so nothing is sorted and equal counts stay together.
     """
-    units = docs.select(
-        F.explode(F.regexp_extract_all(marked(F.col(text), pieces.prefix), F.lit(pieces.unit_pattern()), F.lit(0))).alias("unit")
-    ).where(F.length("unit") <= longest)
-    counted = stored(units.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "units")
+    words = docs.select(F.explode(F.split(F.col(text), " ")).alias("word")).where(F.length("word") < longest)
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # A word that holds a line end or a mark is more than one unit; its parts are encoded where they are.
+    whole = counts.where(~F.col("word").rlike(f"[\\n\\t{MARK}]"))
+    counted = stored(whole.select(F.concat(F.lit(MARK), "word").alias("unit"), "n"), "units")
     # At most as many rows as the histogram has bins.
     bins = counted.groupBy(F.least("n", F.lit(_HISTOGRAM)).alias("n")).agg(F.count(F.lit(1)).alias("units")).collect()
     least, room = _HISTOGRAM + 1, most
@@ -267,7 +262,7 @@ class UnitEncoder:
 def encoder(docs: DataFrame, pieces: Pieces, text: str = "text", frequent: int = FREQUENT):
     """A UDF from text to ids. The frequent units of ``docs`` are encoded by the lattice when this is called."""
     spark = docs.sparkSession
-    units = frequent_units(docs, pieces, text, frequent)
+    units = frequent_units(docs, text, frequent)
     known = unit_ids(units, piece_table(spark, pieces), pieces).toPandas()
     one = UnitEncoder(pieces)
     # Bounded by FREQUENT rows of LONGEST characters.

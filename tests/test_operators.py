@@ -355,7 +355,9 @@ def test_tasks(spark):
     with pytest.raises(ValueError):
         prepare_task("other", spark.range(1))
     df = spark.createDataFrame([(1, TRANSCRIPT), (2, "bad")], "id int, chosen string")
-    assert col(prepare_task("dialogue", df), "id", "better_answer") == [(1, "Because.")]
+    rows = prepare_task("dialogue", df)
+    assert col(rows, "id", "malformed") == [(1, False), (2, True)]
+    assert col(rows.where("not malformed"), "id", "better_answer") == [(1, "Because.")]
 
 
 def test_missing_rewards_leave_their_group_alone(spark):

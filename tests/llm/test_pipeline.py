@@ -93,6 +93,9 @@ def test_stages_take_odd_rows_and_empty_tables(spark, tiny, docs):
             assert n == 0 if table is not odd else n >= 0
             if name != "sentencepiece":
                 assert out.columns == docs.columns
+            if name == "simhash" and table is odd:
+                # The two empty texts are one group, the repeated row is one document, the one without id stays.
+                assert sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "3", "None"]
 
 
 def test_import_without_a_session():

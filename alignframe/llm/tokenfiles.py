@@ -15,8 +15,10 @@ order of a hash of their texts and of the texts. An empty table makes no file an
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +33,16 @@ from alignframe.llm.common import WordCodes, ragged_take, stored, tasks, write_f
 from alignframe.session import fresh_path
 
 END_ID = 1
-SHARD_IDS = 1 << 22
-ROUNDS = 5
+SHARD_IDS = 1 << 21
+ROUNDS = 4
 RULES_PER_ROUND = 2048
 LEAST_COUNT = 16
 _SLOTS = 20
 _BATCH_BYTES = 8 << 20
-_REMEMBERED = 400_000
+_REMEMBERED = 200_000
+_WORDS_A_CALL = 4096
+# Letters that stay one letter in lower case and in normal form, then marks; no apostrophe, no part of a special token.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=>?@\[-`{}~]*)").fullmatch
 _HEADER = struct.Struct("<4s4q")
 
 
@@ -166,29 +171,72 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        self.known: dict[str, bytes] = {}
+        # Words met lately, in two generations: when the young one is full, the old one is forgotten.
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        """Have the ids of all the words in the young generation."""
+        young, old = self.young, self.old
+        split, new = [], {}
+        for w in words:
+            if w in old:
+                young[w] = old[w]
+            elif match := _SIMPLE(w):
+                # The tokenizer cuts letters from marks and lowers them, so both parts have ids of their own.
+                head, tail = match[1].lower(), match[2]
+                split.append((w, head, tail))
+                new.update((p, None) for p in (head, tail) if p not in young)
+            else:
+                new[w] = None
+        young.update((p, old[p]) for p in new if p in old)
+        missing = [p for p in new if p not in young]
+        for at in range(0, len(missing), _WORDS_A_CALL):
+            # A call's results take far more memory than the ids in them.
+            call = missing[at : at + _WORDS_A_CALL]
+            for w, e in zip(call, self.tokenizer.encode_batch_fast(call, add_special_tokens=False), strict=True):
+                young[w] = array("I", e.ids).tobytes()
+        for w, head, tail in split:
+            young[w] = young[head] + young[tail]
 
     def encode(self, texts: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """``counts, ids`` with the end mark behind every text."""
         codes = WordCodes(texts)
-        known, words = self.known, codes.words
-        missing = [w for w in words if w not in known]
-        found = dict(zip(missing, (
-            np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-        ), strict=True))
-        blobs = [known[w] if w in known else found[w] for w in words]
-        if len(known) + len(found) > _REMEMBERED:
-            known.clear()
-        known.update((w, b) for w, b in found.items() if len(w) <= 64)
+        young, words = self.young, codes.words
+        self._learn([w for w in words if w not in young])
+        blobs = [young[w] for w in words]
+        if len(young) > _REMEMBERED:
+            self.young, self.old = {"": b""}, young
         # The last entry is the end mark, the word behind every text.
         blobs.append(np.array([end_id], dtype="<u4").tobytes())
-        sizes = np.array([len(b) // 4 for b in blobs], dtype=np.int64)
-        flat = np.frombuffer(b"".join(blobs), dtype="<u4")
         all_codes = np.insert(codes.codes, codes.starts[1:], len(words))
-        word_sizes = sizes[all_codes]
-        ids = flat[ragged_take((np.cumsum(sizes) - sizes)[all_codes], word_sizes)]
-        ends = np.cumsum(word_sizes)[codes.starts[1:] + np.arange(len(texts))]
-        return np.diff(ends, prepend=0), ids
+        taken = pa.array(blobs, type=pa.large_binary()).take(pa.array(all_codes))
+        ends = np.frombuffer(taken.buffers()[1], dtype="<i8")[1 : len(taken) + 1] // 4
+        ids = np.frombuffer(taken.buffers()[2], dtype="<u4", count=int(ends[-1]) if len(ends) else 0)
+        return np.diff(ends[codes.starts[1:] + np.arange(len(texts))], prepend=0), ids
+
+
+_ENCODERS: dict[str, TextEncoder] = {}
+
+
+def encoder_of(path: str) -> TextEncoder:
+    """This worker's encoder; its vocabulary and the words it remembers serve one task after the other."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = TextEncoder(path)
+    return _ENCODERS[path]
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of text, however they come."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= limit:
+            yield from pieces_of(pa.concat_batches(held), column, limit)
+            held, size = [], 0
+    if held:
+        yield from pieces_of(pa.concat_batches(held), column, limit)
 
 
 def pieces_of(batch: pa.RecordBatch, column: str, limit: int = _BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -210,7 +258,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = TextEncoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = encoder_of(tokenizer), TaskContext.get().partitionId()
         pending: list[tuple[list, np.ndarray, np.ndarray]] = []
         written = held = 0
 
@@ -223,14 +271,12 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_i
             pending, written, held = [], written + 1, 0
             return pa.RecordBatch.from_pydict({"shard": [name], "ids": pa.array([len(ids)], type=pa.int64())})
 
-        for batch in batches:
-            for piece in pieces_of(batch, "text"):
-                texts = piece.column("text").cast(pa.large_string())
-                counts, ids = encoder.encode(texts, end_id)
-                pending.append((piece.column("doc_id").to_pylist(), counts, ids))
-                held += len(ids)
-                if held >= shard_ids:
-                    yield flush()
+        for piece in gathered(batches, "text", _BATCH_BYTES):
+            counts, ids = encoder.encode(piece.column("text").cast(pa.large_string()), end_id)
+            pending.append((piece.column("doc_id").to_pylist(), counts, ids))
+            held += len(ids)
+            if held >= shard_ids:
+                yield flush()
         if pending:
             yield flush()
 

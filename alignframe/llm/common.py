@@ -85,16 +85,19 @@ class WordCodes:
     """The words of a batch of texts as numbers: ``codes`` index into ``words``, ``starts`` delimits the texts."""
 
     def __init__(self, texts: pa.Array, lower: bool = False):
-        if lower:
-            texts = pc.ascii_lower(texts)
         split = pc.ascii_split_whitespace(texts)
         offsets = np.asarray(split.offsets, dtype=np.int64)
         flat = split.flatten()
         encoded = flat.dictionary_encode()
         self.words = encoded.dictionary.to_pylist()
         codes = np.asarray(encoded.indices, dtype=np.int64)
+        if lower:
+            # Word by word: Arrow's own kernel misreads slices of long string arrays.
+            index: dict[str, int] = {}
+            merged = [index.setdefault(w.encode().lower().decode(), len(index)) for w in self.words]
+            self.words, codes = list(index), np.array(merged, dtype=np.int64)[codes]
         # White space at either end of a text leaves an empty word there.
-        empty = self.words.index("") if "" in set(self.words) else -1
+        empty = self.words.index("") if "" in self.words else -1
         if empty >= 0:
             keep = codes != empty
             before = np.concatenate([[0], np.cumsum(keep)])

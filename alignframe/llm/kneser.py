@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alignframe.llm.common import WordCodes, local_path, stored, tasks, write_file
-from alignframe.llm.tokenfiles import pieces_of
+from alignframe.llm.tokenfiles import gathered, pieces_of
 from alignframe.session import fresh_path
 
 _SHIFT = np.uint64(32)
@@ -150,9 +150,8 @@ _PIECE = 24 << 20
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[WordCodes]:
-    for batch in batches:
-        for piece in pieces_of(batch, "text", _PIECE):
-            yield WordCodes(piece.column("text").cast(pa.large_string()), lower=True)
+    for piece in gathered(batches, "text", _PIECE):
+        yield WordCodes(piece.column("text").cast(pa.large_string()), lower=True)
 
 
 def _vocabulary(texts: DataFrame, folder: str, parts: int) -> tuple[list[int], int, int]:

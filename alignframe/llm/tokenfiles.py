@@ -15,7 +15,6 @@ order of a hash of their texts and of the texts. An empty table makes no file an
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from array import array
@@ -29,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from alignframe.llm.common import WordCodes, ragged_take, stored, tasks, write_file
+from alignframe.llm.common import ragged_take, stored, tasks, write_file
 from alignframe.session import fresh_path
 
 END_ID = 1
@@ -39,10 +38,10 @@ RULES_PER_ROUND = 2048
 LEAST_COUNT = 16
 _SLOTS = 20
 _BATCH_BYTES = 8 << 20
-_REMEMBERED = 200_000
+_REMEMBERED = 500_000
 _WORDS_A_CALL = 4096
-# Letters that stay one letter in lower case and in normal form, then marks; no apostrophe, no part of a special token.
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=>?@\[-`{}~]*)").fullmatch
+# Letters that stay one letter in lower case and in normal form; marks without apostrophes and parts of special tokens.
+_LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:;=>?@\[-`{}~]"
 _HEADER = struct.Struct("<4s4q")
 
 
@@ -164,56 +163,67 @@ def pack(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, first:
 
 
 class TextEncoder:
-    """Ids of whole texts by a tokenizer that splits at white space: each distinct word of a batch is encoded once."""
+    """Ids of whole texts by a tokenizer that splits at white space: each distinct part of a word is encoded once.
+
+    Such a tokenizer lowers letters and cuts them from marks. So a word of plain letters with plain marks behind falls
+    into two parts that recur in many words; any other word is a part of its own.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        # Words met lately, in two generations: when the young one is full, the old one is forgotten.
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        """Have the ids of all the words in the young generation."""
-        young, old = self.young, self.old
-        split, new = [], {}
-        for w in words:
-            if w in old:
-                young[w] = old[w]
-            elif match := _SIMPLE(w):
-                # The tokenizer cuts letters from marks and lowers them, so both parts have ids of their own.
-                head, tail = match[1].lower(), match[2]
-                split.append((w, head, tail))
-                new.update((p, None) for p in (head, tail) if p not in young)
-            else:
-                new[w] = None
-        young.update((p, old[p]) for p in new if p in old)
-        missing = [p for p in new if p not in young]
-        for at in range(0, len(missing), _WORDS_A_CALL):
+        # Parts met lately and their ids as bytes.
+        self.parts = pa.array([], type=pa.large_string())
+        self.ids = pa.array([], type=pa.large_binary())
+
+    def _ids_of_parts(self, parts: pa.Array) -> pa.Array:
+        at = pc.index_in(parts, value_set=self.parts)
+        missing = parts.filter(pc.is_null(at)).to_pylist()
+        blobs: list[bytes] = []
+        for i in range(0, len(missing), _WORDS_A_CALL):
             # A call's results take far more memory than the ids in them.
-            call = missing[at : at + _WORDS_A_CALL]
-            for w, e in zip(call, self.tokenizer.encode_batch_fast(call, add_special_tokens=False), strict=True):
-                young[w] = array("I", e.ids).tobytes()
-        for w, head, tail in split:
-            young[w] = young[head] + young[tail]
+            call = self.tokenizer.encode_batch_fast(missing[i : i + _WORDS_A_CALL], add_special_tokens=False)
+            blobs += [array("I", e.ids).tobytes() for e in call]
+        places = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        places[places < 0] = len(self.parts) + np.arange(len(missing))
+        self.parts = pa.concat_arrays([self.parts, pa.array(missing, type=pa.large_string())])
+        self.ids = pa.concat_arrays([self.ids, pa.array(blobs, type=pa.large_binary())])
+        found = self.ids.take(pa.array(places))
+        if len(self.parts) > _REMEMBERED:
+            # What the last texts used stays.
+            kept = pa.array(np.unique(places))
+            self.parts, self.ids = self.parts.take(kept), self.ids.take(kept)
+        return found
+
+    def _ids_of_words(self, words: pa.Array) -> pa.Array:
+        simple = pc.match_substring_regex(words, f"^{_LETTERS}+{_MARKS}*$")
+        plain, other = words.filter(simple), words.filter(pc.invert(simple))
+        heads = pc.utf8_lower(pc.replace_substring_regex(plain, f"{_MARKS}+$", ""))
+        tails = pc.replace_substring_regex(plain, f"^{_LETTERS}+", "")
+        coded = pa.concat_arrays([heads, tails, other]).dictionary_encode()
+        ids = self._ids_of_parts(coded.dictionary)
+        codes, n = coded.indices.to_numpy(), len(plain)
+        of = lambda which: ids.take(pa.array(which))
+        both = pc.binary_join_element_wise(of(codes[:n]), of(codes[n : 2 * n]), pa.scalar(b"", pa.large_binary()))
+        is_simple = simple.to_numpy(zero_copy_only=False)
+        place = np.empty(len(words), dtype=np.int64)
+        place[np.concatenate([np.flatnonzero(is_simple), np.flatnonzero(~is_simple)])] = np.arange(len(words))
+        return pa.concat_arrays([both, of(codes[2 * n :])]).take(pa.array(place))
 
     def encode(self, texts: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """``counts, ids`` with the end mark behind every text."""
-        codes = WordCodes(texts)
-        young, words = self.young, codes.words
-        self._learn([w for w in words if w not in young])
-        blobs = [young[w] for w in words]
-        if len(young) > _REMEMBERED:
-            self.young, self.old = {"": b""}, young
-        # The last entry is the end mark, the word behind every text.
-        blobs.append(np.array([end_id], dtype="<u4").tobytes())
-        all_codes = np.insert(codes.codes, codes.starts[1:], len(words))
-        taken = pa.array(blobs, type=pa.large_binary()).take(pa.array(all_codes))
-        ends = np.frombuffer(taken.buffers()[1], dtype="<i8")[1 : len(taken) + 1] // 4
-        ids = np.frombuffer(taken.buffers()[2], dtype="<u4", count=int(ends[-1]) if len(ends) else 0)
-        return np.diff(ends[codes.starts[1:] + np.arange(len(texts))], prepend=0), ids
+        split = pc.ascii_split_whitespace(texts)
+        ends = np.asarray(split.offsets, dtype=np.int64)[1:] - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        # White space at either end of a text leaves an empty word there, which has no ids.
+        blobs = pa.concat_arrays([self._ids_of_words(coded.dictionary), pa.array([array("I", [end_id]).tobytes()], type=pa.large_binary())])
+        codes = np.insert(coded.indices.to_numpy().astype(np.int64), ends, len(blobs) - 1)
+        taken = blobs.take(pa.array(codes))
+        bounds = np.frombuffer(taken.buffers()[1], dtype="<i8")[1 : len(taken) + 1] // 4
+        ids = np.frombuffer(taken.buffers()[2], dtype="<u4", count=int(bounds[-1]) if len(bounds) else 0)
+        return np.diff(bounds[ends + np.arange(len(ends))], prepend=0), ids
 
 
 _ENCODERS: dict[str, TextEncoder] = {}

@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 from alignframe.llm.common import Forest, components, stored, tasks
 
 LEAST_COSINE = 0.93
-TABLES = 8
-HASHES = 2
+TABLES = 10
+HASHES = 3
 TILE = 512
 SHARE = 8192
+_ROWS = 1024
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -62,6 +63,11 @@ def axes(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
 def buckets(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES, seed: int = 0) -> np.ndarray:
     """``rows x tables x (1 + hashes)``: the own bucket, then the further ones to look into."""
     out = np.zeros((len(x), tables, 1 + hashes), dtype=np.int64)
+    if len(x) > _ROWS:
+        # Few rows at a time: all the transforms of one stretch stay in the processor's cache.
+        for at in range(0, len(x), _ROWS):
+            out[at : at + _ROWS] = buckets(x[at : at + _ROWS], tables, hashes, seed)
+        return out
     base = 2 << max(x.shape[1] - 1, 1).bit_length()
     for t in range(tables):
         found = [axes(x, seed + t * hashes + h) for h in range(hashes)]

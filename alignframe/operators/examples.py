@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from alignframe.functions.text import hash_bucket, words
 from alignframe.operators.ranking import running_total, with_position
-from alignframe.operators.skew import lookup
+from alignframe.operators.skew import HOT_KEYS, lookup
 
 IGNORED_LABEL = -100
 EOS_ID = 0
 UNKNOWN_ID = -1
 _BUCKETS = 1_000_000
-# Word frequencies are steep: this many words cover most of a text, and take a few megabytes to broadcast.
-_HOT_WORDS = 1 << 16
 _BATCHES_PER_TASK = 1 << 16
 
 
@@ -39,7 +37,7 @@ def supervised_examples(df: DataFrame, key: str, prompt: str, answer: str, vocab
         F.posexplode_outer(F.concat("_p", "_a")).alias("_pos", "token"),
     )
     # Ids are ranks by frequency, so the first ones are the hot words.
-    coded = lookup(placed, vocab, ["token"], ["token_id"], hot_where=F.col("token_id") <= _HOT_WORDS)
+    coded = lookup(placed, vocab, ["token"], ["token_id"], hot_where=F.col("token_id") <= HOT_KEYS)
     # One group is one example.
     gathered = coded.groupBy(key).agg(
         F.first("_prompt_len").alias("_prompt_len"),

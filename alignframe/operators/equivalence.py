@@ -163,8 +163,38 @@ def truth_agreement(bound: DataFrame, keys: list[str], carry: list[str] | None =
     return agreed.groupBy(*keys).agg(share.alias("score"), *[F.first(c).alias(c) for c in carry])
 
 
+def read_formulas(pairs: DataFrame, key: str = "pair_id", pred: str = "pred", gold: str = "gold",
+                  budget: logic.Budget = logic.Budget()) -> DataFrame:
+    """The pairs with their formulas read, as a checkpointed table.
+
+    Reading is heavy, and similarity, truth tables and reports all need it: give them this table, and it is done once.
+    """
+    fits = budget.allows(pred) & budget.allows(gold)
+    read = lambda c: F.when(F.col("_fits"), logic.parsed(c))
+    return cut(
+        spread(pairs, key).withColumn("_fits", F.coalesce(fits, F.lit(False))).withColumns({"_gold_read": read(gold), "_pred_read": read(pred)})
+    )
+
+
+def _is_read(pairs: DataFrame) -> bool:
+    return {"_fits", "_gold_read", "_pred_read"} <= set(pairs.columns)
+
+
+def _fits(pairs: DataFrame, pred: str, gold: str, budget: logic.Budget) -> Column:
+    return F.col("_fits") if _is_read(pairs) else budget.allows(pred) & budget.allows(gold)
+
+
 def _parsed(pairs: DataFrame, key: str, pred: str, gold: str, budget: logic.Budget) -> DataFrame:
     """Pairs worth a truth table: within the size budget on both sides and well formed."""
+    if _is_read(pairs):
+        whole = pairs.where("_gold_read.ord is not null and _pred_read.ord is not null")
+        return whole.select(
+            key,
+            F.col("_gold_read.ord").alias("gold_order"),
+            F.col("_pred_read.ord").alias("pred_order"),
+            F.col("_gold_read.lits").alias("gold_lits"),
+            F.col("_pred_read.lits").alias("pred_lits"),
+        )
     fits = budget.allows(pred) & budget.allows(gold)
     read = F.struct(F.col(key).alias(key), logic.parsed(gold).alias("g"), logic.parsed(pred).alias("p"))
     whole = F.filter(F.array(read), lambda f: f["g"]["ord"].isNotNull() & f["p"]["ord"].isNotNull())
@@ -183,6 +213,9 @@ def formula_similarity(pairs: DataFrame, key: str = "pair_id", pred: str = "pred
                        method: str = "vectors", vectors: DataFrame | None = None,
                        budget: logic.Budget = logic.Budget()) -> DataFrame:
     """``literal_similarity`` of the pairs that will be scored."""
+    if _is_read(pairs):
+        of = lambda side: pairs.where("_fits").select(key, F.posexplode(f"{side}.lits").alias("pos", "literal"))
+        return literal_similarity(of("_pred_read"), of("_gold_read"), key, method, vectors)
     fits = spread(pairs.where(budget.allows(pred) & budget.allows(gold)).select(key, pred, gold), key)
     return literal_similarity(
         formula_literals(fits, key, pred), formula_literals(fits, key, gold), key, method, vectors
@@ -256,7 +289,7 @@ def logical_equivalence(pairs: DataFrame, sim: DataFrame, key: str = "pair_id",
         key, "score", "reason", "complete", gold_names.alias("gold_binding"), pred_names.alias("pred_binding"),
         bound_scores.alias("bound_scores"),
     )
-    return _every_pair(pairs, named, key, budget.allows(pred) & budget.allows(gold))
+    return _every_pair(pairs, named, key, _fits(pairs, pred, gold, budget))
 
 
 def _every_pair(pairs: DataFrame, scored: DataFrame, key: str, fits: Column) -> DataFrame:
@@ -347,7 +380,7 @@ def logical_equivalence_permuted(pairs: DataFrame, key: str = "pair_id", pred: s
         key, "score", "reason", "complete", F.col("gold_names").alias("gold_binding"),
         F.transform("_perm", lambda p: F.get("pred_names", p)).alias("pred_binding"),
     )
-    return _every_pair(pairs, named, key, budget.allows(pred) & budget.allows(gold))
+    return _every_pair(pairs, named, key, _fits(pairs, pred, gold, budget))
 
 
 def formula_reward(pairs: DataFrame, sim: DataFrame, key: str = "pair_id", pred: str = "pred", gold: str = "gold",
@@ -383,8 +416,9 @@ def preference_reward(completions: DataFrame, formulas: DataFrame, vectors: Data
     pair = F.concat("_pred", F.lit("\u0001"), "_gold")
     paired = named.select(*completions.columns, "_pred", "_gold", pair.alias("_pair"))
     # Both tables are small next to the completions, costly to make and read several times.
-    distinct = cut(
-        paired.where(F.col("_pair").isNotNull()).groupBy("_pair", "_pred", "_gold").agg(F.count(F.lit(1)).alias("_n"))
+    distinct = read_formulas(
+        paired.where(F.col("_pair").isNotNull()).groupBy("_pair", "_pred", "_gold").agg(F.count(F.lit(1)).alias("_n")),
+        "_pair", "_pred", "_gold", budget,
     )
     sim = formula_similarity(distinct, "_pair", "_pred", "_gold", method, vectors, budget)
     scores = logical_equivalence(distinct, sim, "_pair", "_pred", "_gold", logic.SIMILARITY_FLOOR, budget)

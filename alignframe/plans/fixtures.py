@@ -232,12 +232,13 @@ def formula_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.select(F.inline(F.array(row)))
 
 
-def literal_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every literal of the formula pairs with one of the given vectors, chosen by hash."""
-    pairs = formula_pairs(spark, sf_dir)
-    names = pairs.select(
-        F.explode(F.array_union(logic.literals("gold"), logic.literals("pred"))).alias("literal")
-    ).distinct()
+def literal_vectors(spark: SparkSession, sf_dir: str, read: DataFrame | None = None) -> DataFrame:
+    """Every literal of the formula pairs, or of pairs that are ``read`` already, with a given vector chosen by hash."""
+    if read is None:
+        sides = formula_pairs(spark, sf_dir).select(logic.literals("gold").alias("g"), logic.literals("pred").alias("p"))
+    else:
+        sides = read.where("_fits").select(F.col("_gold_read.lits").alias("g"), F.col("_pred_read.lits").alias("p"))
+    names = sides.select(F.explode(F.array_union("g", "p")).alias("literal")).distinct()
     vectors = table(spark, sf_dir, "embeddings")
     size = vectors.agg(F.count(F.lit(1))).scalar()
     numbered = names.withColumn("vec_id", F.pmod(hash_bucket("literal", 0, 1 << 32), size))

@@ -319,8 +319,8 @@ def _similarity(spark, d):
 
 
 def _scored_formulas(spark, d, threshold=None):
-    pairs = fx.formula_pairs(spark, d)
-    sim = equivalence.formula_similarity(pairs, vectors=fx.literal_vectors(spark, d))
+    pairs = equivalence.read_formulas(fx.formula_pairs(spark, d))
+    sim = equivalence.formula_similarity(pairs, vectors=fx.literal_vectors(spark, d, pairs))
     return equivalence.logical_equivalence(pairs, sim, threshold=threshold)
 
 
@@ -412,8 +412,8 @@ def h9(spark, d):
 
 @query("h10_formula_reward")
 def h10(spark, d):
-    pairs = fx.formula_pairs(spark, d)
-    sim = equivalence.formula_similarity(pairs, vectors=fx.literal_vectors(spark, d))
+    pairs = equivalence.read_formulas(fx.formula_pairs(spark, d))
+    sim = equivalence.formula_similarity(pairs, vectors=fx.literal_vectors(spark, d, pairs))
     return equivalence.formula_reward(pairs, sim).select(
         "pair_id", *[r6(c).alias(c) for c in ("equivalence", "bleu", "reward")]
     )

@@ -263,17 +263,26 @@ def encoder(docs: DataFrame, pieces: Pieces, text: str = "text", frequent: int =
     """A UDF from text to ids. The frequent units of ``docs`` are encoded by the lattice when this is called."""
     spark = docs.sparkSession
     units = frequent_units(docs, text, frequent)
-    known = unit_ids(units, piece_table(spark, pieces), pieces).toPandas()
-    one = UnitEncoder(pieces)
-    # Bounded by FREQUENT rows of LONGEST characters.
-    table = spark.sparkContext.broadcast(
-        {u: one.numbers(list(p)).tobytes() for u, p in zip(known["unit"], known["pieces"], strict=True)}
-    )
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = UnitEncoder(pieces)
+        for batch in batches:
+            ids = [one.numbers(p).tobytes() for p in batch.column("pieces").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(ids, type=pa.binary())], ["unit", "ids"])
+
+    known = unit_ids(units, piece_table(spark, pieces), pieces).mapInArrow(numbered, "unit string, ids binary").toArrow()
+    # Bounded by FREQUENT rows of LONGEST characters; it stays in Arrow's form until a worker needs it.
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, known.schema) as writer:
+        writer.write_table(known)
+    table = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
     pattern, prefix = pieces.unit_pattern(), MARK if pieces.prefix else ""
 
     @F.arrow_udf("array<int>")
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        frequent_ids, rest, units_of = table.value, UnitEncoder(pieces), re.compile(pattern)
+        known = pa.ipc.open_stream(table.value).read_all()
+        frequent_ids = dict(zip(known["unit"].to_pylist(), known["ids"].to_pylist(), strict=True))
+        rest, units_of = UnitEncoder(pieces), re.compile(pattern)
 
         class Remembered(dict):
             def __missing__(self, unit: str) -> bytes:

@@ -328,7 +328,7 @@ ORACLES: dict[str, str] = {
             len(ids)::BIGINT AS n FROM whole""",
     "i5_group_advantages_missing": _with(
         "rollouts",
-        """SELECT prompt_id, part_id, supp_id, line_no, round((v - m) / (s + 1e-4), 6) AS advantage, abs(s) <= 1e-8 AS zero_std
+        """SELECT prompt_id, part_id, supp_id, line_no, round((v - m) / (s + 1e-4), 6) + 0.0::DOUBLE AS advantage, abs(s) <= 1e-8 AS zero_std
         FROM (SELECT *, avg(v) OVER g AS m, coalesce(stddev_samp(v) OVER g, 0) AS s FROM (
             SELECT *, CASE WHEN isnan(reward_b) THEN NULL ELSE reward_b END AS v FROM rollouts)
         WINDOW g AS (PARTITION BY prompt_id))""",

@@ -517,7 +517,8 @@ def i5(spark, d):
 def i5_missing(spark, d):
     """A reward that does not apply to all rows of a group."""
     scored = rollouts.group_advantages(fx.rollouts(spark, d), "prompt_id", "reward_b")
-    return scored.select(*_ROLLOUT_KEY, r6("advantage").alias("advantage"), "zero_std")
+    # Adding 0 leaves no negative zero.
+    return scored.select(*_ROLLOUT_KEY, (r6("advantage") + F.lit(0.0)).alias("advantage"), "zero_std")
 
 
 @query("i6_reward_report")

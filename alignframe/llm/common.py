@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 from urllib.parse import urlparse
@@ -35,6 +36,17 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, whatever folder they start in.
+
+    A cluster whose machines do not share that path ships the package itself, as with ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Let Python workers take at most so many rows at a time: whole texts are large rows."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -54,7 +66,6 @@ def local_path(uri: str) -> str | None:
 
 def write_file(uri: str, data: bytes) -> None:
     """Write a file whole: a repeated or parallel attempt of the same task leaves the same bytes under the same name."""
-    import os
     import uuid
 
     from pyarrow import fs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Callable
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from alignframe.llm import crosspolytope, kneser, mixing, quality, sentencepieces, simhash, tokenfiles, topk, toxicity, warc
-from alignframe.llm.common import crc_mod, table
+from alignframe.llm.common import crc_mod, reachable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 LLM_QUERIES: dict[str, Query] = {}
@@ -29,7 +30,12 @@ def tokenizer_path(name: str) -> str:
 
 def query(name: str) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
-        LLM_QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            reachable(spark)
+            return fn(spark, sf_dir)
+
+        LLM_QUERIES[name] = run
         return fn
 
     return register

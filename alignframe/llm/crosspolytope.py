@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from alignframe.llm.common import Forest, components, stored, tasks
 
 LEAST_COSINE = 0.93
-TABLES = 10
-HASHES = 3
+TABLES = 8
+HASHES = 2
 TILE = 512
 SHARE = 8192
 _ROWS = 1024

@@ -246,6 +246,18 @@ def test_hadamard_keeps_lengths():
     assert np.allclose((x**2).sum(axis=1), (y**2).sum(axis=1)) and np.allclose(crosspolytope.hadamard(y), x)
 
 
+@pytest.mark.parametrize("cosine, least", [(0.93, 0.998), (0.94, 0.999), (0.95, 0.9995)])
+def test_buckets_find_pairs_near_the_threshold_in_64_dimensions(cosine, least):
+    rng = np.random.default_rng(int(100 * cosine))
+    x, away = rng.normal(size=(2, 20000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    y = cosine * x + np.sqrt(1 - cosine**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    bx, by = crosspolytope.buckets(x), crosspolytope.buckets(y)
+    met = (bx == by[:, :, :1]).any(axis=(1, 2)) | (by == bx[:, :, :1]).any(axis=(1, 2))
+    assert met.mean() >= least
+
+
 # --- 6 and 10, classifiers
 
 

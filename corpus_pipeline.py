@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alignframe.llm import mixing, quality, sentencepieces, shingles, toxicity
+from alignframe.llm import mixing, quality, sentencepieces, simhash, toxicity
 from alignframe.llm.common import reachable, stored, table
 from alignframe.llm.queries import tokenizer_path
 
@@ -57,18 +57,21 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @with_folder
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id; rows that repeat id and text are one document.
+    """Of each group of near-duplicates one document: the one with the smallest id, one without an id only where none has one.
 
-    Texts whose sets of five-word shingles have a similarity of 0.8 or more are near-duplicates. Rows that share an id but
-    not a text are documents of their own. A document without an id stays, since no other one can stand for it by name.
+    Groups are those of the SimHash operator, with the shingles and the distance it uses by default. Rows that share an id
+    but not a text are documents of their own; the survivor among several rows of an id is chosen by hashes of the whole
+    row, so that reruns agree. Rows equal in every column are one document. Columns of any name pass through.
     """
-    found = shingles.near_duplicates(docs.select("doc_id", "text"))
-    first = (F.col("doc_id") == F.col("keep_key")) & (F.col("text_key") == F.col("keep_text"))
-    dropped = found.where(F.col("doc_id").isNotNull() & ~first).select("doc_id", "text_key").distinct()
-    # All steps need the rows of an id and text together, so the texts move once.
-    keyed = docs.withColumn("text_key", shingles.text_key(F.col("text")))
-    left = keyed.join(dropped, ["doc_id", "text_key"], "left_anti").dropDuplicates(["doc_id", "text_key"])
-    return left.select(*docs.columns)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    # Two 64-bit hashes name a row by its content; nothing else of it takes part in the search.
+    row = F.struct(F.xxhash64(*names).alias("h"), F.xxhash64(F.lit(1), *names).alias("g"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), row["h"].alias("h"), row["g"].alias("g"))
+    found = simhash.near_duplicates(docs.select(key.alias("key"), "text"), key="key")
+    first = found.where("key = component_id").select(F.struct(F.col("key.h").alias("h"), F.col("key.g").alias("g")).alias("row")).distinct()
+    # The same partitioning serves the rows that repeat and the choice, so the texts move once.
+    one = docs.select(row.alias("row"), F.struct(*names).alias("doc")).dropDuplicates(["row"])
+    return one.join(first, "row", "left_semi").select("doc.*")
 
 
 @with_folder

@@ -26,6 +26,9 @@ SHARE = 1.5
 REPEATS = 2
 BUCKETS = 512
 BINS = 4096
+# Rows of the table that tells where each source's queue ends; with more sources it is shuffled in salted copies.
+BROADCAST_SOURCES = 50_000
+_SALTS = 32
 
 
 def word_count(text: str = "text") -> Column:
@@ -63,12 +66,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 def queue(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS,
           share: float = SHARE, repeats: int = REPEATS, seed: int = 0, buckets: int = BUCKETS) -> DataFrame:
-    """``doc_id, source, size, source_size, target, before``: words of its source ahead of each document."""
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"))
-    dealt = sized.withColumn("order", order).withColumn(
-        "bucket", (F.conv(F.substring("order", 1, 8), 16, 10).cast("bigint") % buckets).cast("int")
-    )
+    """``doc_id, source, size, place, source_size, target, before``: words of its source ahead of each document.
+
+    ``place`` is the document's place in its queue, a value to be compared. Ids and sizes are stored first, so that the
+    texts are read once.
+    """
+    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"),
+                        F.xxhash64(text).alias("content"))
+    slot, order = _shuffled(F.col("doc_id"), seed, buckets)
+    dealt = stored(sized, "sizes").withColumn("order", order).withColumn("bucket", slot)
     # A join needs a value for the null source; the flag keeps it apart from every real name.
     named = dealt.select("*", F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("none"))
     slices = named.groupBy("name", "none", "bucket").agg(F.sum("size").alias("words"))
@@ -79,11 +85,18 @@ def queue(docs: DataFrame, key: str = "doc_id", source: str = "source", text: st
     earlier = Window.partitionBy("name", "none").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = slices.withColumn("ahead", F.coalesce(F.sum("words").over(earlier), F.lit(0))).drop("words")
     placed = named.join(starts.join(targets, ["name", "none"]), ["name", "none", "bucket"])
-    inside = Window.partitionBy("name", "none", "bucket").orderBy("order", "doc_id", "size").rowsBetween(
+    inside = Window.partitionBy("name", "none", "bucket").orderBy("order", "doc_id", "size", "content").rowsBetween(
         Window.unboundedPreceding, -1
     )
     before = F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    return placed.select("doc_id", "source", "size", "source_size", "target", before.alias("before"))
+    place = F.struct("bucket", "order", "doc_id", "size", "content")
+    return placed.select("doc_id", "source", "size", place.alias("place"), "source_size", "target", before.alias("before"))
+
+
+def _shuffled(doc_id: Column, seed: int, buckets: int) -> tuple[Column, Column]:
+    """Slice and order of a document in its queue."""
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+    return (F.conv(F.substring(order, 1, 8), 16, 10).cast("bigint") % buckets).cast("int"), order
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS,
@@ -96,7 +109,18 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     if need be; otherwise only whole documents are taken. ``budget`` (words, the sum of all targets at most and by
     default) ends the mix: copies that finish later are not taken.
     """
-    # Ids and sizes only: the texts are read once, and the passes below read this narrow table.
+    kept = _kept(docs, key, source, text, weights, share, repeats, seed, budget, cut, buckets, bins)
+    return kept.select(
+        "doc_id", "source", "size", "source_size", "target",
+        F.aggregate("kept", F.lit(0).cast("bigint"), lambda n, q: n + q["words"]).alias("taken"),
+        F.size(F.filter("kept", lambda q: q["words"] == F.col("size"))).alias("copies"),
+        F.get("queued", 0)["finish"].alias("finish"),
+    )
+
+
+def _kept(docs: DataFrame, key, source, text, weights, share, repeats, seed, budget, cut, buckets, bins) -> DataFrame:
+    """The queue with all its copies, ``queued``, and those in the mix, ``kept``."""
+    # Several passes read this narrow table.
     queued = stored(queue(docs, key, source, text, weights, share, repeats, seed, buckets), "queue")
 
     def copy(repeat: Column) -> Column:
@@ -104,20 +128,14 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
         words = F.col("size")
         if cut:
             words = F.greatest(F.least(words, F.floor("target") - start), F.lit(0).cast("bigint"))
-        return F.struct(words.alias("words"), F.try_divide(start + words, F.col("target")).alias("finish"))
+        return F.struct(repeat.alias("repeat"), words.alias("words"), F.try_divide(start + words, F.col("target")).alias("finish"))
 
     copies = queued.withColumn("queued", F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), copy))
     items = copies.select(F.inline("queued")).where("words > 0")
     targets = queued.groupBy("source").agg(F.max("target").alias("target")).agg(F.sum("target")).first()[0] or 0.0
     room = int(targets) if budget is None else min(budget, int(targets))
     end = _finish_time_at(items, room, bins)
-    kept = copies.withColumn("kept", F.filter("queued", lambda q: (q["words"] > 0) & (q["finish"] <= end)))
-    return kept.select(
-        "doc_id", "source", "size", "source_size", "target",
-        F.aggregate("kept", F.lit(0).cast("bigint"), lambda n, q: n + q["words"]).alias("taken"),
-        F.size(F.filter("kept", lambda q: q["words"] == F.col("size"))).alias("copies"),
-        F.get("queued", 0)["finish"].alias("finish"),
-    )
+    return copies.withColumn("kept", F.filter("queued", lambda q: (q["words"] > 0) & (q["finish"] <= end)))
 
 
 def _finish_time_at(items: DataFrame, room: int, bins: int) -> float:
@@ -147,15 +165,42 @@ def _finish_time_at(items: DataFrame, room: int, bins: int) -> float:
     return ends["last"] if ends["last"] is not None else math.nextafter(ends["next"], 0.0)
 
 
-def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
-                    **options) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it whole; columns as in ``docs``.
+def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS,
+                    share: float = SHARE, repeats: int = REPEATS, seed: int = 0, budget: int | None = None,
+                    buckets: int = BUCKETS, bins: int = BINS) -> DataFrame:
+    """The documents themselves, each as often as the mix takes it whole; columns as in ``docs``, whatever their names.
 
-    ``key`` names a document: rows that repeat it each come as often as the most taken of them.
+    A mix takes each queue from its start, so one place per source and repeat tells which documents are in it: that table
+    goes to the texts, which stay where they are. Rows of one source with equal id, size and text share a place and are
+    taken together. Documents without words are never taken.
     """
-    taken = mix(docs, key, source, text, cut=False, **options).where("copies > 0")
-    per_id = taken.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    found = docs.join(per_id, F.col(key).eqNullSafe(F.col("_id")))
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(
-        *[F.col(f"`{c}`") for c in docs.columns]
+    kept = _kept(docs, key, source, text, weights, share, repeats, seed, budget, False, buckets, bins)
+    items = kept.select("source", "place", F.explode("kept").alias("item"))
+    ends = items.groupBy("source", F.col("item.repeat").alias("repeat")).agg(F.max("place").alias("last"))
+    ends = ends.groupBy(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("none")).agg(
+        F.collect_list("last").alias("lasts")
+    )
+    # Beside the documents' own columns, which keep their names inside one struct.
+    col = {name: F.col(f"doc.`{name}`") for name in (key, source, text)}
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).where(col[text].rlike(WORD)).select(
+        "doc", F.coalesce(col[source], F.lit("")).alias("name"), col[source].isNull().alias("none")
     )
+    ends = stored(ends, "ends")
+    if ends.count() <= BROADCAST_SOURCES:
+        found = rows.join(F.broadcast(ends), ["name", "none"])
+    else:
+        salted = ends.withColumn("salt", F.explode(F.array(*map(F.lit, range(_SALTS)))))
+        found = rows.withColumn("salt", F.spark_partition_id() % _SALTS).join(salted, ["name", "none", "salt"])
+
+    slot, order = _shuffled(col[key], seed, buckets)
+    ahead = F.struct(slot.alias("bucket"), order.alias("order"), col[key].alias("doc_id"))
+    size = F.coalesce(F.regexp_count(col[text], F.lit(WORD)), F.lit(0)).cast("bigint")
+    whole = F.struct(slot.alias("bucket"), order.alias("order"), col[key].alias("doc_id"), size.alias("size"), F.xxhash64(col[text]).alias("content"))
+
+    def taken(last: Column) -> Column:
+        end = F.struct(last["bucket"].alias("bucket"), last["order"].alias("order"), last["doc_id"].alias("doc_id"))
+        # Sizes decide between rows of one id only.
+        return F.when(ahead < end, True).when(ahead > end, False).otherwise(whole <= last)
+
+    copies = F.filter("lasts", taken)
+    return found.select("doc", F.explode(copies).alias("copy")).select("doc.*")

@@ -130,6 +130,21 @@ def test_mix_budget_and_empty_table(spark):
     assert {r["count"] for r in mixed.groupBy("doc_id").count().collect()} <= {1, 2}
 
 
+@pytest.mark.parametrize("broadcast", [0, mixing.BROADCAST_SOURCES])
+def test_mixed_documents_are_the_copies_of_the_mix(spark, monkeypatch, broadcast):
+    """Ids that repeat with other texts are documents of their own; columns may bear any name."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
+    rng = random.Random(4)
+    rows = [(rng.choice([None, i, i // 3, 5]), "w " * rng.randrange(0, 30) + f"x{i}" * (i % 5 > 0), rng.choice(["a", "b", "c", None, ""])) for i in range(200)]
+    docs = documents(spark, rows).selectExpr("*", "size AS doc", "size AS name", "size AS none", "size AS copy", "size AS lasts")
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    size = lambda t: len(t.split())
+    got = sorted(repr((r["doc_id"], r["source"], size(r["text"]))) for r in mixed.collect())
+    want = [(r["doc_id"], r["source"], r["size"], r["copies"]) for r in mixing.mix(docs, cut=False).collect()]
+    assert got == sorted(repr(w[:3]) for w in want for _ in range(w[3]))
+
+
 # --- 3, exact top-k
 
 

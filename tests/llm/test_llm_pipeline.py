@@ -89,13 +89,38 @@ def test_stages_take_odd_rows_and_empty_tables(spark, tiny, docs):
     for name, stage in corpus_pipeline.STAGES:
         for table in (odd, odd.limit(0)):
             out = stage(spark, table, tiny)
-            n = out.count()
-            assert n == 0 if table is not odd else n >= 0
+            ids = sorted(str(r["doc_id"]) for r in out.select("doc_id").collect())
             if name != "sentencepiece":
                 assert out.columns == docs.columns
-            if name == "simhash" and table is odd:
+            if table is not odd:
+                assert ids == [], name
+            elif name == "sentencepiece":
+                assert ids == ["1", "2", "3", "3", "None"]
+            elif name == "simhash":
                 # The two empty texts are one group, the repeated row is one document, the one without id stays.
-                assert sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "3", "None"]
+                assert ids == ["1", "3", "None"]
+            elif name == "mixing":
+                # Source a has all but two words: 1.5 times all, less what b takes twice, is one and a half of its rows.
+                assert ids == ["3", "3", "None", "None"]
+            else:
+                # The one labelled document is good and not toxic, so nothing speaks against any.
+                assert ids == ["1", "2", "3", "3", "None"], name
+
+
+def test_one_document_stays_of_each_group(spark, tiny):
+    """Ids that repeat, copies without an id, columns with names that operators use."""
+    base = " ".join(f"word{i}" for i in range(400))
+    rows = [
+        (7, base, "a", 1), (5, base, "a", 2), (None, base, "a", 3), (5, "another text of its own", "b", 4),
+        (5, "another text of its own", "b", 4), (5, "another text of its own", "a", 5), (None, "only without an id here", "a", 6),
+        (None, "only without an id here", "a", 7), (8, "wholly different words stand here", None, 8),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, h int").selectExpr("*", "h AS doc", "h AS row", "h AS key", "h AS fp")
+    once, again = (corpus_pipeline.one_of_each_group(spark, docs, tiny) for _ in range(2))
+    assert once.columns == docs.columns
+    kept = [tuple(r) for r in once.collect()]
+    assert sorted((str(r[0]), r[1][:8]) for r in kept) == [("5", "another "), ("5", base[:8]), ("8", "wholly d"), ("None", "only wit")]
+    assert sorted(map(repr, kept)) == sorted(repr(tuple(r)) for r in again.collect())
 
 
 def test_import_without_a_session():

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from alignframe.llm import crosspolytope, kneser, mixing, quality, sentencepieces, simhash, tokenfiles, topk, toxicity, warc
+from alignframe.llm import (
+    crosspolytope, kneser, maintext, mixing, quality, sentencepieces, simhash, spelling, tokenfiles, topk, toxicity, warc, whitening,
+)
 from alignframe.llm.common import crc_mod, reachable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,6 +123,21 @@ def op10(spark, d):
     return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
+@query("op11_whitening")
+def op11(spark, d):
+    return whitening.whiten(table(spark, d, "embeddings"))
+
+
+@query("op12_spelling")
+def op12(spark, d):
+    return spelling.variants(table(spark, d, "documents"))
+
+
+@query("op13_main_text")
+def op13(spark, d):
+    return maintext.main_text(table(spark, d, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 # Shuffle order, running totals and targets by window functions over whole tables.
 LLM_ORACLES["op2_mixing"] = r"""
 WITH sized AS (

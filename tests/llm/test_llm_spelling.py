@@ -56,7 +56,7 @@ def odd_rows():
     rows = [(rng.choice([None, i, 5]), " ".join(words[int(150 * rng.random() ** 4)] + rng.choice(["", ",", "1", "日"]) for _ in range(120))) for i in range(30)]
     long = "ab" * 40 + "c"
     rows += [(i, f"{long} {long[:9]}{long[10:]} {long}a {long[:30]}z{long[31:]}") for i in range(5)]
-    rows += [(9, long), (8, None), (7, ""), (6, "1 2"), (9, "Aaaaa aaaaa AAAAA aaaaaa Aaaaaa aaaaaA ÉÉÉÉÉ ééééé ééééé ééééé"), (9, "Aaaaa")]
+    rows += [(10, f"{long} " * 8), (8, None), (7, ""), (6, "1 2"), (9, "Aaaaa aaaaa AAAAA aaaaaa Aaaaaa aaaaaA ÉÉÉÉÉ ééééé ééééé ééééé"), (9, "Aaaaa")]
     return rows
 
 

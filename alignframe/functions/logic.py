@@ -30,6 +30,8 @@ _OPERATORS = "¬∧∨⊕→↔"
 _STRENGTHS = "array(5, 4, 3, 3, 2, 1)"
 _NOT, _AND, _OR, _XOR, _IMPLIES = -1, -2, -3, -4, -5
 _OPEN, _CLOSE, _STRAY = -7, -8, -9
+# Values inside partly evaluated formulas.
+_TRUE, _FALSE = -10, -11
 
 # Column j of a truth table over six variables, one bit per assignment.
 _MASKS = (
@@ -183,6 +185,14 @@ def _truth_mask(order: str, variables: str) -> str:
         ELSE concat(slice(stack, 1, size(stack) - 2), array({joined})) END, stack -> stack[0])"""
 
 
+def _joined_chance(a: str, b: str) -> str:
+    """Probability of a connective between independent parts."""
+    return (
+        f"CASE t WHEN {_AND} THEN {a} * {b} WHEN {_OR} THEN {a} + {b} - {a} * {b} WHEN {_XOR} THEN {a} + {b} - 2D * {a} * {b} "
+        f"WHEN {_IMPLIES} THEN 1D - {a} + {a} * {b} ELSE 1D - {a} - {b} + 2D * {a} * {b} END"
+    )
+
+
 def conditional_agreement(order_a: str, vars_a: str, order_b: str, vars_b: str, repeated: str, first: str, last: str) -> Column:
     """Summed over assignments ``first``..``last`` of the ``repeated`` variables: the share of all others on which two
     formulas agree.
@@ -193,10 +203,7 @@ def conditional_agreement(order_a: str, vars_a: str, order_b: str, vars_b: str,
 
     def chance(order: str, variables: str) -> str:
         a, b = "element_at(stack, -2)", "element_at(stack, -1)"
-        joined = (
-            f"CASE t WHEN {_AND} THEN {a} * {b} WHEN {_OR} THEN {a} + {b} - {a} * {b} WHEN {_XOR} THEN {a} + {b} - 2D * {a} * {b} "
-            f"WHEN {_IMPLIES} THEN 1D - {a} + {a} * {b} ELSE 1D - {a} - {b} + 2D * {a} * {b} END"
-        )
+        joined = _joined_chance(a, b)
         place = f"array_position({repeated}, {variables}[t])"
         leaf = f"CASE WHEN {place} > 0 THEN double(getbit(assignment, int({place} - 1))) ELSE 0.5D END"
         return f"""aggregate({order}, cast(array() AS array<double>), (stack, t) -> CASE
@@ -208,6 +215,67 @@ def conditional_agreement(order_a: str, vars_a: str, order_b: str, vars_b: str,
     return F.expr(f"aggregate(sequence({first}, {last}), 0D, (total, assignment) -> total + {both})")
 
 
+def _restricted(formula: str, variable: str, value: int) -> str:
+    """What is left of a postfix formula over variables once one of them is known; parts that are settled vanish."""
+    a, b = "element_at(stack, -2)", "element_at(stack, -1)"
+    true, false = f"array({_TRUE})", f"array({_FALSE})"
+
+    def negated(x: str) -> str:
+        return (
+            f"CASE WHEN {x} = {true} THEN {false} WHEN {x} = {false} THEN {true} "
+            f"WHEN element_at({x}, -1) = {_NOT} THEN slice({x}, 1, size({x}) - 1) ELSE concat({x}, array({_NOT})) END"
+        )
+
+    joined = f"""CASE
+        WHEN {a} = {b} THEN CASE WHEN t IN ({_AND}, {_OR}) THEN {a} WHEN t = {_XOR} THEN {false} ELSE {true} END
+        WHEN t = {_AND} THEN CASE WHEN {a} = {false} OR {b} = {false} THEN {false} WHEN {a} = {true} THEN {b} WHEN {b} = {true} THEN {a} ELSE concat({a}, {b}, array(t)) END
+        WHEN t = {_OR} THEN CASE WHEN {a} = {true} OR {b} = {true} THEN {true} WHEN {a} = {false} THEN {b} WHEN {b} = {false} THEN {a} ELSE concat({a}, {b}, array(t)) END
+        WHEN t = {_IMPLIES} THEN CASE WHEN {a} = {false} OR {b} = {true} THEN {true} WHEN {a} = {true} THEN {b} WHEN {b} = {false} THEN {negated(a)} ELSE concat({a}, {b}, array(t)) END
+        WHEN {a} = IF(t = {_XOR}, {false}, {true}) THEN {b} WHEN {b} = IF(t = {_XOR}, {false}, {true}) THEN {a}
+        WHEN {a} = IF(t = {_XOR}, {true}, {false}) THEN {negated(b)} WHEN {b} = IF(t = {_XOR}, {true}, {false}) THEN {negated(a)}
+        ELSE concat({a}, {b}, array(t)) END"""
+    return f"""aggregate({formula}, cast(array() AS array<array<int>>), (stack, t) -> CASE
+        WHEN t = {variable} THEN concat(stack, array(array({value})))
+        WHEN t >= 0 OR t <= {_TRUE} THEN concat(stack, array(array(t)))
+        WHEN t = {_NOT} THEN concat(slice(stack, 1, size(stack) - 1), array({negated(b)}))
+        ELSE concat(slice(stack, 1, size(stack) - 2), array({joined})) END, stack -> stack[0])"""
+
+
+def diagram_agreement(order_a: str, vars_a: str, order_b: str, vars_b: str, repeated: str, width: int) -> Column:
+    """The share of all assignments on which two formulas agree, by a decision diagram that is built layer by layer.
+
+    A node is what is left of both formulas once the ``repeated`` variables so far are known, and weighs as much as the
+    assignments that lead to it; equal ones are one node. Where the formulas have become equal, nothing else of them
+    matters. Variables that occur once are left to the end, where they are independent. NULL if a layer has more than
+    ``width`` nodes.
+    """
+    over = lambda order, names: f"transform({order}, t -> CASE WHEN t >= 0 THEN {names}[t] ELSE t END)"
+    node = lambda a, b, weight: f"named_struct('a', {a}, 'b', {b}, 'w', {weight})"
+    settled = lambda a, b, weight: _let(
+        node(a, b, weight), "n", f"IF(n.a = n.b, {node(f'array({_TRUE})', f'array({_TRUE})', 'n.w')}, n)"
+    )
+    half = lambda value: settled(_restricted("s.a", "v", value), _restricted("s.b", "v", value), "s.w / 2D")
+    split = f"flatten(transform(layer, s -> array({half(_TRUE)}, {half(_FALSE)})))"
+    empty = "cast(array() AS array<struct<a: array<int>, b: array<int>, w: double>>)"
+    last = "element_at(nodes, -1)"
+    merged = f"""aggregate(array_sort({split}), {empty}, (nodes, s) -> CASE
+        WHEN size(nodes) > 0 THEN CASE WHEN {last}.a = s.a AND {last}.b = s.b
+            THEN concat(slice(nodes, 1, size(nodes) - 1), array({node('s.a', 's.b', f'{last}.w + s.w')})) ELSE concat(nodes, array(s)) END
+        ELSE array(s) END)"""
+    layers = f"""aggregate({repeated}, array({node(over(order_a, vars_a), over(order_b, vars_b), '1D')}),
+        (layer, v) -> {_let(merged, 'next', f'CASE WHEN size(next) <= {width} THEN next END')})"""
+
+    def chance(formula: str) -> str:
+        a, b = "element_at(stack, -2)", "element_at(stack, -1)"
+        return f"""aggregate({formula}, cast(array() AS array<double>), (stack, t) -> CASE
+            WHEN t >= 0 THEN concat(stack, array(0.5D)) WHEN t = {_TRUE} THEN concat(stack, array(1D)) WHEN t = {_FALSE} THEN concat(stack, array(0D))
+            WHEN t = {_NOT} THEN concat(slice(stack, 1, size(stack) - 1), array(1D - {b}))
+            ELSE concat(slice(stack, 1, size(stack) - 2), array({_joined_chance(a, b)})) END, stack -> stack[0])"""
+
+    both = _let(f"named_struct('a', {chance('n.a')}, 'b', {chance('n.b')})", "c", "c.a * c.b + (1D - c.a) * (1D - c.b)")
+    return F.expr(f"aggregate({layers}, 0D, (total, n) -> total + n.w * {both})")
+
+
 def agreeing_bits(order_a: str, vars_a: str, order_b: str, vars_b: str, variables: str,
                   first: str, last: str) -> Column:
     """Number of assignments in blocks ``first``..``last`` on which two formulas agree.

@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import factorial
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from alignframe.functions import logic
+from alignframe.functions.binding import BindingSearch, truth_table
 from alignframe.functions.text import let
 from alignframe.operators.overlap import batch_weighted_bleu, sentence_bleu
 from alignframe.operators.skew import lookup
-from alignframe.session import cut, spread
+from alignframe.session import cut, reachable, spread
 
 # A 64-bit mask covers six variables; 2^12 blocks, so 18 variables, make one unit of work.
 _MASK_VARIABLES = 6
 _BLOCK_BITS = 12
-# Assignments of so many repeated variables are enumerated at most.
+# Assignments of so many repeated variables are enumerated without further ado, and of so many if a diagram grows too wide.
+_FEW_REPEATED = 8
 _MAX_REPEATED = 24
+# Nodes of one layer of a decision diagram.
+_DIAGRAM_WIDTH = 1024
+# Ways to settle double claims that one task lists of a pair.
+_BINDINGS_PER_PIECE = 1024
 
 
 def formula_tokens(df: DataFrame, column: str) -> DataFrame:
@@ -81,7 +89,7 @@ def best_literal_match(sim: DataFrame, key: str = "pair_id") -> DataFrame:
     return best.select(key, "gold_pos", "gold", "_best.*")
 
 
-def candidate_bindings(matched: DataFrame, limit: int | None = None) -> DataFrame:
+def candidate_bindings(matched: DataFrame, limit: int | None = None, allowed: str | None = None) -> DataFrame:
     """One row per way to settle double claims, numbered ``binding_id``.
 
     Input columns: ``claims array<int>`` (the predicted literal each gold literal claims) and ``pred_count``. Adds
@@ -89,10 +97,14 @@ def candidate_bindings(matched: DataFrame, limit: int | None = None) -> DataFram
     its variable), ``free`` (predictions nobody claims) and ``variables``. Gold literal j is variable j; free
     predictions get variables of their own. The number of ways is the product of the claim counts, and the binding
     number has one digit per claimed prediction, the last one moving fastest. ``limit`` keeps the first so many ways of
-    a row; ``complete`` tells whether they are all.
+    a row; ``complete`` tells whether they are all. ``allowed`` names an ``array<boolean>`` that tells which claims may
+    win: ways in which another one does are neither listed nor counted.
+
+    Numbers are dealt over tasks in ranges of ``_BINDINGS_PER_PIECE``, so no task lists all ways of a row.
     """
-    claimants = """transform(array_distinct(claims), p -> named_struct(
-        'pred', p, 'golds', filter(transform(claims, (c, j) -> CASE WHEN c = p THEN j END), j -> j IS NOT NULL)))"""
+    wins = "c = p" if allowed is None else f"c = p AND {allowed}[j]"
+    claimants = f"""transform(array_distinct(claims), p -> named_struct(
+        'pred', p, 'golds', filter(transform(claims, (c, j) -> CASE WHEN {wins} THEN j END), j -> j IS NOT NULL)))"""
     product = "aggregate({}, 1L, (n, g) -> n * size(g.golds))".format
     weighted = f"""transform(array({claimants}), groups -> transform(groups, (g, i) -> named_struct(
         'pred', g.pred, 'golds', g.golds, 'weight', {product('slice(groups, i + 2, size(groups))')})))[0]"""
@@ -106,11 +118,18 @@ def candidate_bindings(matched: DataFrame, limit: int | None = None) -> DataFram
         'variables', size(claims) + size(free))"""
     free = "array_except(sequence(0, pred_count - 1), transform(kept, k -> k.pred))"
     settled = f"transform(array({kept}), kept -> transform(array({free}), free -> {binding})[0])[0]"
-    return (
+    step = F.lit(_BINDINGS_PER_PIECE).cast("bigint")
+    ranges = (
         matched.withColumn("_claimed", F.expr(weighted))
         .withColumn("_ways", F.expr(product("_claimed")))
+        .where("_ways > 0")
         .withColumn("complete", F.lit(True) if limit is None else F.col("_ways") <= limit)
-        .withColumn("binding_id", F.explode(F.sequence(F.lit(0).cast("bigint"), _at_most("_ways", limit) - 1)))
+        .withColumn("_first", F.explode(F.sequence(F.lit(0).cast("bigint"), _at_most("_ways", limit) - 1, step)))
+    )
+    last = F.least(_at_most("_ways", limit), F.col("_first") + step) - 1
+    return (
+        spread(ranges, *matched.columns, "_first")
+        .withColumn("binding_id", F.explode(F.sequence(F.col("_first"), last)))
         .withColumn("_binding", F.expr(settled))
         .select(*matched.columns, "binding_id", "_binding.*", "complete")
     )
@@ -131,30 +150,37 @@ def truth_agreement(bound: DataFrame, keys: list[str], carry: list[str] | None =
 
     Input columns: ``gold_order`` and ``pred_order`` (postfix), ``gold_vars`` and ``pred_vars`` (variable of each
     literal), ``variables``; ``keys`` identify a row. Up to 18 variables are enumerated in the row, 64 assignments in a
-    machine word. With more, only variables that occur more than once in the two formulas are enumerated; all
-    others are independent of each other, and their share follows from the parts of the formula. These
-    assignments are spread over rows and added up. Beyond ``_MAX_REPEATED`` such variables the score is NULL.
+    machine word. With more, only variables that occur more than once in the two formulas need to be told apart; all
+    others are independent of each other, and their share follows from the parts of the formula. Up to
+    ``_FEW_REPEATED`` of them are enumerated, more of them make a decision diagram. Where one of its layers passes
+    ``_DIAGRAM_WIDTH`` nodes, the assignments of up to ``_MAX_REPEATED`` variables are enumerated, spread over rows and
+    added up; beyond that the score is NULL.
     """
     carry = carry or []
     leaves = lambda side: f"transform(filter({side}_order, t -> t >= 0), t -> {side}_vars[t])"
-    seen = f"concat({leaves('gold')}, {leaves('pred')})"
-    repeated = f"transform(array({seen}), s -> filter(array_distinct(s), v -> size(filter(s, x -> x = v)) > 1))[0]"
+    # Repeated variables in the order in which both formulas come to them.
+    place = "IF(array_position(l.g, v) = 0, 2, 1) * array_position(l.p, v) + IF(array_position(l.p, v) = 0, 2, 1) * array_position(l.g, v)"
+    often = "filter(array_distinct(concat(l.g, l.p)), v -> size(filter(concat(l.g, l.p), x -> x = v)) > 1)"
+    ordered = f"transform(array_sort(transform({often}, v -> named_struct('at', {place}, 'v', v))), r -> r.v)"
+    repeated = f"transform(array(named_struct('g', {leaves('gold')}, 'p', {leaves('pred')})), l -> {ordered})[0]"
     wide = F.col("variables") > _MASK_VARIABLES + _BLOCK_BITS
     blocks = F.expr(f"shiftleft(1L, greatest(variables - {_MASK_VARIABLES}, 0))")
     cases = F.when(F.size("_repeated") <= _MAX_REPEATED, F.expr("shiftleft(1L, size(_repeated))"))
     per_row = F.lit(1 << _BLOCK_BITS).cast("bigint")
+    sides = ("gold_order", "gold_vars", "pred_order", "pred_vars")
+    many = wide & (F.size("_repeated") > _FEW_REPEATED)
     sized = bound.withColumn("_repeated", F.when(wide, F.expr(repeated))).withColumn(
-        "_blocks", F.when(wide, cases).otherwise(blocks)
-    )
+        "_whole", F.when(many, logic.diagram_agreement(*sides, "_repeated", _DIAGRAM_WIDTH))
+    ).withColumn("_blocks", F.when(F.col("_whole").isNotNull(), 1).when(wide, cases).otherwise(blocks))
     pieces = sized.select(
-        *keys, *carry, "variables", "_blocks", "_repeated", "gold_order", "gold_vars", "pred_order", "pred_vars",
+        *keys, *carry, "variables", "_blocks", "_whole", "_repeated", "gold_order", "gold_vars", "pred_order", "pred_vars",
         F.explode_outer(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1, per_row)).alias("_first"),
     )
     # The evaluation is the costly step, hence the even spread before it.
-    sides = ("gold_order", "gold_vars", "pred_order", "pred_vars")
     agreed = spread(pieces, *keys, "_first").withColumn("_last", F.least("_blocks", F.col("_first") + per_row) - 1).select(
         *keys, *carry, "_blocks",
         F.when(F.col("_first").isNull(), F.lit(None).cast("double"))
+        .when(F.col("_whole").isNotNull(), F.col("_whole"))
         .when(wide, logic.conditional_agreement(*sides, "_repeated", "_first", "_last"))
         .otherwise(logic.agreeing_bits(*sides, "variables", "_first", "_last") / 64.0)
         .alias("_share"),
@@ -261,13 +287,11 @@ def logical_equivalence(pairs: DataFrame, sim: DataFrame, key: str = "pair_id",
         F.size("pred_lits").alias("pred_count"),
         _identity("gold_lits").alias("gold_vars"),
     )
-    bound = candidate_bindings(matched, binding_limit)
     if threshold is not None:
-        weak = F.exists(
-            F.arrays_zip("gold_pred", "claim_scores"),
-            lambda b: b["gold_pred"].isNotNull() & (b["claim_scores"] < threshold),
-        )
-        bound = bound.where(~weak)
+        strong = F.transform("claim_scores", lambda s: F.coalesce(s >= threshold, F.lit(False)))
+        bound = candidate_bindings(matched.withColumn("_strong", strong), binding_limit, "_strong").drop("_strong")
+    else:
+        bound = candidate_bindings(matched, binding_limit)
     carry = ["gold_lits", "pred_lits", "gold_pred", "free", "claim_scores"]
     agreement = truth_agreement(bound, [key, "binding_id"], [*carry, "complete"])
     settled = _best(agreement, key, carry).join(agreement.groupBy(key).agg(F.min("complete").alias("complete")), key) if (
@@ -305,17 +329,59 @@ def _every_pair(pairs: DataFrame, scored: DataFrame, key: str, fits: Column) ->
 
 # n! as far as it fits into 64 bits.
 _FACTORIALS = [factorial(n) for n in range(21)]
+# All permutations of so many literals are tried; more are searched.
+_ENUMERATED_LITERALS = 6
+# Entries of truth tables that the search of one piece may look at.
+_SEARCH_WORK = 1 << 33
+
+
+def _searched(names: DataFrame, key: str, work: int) -> DataFrame:
+    """``key, binding_id, score, gold_names, pred_names, _perm, complete``: the best permutation of each piece of a search.
+
+    A piece is the choice for the first literal, or for the first two where there are many; pieces are dealt over tasks.
+    """
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                n = len(row.ranked)
+                ranks = [list(map(int, r)) for r in row.ranked]
+                found = BindingSearch(truth_table(list(row.gold_order), n), truth_table(list(row.pred_order), n), ranks)
+                score, image, ended = found.best([int(p) for p in row.prefix], found.climbed(), max(work >> n, 1))
+                image = image or found.first()
+                out.append((row.key, found.number(image), max(score, 0) / found.size, row.gold_names, row.pred_names, image, ended))
+            yield pd.DataFrame(out, columns=["key", "binding_id", "score", "gold_names", "pred_names", "_perm", "complete"])
+
+    deep = F.flatten(F.transform(F.get("_ranked", 0), lambda p: F.transform(
+        F.array_remove(F.get("_ranked", 1), p), lambda q: F.array(p, q)
+    )))
+    prefixes = F.when(F.size("_ranked") > 9, deep).otherwise(F.transform(F.get("_ranked", 0), lambda p: F.array(p)))
+    pieces = names.select(
+        F.col(key).alias("key"), "gold_order", "pred_order", "gold_names", "pred_names", F.col("_ranked").alias("ranked"),
+        F.explode(prefixes).alias("prefix"),
+    )
+    kind = pieces.schema["key"].dataType.simpleString()
+    found = spread(pieces, "key", "prefix").mapInPandas(
+        search,
+        f"key {kind}, binding_id bigint, score double, gold_names array<string>, pred_names array<string>, _perm array<int>, complete boolean",
+    )
+    return found.withColumnRenamed("key", key)
 
 
 def logical_equivalence_permuted(pairs: DataFrame, key: str = "pair_id", pred: str = "pred", gold: str = "gold",
-                                 budget: logic.Budget = logic.Budget(), binding_limit: int | None = None) -> DataFrame:
+                                 budget: logic.Budget = logic.Budget(), binding_limit: int | None = None,
+                                 search_work: int = _SEARCH_WORK) -> DataFrame:
     """``key, score, reason, complete, gold_binding, pred_binding``: bindings are permutations, nearest literals first.
 
     Each gold literal ranks the predictions by edit distance, and permutations follow these ranks with the last
-    literal moving fastest. Permutation number k is read digit by digit in the factorial number system.
-    ``binding_limit`` tries the first so many only; ``complete`` tells whether all were tried. The number of
-    permutations is the factorial of the literals: state a limit for long formulas. Beyond 20 literals there must be one.
+    literal moving fastest. Permutation number k is read digit by digit in the factorial number system. Up to
+    ``_ENUMERATED_LITERALS`` literals all are tried. More are searched by branch and bound, in pieces of one or two fixed
+    literals; ``complete`` is false if a piece passed ``search_work`` entries of truth tables, and the best permutation so
+    far stands. With a ``binding_limit`` the first so many permutations are tried instead; ``complete`` tells whether they
+    are all. Beyond 20 literals there must be one.
     """
+    reachable(pairs.sparkSession)
     padded = lambda names, other: F.concat(
         F.col(names),
         F.transform(
@@ -349,7 +415,9 @@ def logical_equivalence_permuted(pairs: DataFrame, key: str = "pair_id", pred: s
         tries = F.coalesce(all_ways, F.raise_error(F.lit("more than 20 literals need a binding_limit")).cast("bigint"))
     else:
         tries = F.least(F.coalesce(all_ways, F.lit(binding_limit)), F.lit(binding_limit)).cast("bigint")
-    numbered = names.withColumn("_ranked", ranked).withColumn("complete", F.coalesce(all_ways <= tries, F.lit(False))).withColumn(
+    names = names.withColumn("_ranked", ranked)
+    searched = (n > _ENUMERATED_LITERALS) & (n <= 20) if binding_limit is None else F.lit(False)
+    numbered = names.where(~searched).withColumn("complete", F.coalesce(all_ways <= tries, F.lit(False))).withColumn(
         "binding_id", F.explode(F.sequence(F.lit(0).cast("bigint"), tries - 1))
     )
 
@@ -376,7 +444,10 @@ def logical_equivalence_permuted(pairs: DataFrame, key: str = "pair_id", pred: s
     )
     carry = ["gold_names", "pred_names", "_perm", "complete"]
     agreement = truth_agreement(evaluated, [key, "binding_id"], carry)
-    named = _best(agreement, key, carry).select(
+    if binding_limit is None:
+        agreement = agreement.unionByName(_searched(names.where(searched), key, search_work).select(agreement.columns))
+    ended = agreement.groupBy(key).agg(F.min("complete").alias("complete"))
+    named = _best(agreement, key, carry[:-1]).join(ended, key).select(
         key, "score", "reason", "complete", F.col("gold_names").alias("gold_binding"),
         F.transform("_perm", lambda p: F.get("pred_names", p)).alias("pred_binding"),
     )

@@ -372,8 +372,13 @@ def h6(spark, d):
     ).where(F.col("gold_order").isNotNull() & F.col("pred_order").isNotNull())
     bound = read.withColumn("variables", F.greatest(F.size("gold_vars"), F.size("pred_vars")))
     scored = equivalence.truth_agreement(bound, ["pair_id"]).withColumn("score", r6("score"))
-    reason = F.when(~F.col("fits"), "over budget").when(F.col("score").isNull(), "not well formed")
-    return pairs.select("pair_id", fits.alias("fits")).join(scored, "pair_id", "left").select("pair_id", "score", reason.alias("reason"))
+    reason = (
+        F.when(~F.col("fits"), equivalence.OVER_BUDGET)
+        .when(F.col("scored").isNull(), "not well formed")
+        .when(F.col("score").isNull(), equivalence.TOO_WIDE)
+    )
+    named = scored.withColumn("scored", F.lit(True))
+    return pairs.select("pair_id", fits.alias("fits")).join(named, "pair_id", "left").select("pair_id", "score", reason.alias("reason"))
 
 
 @query("h7_candidate_bindings")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,3 +42,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     tasks = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
     return df.repartition(int(tasks), *keys) if tasks.isdigit() else df.repartition(*keys)
+
+
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, whatever folder they start in.
+
+    A cluster whose machines do not share that path ships the package itself, as with ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -278,8 +279,8 @@ def test_wide_formulas_are_exact(spark):
     )
     got = {r.pair_id: r.score for r in eq.truth_agreement(read, ["pair_id"]).collect()}
     assert got[1] == pytest.approx(0.5, abs=1e-12)
-    # All 36 variables occur on both sides: too many to enumerate, and said so.
-    assert got[2] is None
+    # All 36 variables occur on both sides: too many to enumerate, and no work for a diagram.
+    assert got[2] == 1.0
     sim = similarity_table(spark, [(1, g, f"g{g}", p, f"p{p}", 0.0) for g in range(36) for p in range(36)])
     scored = eq.logical_equivalence(pairs.where("pair_id = 1"), sim).first()
     assert scored.score == pytest.approx(0.5, abs=1e-9) and scored.reason is None and scored.complete
@@ -306,6 +307,108 @@ def test_conditional_and_enumerated_shares_agree(spark, monkeypatch):
     assert derived == pytest.approx(counted)
 
 
+def bound_by_position(spark, pairs, shift=0):
+    df = spark.createDataFrame(pairs, "pair_id int, gold string, pred string").select(
+        "pair_id", logic.postfix("gold").alias("gold_order"), logic.postfix("pred").alias("pred_order"),
+        F.transform(logic.literals("gold"), lambda _, i: i).alias("gold_vars"),
+        F.transform(logic.literals("pred"), lambda _, i: i + shift).alias("pred_vars"),
+    )
+    return df.withColumn("variables", F.greatest(F.size("gold_vars"), F.size("pred_vars") + shift))
+
+
+def scores(bound):
+    return {r.pair_id: r.score for r in eq.truth_agreement(bound, ["pair_id"]).collect()}
+
+
+def test_diagrams_equal_brute_force_and_say_where_they_end(spark, monkeypatch):
+    rng = random.Random(13)
+    names = [f"{c}(x)" for c in "ABCDEFGHIJKL"]
+    pairs, expected = [], {}
+    for i in range(40):
+        pool = names[: rng.choice([2, 5, 12])]
+        gold, gt = random_formula(rng, pool, 5)
+        pred, pt = random_formula(rng, pool, 5)
+        if i % 4 == 0:
+            # Much the same formula on the other side.
+            pred, pt = f"¬({gold})", ("¬", gt)
+        pairs.append((i, gold, pred))
+        ga, pa = atoms_in_order(gold, pool), atoms_in_order(pred, pool)
+        expected[i] = agreement(gt, {a: j for j, a in enumerate(ga)}, pt, {a: j for j, a in enumerate(pa)}, max(len(ga), len(pa)))
+    bound = bound_by_position(spark, pairs)
+    monkeypatch.setattr(eq, "_MASK_VARIABLES", -1)
+    monkeypatch.setattr(eq, "_BLOCK_BITS", 0)
+    monkeypatch.setattr(eq, "_FEW_REPEATED", 0)
+    monkeypatch.setattr(eq, "_MAX_REPEATED", 0)
+    assert scores(bound) == pytest.approx(expected)
+    # A layer of one node is never enough, so pairs that do not settle at once have no score, or are enumerated.
+    monkeypatch.setattr(eq, "_DIAGRAM_WIDTH", 1)
+    narrow = scores(bound)
+    assert any(v is None for v in narrow.values()) and all(v is None or v == pytest.approx(expected[i]) for i, v in narrow.items())
+    monkeypatch.setattr(eq, "_MAX_REPEATED", 12)
+    assert scores(bound) == pytest.approx(expected)
+
+
+def test_diagrams_equal_masks_at_twenty_variables(spark, monkeypatch):
+    rng = random.Random(17)
+    names = [f"{c}({v})" for v in "xy" for c in "ABCDEFGHIJ"]
+    chain = lambda parts, ops: "".join(p + o for p, o in zip(parts, [*ops, ""]))
+    pairs = []
+    for i in range(6):
+        ops = [rng.choice("∧∨→↔⊕") for _ in range(19)]
+        pairs.append((i, chain(names, ops), chain(names[::-1] if i % 2 else names, rng.sample(ops, 19))))
+    bound = bound_by_position(spark, pairs)
+    derived = scores(bound)
+    monkeypatch.setattr(eq, "_BLOCK_BITS", 14)
+    assert derived == pytest.approx(scores(bound), abs=1e-12) and len(set(derived.values())) > 3
+
+
+def test_searched_permutations_equal_enumerated_ones(spark, monkeypatch):
+    rng = random.Random(19)
+    names = [f"{c}{c.lower()}({v})" for c, v in zip("ABCDEFG", "xyzxyzx")]
+    pairs = [(i, random_formula(rng, names[: rng.randint(2, 7)], 4)[0], random_formula(rng, names[: rng.randint(2, 7)], 4)[0]) for i in range(30)]
+    df = spark.createDataFrame(pairs, "pair_id long, gold string, pred string")
+    rows = lambda: sorted(map(repr, eq.logical_equivalence_permuted(df).collect()))
+    monkeypatch.setattr(eq, "_ENUMERATED_LITERALS", 7)
+    counted = rows()
+    monkeypatch.setattr(eq, "_ENUMERATED_LITERALS", 1)
+    assert rows() == counted
+
+
+def test_twelve_literals_are_searched_whole(spark):
+    names = [f"{c}(x)" for c in "ABCDEFGHIJKL"]
+    ops = "∧→∨∧↔∨→∧⊕∨∧"
+    gold = "".join(n + o for n, o in zip(names, [*ops, ""]))
+    turned = names[5:] + names[:5]
+    pred = "".join(n + o for n, o in zip(turned, [*ops, ""]))
+    other = "".join(n + o for n, o in zip(names, [*ops[::-1], ""]))
+    df = spark.createDataFrame([(1, gold, pred), (2, gold, other)], "pair_id long, gold string, pred string")
+    started = time.time()
+    got = {r.pair_id: r for r in eq.logical_equivalence_permuted(df).collect()}
+    assert time.time() - started < 60
+    # The same formula under other names: found, where the nearest names mislead.
+    assert got[1].score == 1.0 and got[1].complete and got[1].reason is None
+    assert got[2].complete and 0.5 < got[2].score <= 1
+    stopped = eq.logical_equivalence_permuted(df.where("pair_id = 2"), search_work=1 << 14).first()
+    assert not stopped.complete and stopped.score <= got[2].score
+
+
+def test_bindings_are_dealt_in_ranges(spark, monkeypatch):
+    """Eight literals that all claim one of four predictions, in every pair alike."""
+    monkeypatch.setattr(eq, "_BINDINGS_PER_PIECE", 4)
+    claims = [0, 1, 2, 3, 0, 1, 2, 3]
+    pairs = spark.range(10_000).select(F.col("id").alias("pair_id"), F.array(*map(F.lit, claims)).alias("claims"), F.lit(4).alias("pred_count"))
+    bound = eq.candidate_bindings(pairs)
+    sizes = [r["count"] for r in bound.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(sizes) == 160_000 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+    one = bound.where("pair_id = 7").orderBy("binding_id").collect()
+    assert [r.binding_id for r in one] == list(range(16)) and len({tuple(map(str, r.gold_pred)) for r in one}) == 16
+    # Claims that may not win are neither listed nor counted.
+    some = pairs.limit(3).withColumn("may", F.array(*[F.lit(i not in (1, 6)) for i in range(8)]))
+    kept = eq.candidate_bindings(some, allowed="may").collect()
+    assert len(kept) == 3 * 4 and all(r.gold_pred[1] is None and r.gold_pred[6] is None for r in kept)
+    assert eq.candidate_bindings(some.withColumn("may", F.array(*[F.lit(i % 4 > 0) for i in range(8)])), allowed="may").count() == 0
+
+
 def test_scores_name_their_reason_and_limits(spark):
     pairs = spark.createDataFrame(
         [(1, "A(x) ∧ B(x)", "A(x) ∧ B(x)"), (2, "A(x) ∧", "A(x)"), (3, "A(x)", "∧".join(["A(x)"] * 8))], "pair_id long, gold string, pred string"

@@ -253,7 +253,10 @@ def _identity(array: str) -> Column:
 
 
 def _best(agreement: DataFrame, key: str, carry: list[str]) -> DataFrame:
-    """Per key the first binding with the highest score; an all-disagree pair has a score and no binding."""
+    """Per key the first binding with the highest score; an all-disagree pair has a score and no binding.
+
+    ``complete`` is true if it is for all bindings.
+    """
     rank = F.when(F.col("score") > 0, F.struct(F.col("score"), -F.col("binding_id")))
     return (
         agreement.groupBy(key)
@@ -261,8 +264,9 @@ def _best(agreement: DataFrame, key: str, carry: list[str]) -> DataFrame:
             F.max_by(F.struct(*carry), rank).alias("_best"),
             F.max("score").alias("score"),
             F.max(F.when(F.col("score").isNull(), F.lit(TOO_WIDE))).alias("reason"),
+            F.min("complete").alias("complete"),
         )
-        .select(key, "score", "reason", *[F.col("_best")[c].alias(c) for c in carry])
+        .select(key, "score", "reason", "complete", *[F.col("_best")[c].alias(c) for c in carry])
     )
 
 
@@ -294,9 +298,7 @@ def logical_equivalence(pairs: DataFrame, sim: DataFrame, key: str = "pair_id",
         bound = candidate_bindings(matched, binding_limit)
     carry = ["gold_lits", "pred_lits", "gold_pred", "free", "claim_scores"]
     agreement = truth_agreement(bound, [key, "binding_id"], [*carry, "complete"])
-    settled = _best(agreement, key, carry).join(agreement.groupBy(key).agg(F.min("complete").alias("complete")), key) if (
-        binding_limit is not None
-    ) else _best(agreement, key, carry).withColumn("complete", F.lit(True))
+    settled = _best(agreement, key, carry)
     dummy = lambda name: F.concat(F.lit(logic.DUMMY), name)
     gold_names = F.concat(
         F.col("gold_lits"), F.transform("free", lambda p: dummy(F.get("pred_lits", p)))
@@ -329,8 +331,8 @@ def _every_pair(pairs: DataFrame, scored: DataFrame, key: str, fits: Column) ->
 
 # n! as far as it fits into 64 bits.
 _FACTORIALS = [factorial(n) for n in range(21)]
-# All permutations of so many literals are tried; more are searched.
-_ENUMERATED_LITERALS = 6
+# All permutations of so many literals are tried; more are searched, which soon costs less.
+_ENUMERATED_LITERALS = 3
 # Entries of truth tables that the search of one piece may look at.
 _SEARCH_WORK = 1 << 33
 
@@ -338,7 +340,8 @@ _SEARCH_WORK = 1 << 33
 def _searched(names: DataFrame, key: str, work: int) -> DataFrame:
     """``key, binding_id, score, gold_names, pred_names, _perm, complete``: the best permutation of each piece of a search.
 
-    A piece is the choice for the first literal, or for the first two where there are many; pieces are dealt over tasks.
+    A piece is the choice for the first literal, for the first two where there are many, and everything where there are
+    few; pieces are dealt over tasks.
     """
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -356,7 +359,12 @@ def _searched(names: DataFrame, key: str, work: int) -> DataFrame:
     deep = F.flatten(F.transform(F.get("_ranked", 0), lambda p: F.transform(
         F.array_remove(F.get("_ranked", 1), p), lambda q: F.array(p, q)
     )))
-    prefixes = F.when(F.size("_ranked") > 9, deep).otherwise(F.transform(F.get("_ranked", 0), lambda p: F.array(p)))
+    whole = F.array(F.array().cast("array<int>"))
+    prefixes = (
+        F.when(F.size("_ranked") > 9, deep)
+        .when(F.size("_ranked") > 6, F.transform(F.get("_ranked", 0), lambda p: F.array(p)))
+        .otherwise(whole)
+    )
     pieces = names.select(
         F.col(key).alias("key"), "gold_order", "pred_order", "gold_names", "pred_names", F.col("_ranked").alias("ranked"),
         F.explode(prefixes).alias("prefix"),
@@ -415,7 +423,8 @@ def logical_equivalence_permuted(pairs: DataFrame, key: str = "pair_id", pred: s
         tries = F.coalesce(all_ways, F.raise_error(F.lit("more than 20 literals need a binding_limit")).cast("bigint"))
     else:
         tries = F.least(F.coalesce(all_ways, F.lit(binding_limit)), F.lit(binding_limit)).cast("bigint")
-    names = names.withColumn("_ranked", ranked)
+    # Read by both ways of finding the best permutation, and costly to make.
+    names = cut(names.withColumn("_ranked", ranked))
     searched = (n > _ENUMERATED_LITERALS) & (n <= 20) if binding_limit is None else F.lit(False)
     numbered = names.where(~searched).withColumn("complete", F.coalesce(all_ways <= tries, F.lit(False))).withColumn(
         "binding_id", F.explode(F.sequence(F.lit(0).cast("bigint"), tries - 1))
@@ -446,8 +455,7 @@ def logical_equivalence_permuted(pairs: DataFrame, key: str = "pair_id", pred: s
     agreement = truth_agreement(evaluated, [key, "binding_id"], carry)
     if binding_limit is None:
         agreement = agreement.unionByName(_searched(names.where(searched), key, search_work).select(agreement.columns))
-    ended = agreement.groupBy(key).agg(F.min("complete").alias("complete"))
-    named = _best(agreement, key, carry[:-1]).join(ended, key).select(
+    named = _best(agreement, key, carry[:-1]).select(
         key, "score", "reason", "complete", F.col("gold_names").alias("gold_binding"),
         F.transform("_perm", lambda p: F.get("pred_names", p)).alias("pred_binding"),
     )

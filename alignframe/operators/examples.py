@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from alignframe.functions.text import hash_bucket, words
+from alignframe.functions.text import words
 from alignframe.operators.ranking import running_total, with_position
 from alignframe.operators.skew import HOT_KEYS, lookup
 
 IGNORED_LABEL = -100
 EOS_ID = 0
 UNKNOWN_ID = -1
-_BUCKETS = 1_000_000
 _BATCHES_PER_TASK = 1 << 16
 
 
@@ -71,11 +72,39 @@ def supervised_examples(df: DataFrame, key: str, prompt: str, answer: str, vocab
 
 
 def split_by_key(df: DataFrame, key: str, test_fraction: float = 0.2, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Train and evaluation rows by a hash of the key: disjoint, complete, the same in every run."""
-    held_out = F.coalesce(hash_bucket(key, seed, _BUCKETS) < round(test_fraction * _BUCKETS), F.lit(False))
+    """Train and evaluation rows: disjoint, complete, the same in every run, and of exact size.
+
+    The evaluation part has the rows with the smallest hashes of their keys, ``test_fraction`` of all that have a key, rounded
+    to the nearest number with halves up. Rows that share a key stay together, so the last key may bring some rows more. A job
+    finds the last hash; the parts themselves are filters, without a shuffle.
+    """
+    last = _hash_at(df.select(shuffle_key(key, seed).alias("_hash")), test_fraction)
+    held_out = F.lit(False) if last is None else F.coalesce(shuffle_key(key, seed) <= last, F.lit(False))
     return df.where(~held_out), df.where(held_out)
 
 
+def _hash_at(hashes: DataFrame, fraction: float) -> str | None:
+    """The hash up to which ``fraction`` of all rows lie; the driver gets one row a round.
+
+    Hashes are counted by their first digits, and only those that begin like the wanted one are counted by more digits.
+    A round orders 65,536 rows at most, the last one what is left of a hash's 2^32 beginnings.
+    """
+    hashes = hashes.where(F.col("_hash").isNotNull())
+    wanted = math.floor(hashes.count() * fraction + 0.5)
+    if wanted <= 0:
+        return None
+    begins = ""
+    for digits in (4, 8, 32):
+        counts = hashes.where(F.col("_hash").startswith(begins)).groupBy(F.substring("_hash", 1, digits).alias("_begins")).agg(F.count(F.lit(1)).alias("_n"))
+        upto = F.sum("_n").over(Window.orderBy("_begins").rowsBetween(Window.unboundedPreceding, 0))
+        row = counts.withColumn("_upto", upto).where(F.col("_upto") >= wanted).orderBy("_begins").first()
+        if row is None:
+            # Everything is wanted.
+            return "g"
+        begins, wanted = row["_begins"], wanted - (row["_upto"] - row["_n"])
+    return begins
+
+
 def shuffle_key(key: str, seed: int):
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 

@@ -58,52 +58,88 @@ def running_total(df: DataFrame, order: str, value: str, name: str, width: int =
     )
 
 
-# Bins per factor of e. Neighbouring bins differ by 1/4096, at any magnitude.
-_BINS = 4096
-_BIN_SHIFT = 4_000_000
-
-
-def _bin(v: Column) -> Column:
-    size = F.floor(F.ln(F.abs(v)) * _BINS) + _BIN_SHIFT
-    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0)).cast("bigint")
+# Leading bits of a number's fraction that the first digit holds beside sign and exponent, and bits of each later digit.
+_LEAD_BITS = 4
+_DIGIT_BITS = 16
+_FRACTION_BITS = 52
+_EXPONENT_SHIFT = 1100
+
+
+def _digits(v: Column) -> list[Column]:
+    """A double as whole numbers whose order, the first deciding first, is the order of doubles."""
+    size = F.abs(v)
+    # The logarithm may be off by one next to a power of two; scaling by such a power is exact.
+    near = F.floor(F.log2(size))
+    exponent = F.when(size < F.pow(F.lit(2.0), near), near - 1).when(size >= F.pow(F.lit(2.0), near + 1), near + 1).otherwise(near)
+    fraction = ((size / F.pow(F.lit(2.0), exponent) - 1) * float(1 << _FRACTION_BITS)).cast("bigint")
+    lead = _FRACTION_BITS - _LEAD_BITS
+    whole = (exponent + _EXPONENT_SHIFT) * (1 << _LEAD_BITS) + F.shiftright(fraction, lead)
+    infinite = size == float("inf")
+    first = F.when(infinite, F.lit(1 << 17)).otherwise(whole)
+    out = [F.when(v > 0, first).when(v < 0, -first).otherwise(F.lit(0)).cast("bigint")]
+    mask = (1 << _DIGIT_BITS) - 1
+    for shift in range(lead - _DIGIT_BITS, -1, -_DIGIT_BITS):
+        digit = F.shiftright(fraction, shift).bitwiseAND(F.lit(mask).cast("bigint"))
+        out.append(F.when(infinite | (v == 0), F.lit(0)).when(v < 0, F.lit(mask) - digit).otherwise(digit).cast("bigint"))
+    return out
 
 
 def group_quantile(df: DataFrame, group: str, value: str, q: float, name: str, rows: str = "_rows") -> DataFrame:
     """Exact interpolated quantile per group, for groups of any size, and the number of values it is taken over (``rows``).
 
-    Values are first counted in logarithmic bins (map-side combine). Only the one or two bins that hold the wanted
-    ranks are read again, and there equal values collapse to a count before they are ordered.
+    Radix selection: values are counted by their first digit (map-side combine), a group's running counts tell the digits of
+    its two wanted ranks, and only values with these digits are read again and counted by the next one. Once every group
+    has no more of them left than a digit has values, these values are the last digit. So a task orders at most so many rows per
+    group, whatever the values are. What a round finds, one row per group, is checkpointed.
     """
+    digits = [f"_d{i}" for i in range(1 + (_FRACTION_BITS - _LEAD_BITS) // _DIGIT_BITS)]
+    ends, ranks = ("low", "high"), ["_low_rank", "_high_rank"]
     values = df.select(group, number(value).alias("_v")).where(F.col("_v").isNotNull())
-    binned = values.withColumn("_bin", _bin(F.col("_v")))
-    bins = binned.groupBy(group, "_bin").agg(F.count(F.lit(1)).alias("_n"))
-    in_bins = Window.partitionBy(group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = bins.withColumn("_upto", F.sum("_n").over(in_bins)).withColumn(
-        "_all", F.sum("_n").over(Window.partitionBy(group))
-    )
-    rank = (F.col("_all") - 1) * F.lit(float(q))
-    low, high = F.floor(rank), F.ceil(rank)
-    holds = lambda r: (F.col("_before") <= r) & (r < F.col("_upto"))
-    ranked = ranked.withColumn("_before", F.col("_upto") - F.col("_n"))
-    of = lambda c, r: F.max(F.when(holds(r), F.col(c)))
-    wanted = ranked.groupBy(group, "_all").agg(
-        of("_bin", low).alias("_low_bin"),
-        of("_before", low).alias("_low_before"),
-        of("_bin", high).alias("_high_bin"),
-        of("_before", high).alias("_high_before"),
-    )
-    columns = ["_all", "_low_bin", "_low_before", "_high_bin", "_high_before"]
-    near = lookup(binned, wanted, [group], columns, weight="_all").where(
-        (F.col("_bin") == F.col("_low_bin")) | (F.col("_bin") == F.col("_high_bin"))
-    )
-    before = F.when(F.col("_bin") == F.col("_low_bin"), F.col("_low_before")).otherwise(F.col("_high_before"))
-    values = near.groupBy(
-        group, "_bin", "_all", before.alias("_before"), low.alias("_low"), high.alias("_high"), (rank - low).alias("_part"), "_v"
-    ).agg(F.count(F.lit(1)).alias("_n"))
-    in_bin = Window.partitionBy(group, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = values.withColumn("_to", F.col("_before") + F.sum("_n").over(in_bin)).withColumn(
-        "_from", F.col("_to") - F.col("_n")
+    left = values.select(group, "_v", *[d.alias(n) for n, d in zip(digits, _digits(F.col("_v")), strict=True)])
+    left = left.withColumns({"_in_low": F.lit(True), "_in_high": F.lit(True)})
+    found, digit = None, digits.pop(0)
+    while digit is not None:
+        known = [] if found is None else [F.first(c).alias(c) for c in (*ranks, "_all", "_part")]
+        counts = left.groupBy(group, digit).agg(
+            *[F.sum(F.col(f"_in_{end}").cast("bigint")).alias(f"_{end}_n") for end in ends],
+            *[F.max(F.when(F.col(f"_in_{end}"), F.col("_v"))).alias(f"_{end}_v") for end in ends],
+            *known,
+        )
+        if found is None:
+            rank = (F.col("_all") - 1) * F.lit(float(q))
+            counts = counts.withColumn("_all", F.sum("_low_n").over(Window.partitionBy(group))).withColumns(
+                {"_low_rank": F.floor(rank), "_high_rank": F.ceil(rank), "_part": rank - F.floor(rank)}
+            )
+        found = _chosen(counts, group, digit)
+        if digit == "_v":
+            break
+        found = cut(found)
+        most = found.agg(F.max(F.greatest("_low_left", "_high_left"))).first()[0] or 0
+        first = digit
+        digit = "_v" if most <= 1 << _DIGIT_BITS or not digits else digits.pop(0)
+        kept = lookup(left.drop(*ranks, "_all", "_part"), found, [group], ["_all", "_part", "_low_digit", "_high_digit", *ranks], weight="_all")
+        left = kept.withColumns({f"_in_{end}": F.col(f"_in_{end}") & (F.col(first) == F.col(f"_{end}_digit")) for end in ends})
+        left = left.where(F.col("_in_low") | F.col("_in_high")).drop("_low_digit", "_high_digit", first)
+        if digit != "_v":
+            left = cut(left)
+    low, high = F.col("_low_value"), F.col("_high_value")
+    return found.select(group, F.col("_all").alias(rows), F.when(low == high, low).otherwise(low + (high - low) * F.col("_part")).alias(name))
+
+
+def _chosen(counts: DataFrame, group: str, digit: str) -> DataFrame:
+    """Per group the digits that hold the two ranks, the largest value and the number of values there, and the ranks among them."""
+    ends = ("low", "high")
+    running = Window.partitionBy(group).orderBy(digit).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumns({f"_{end}_upto": F.sum(f"_{end}_n").over(running) for end in ends})
+
+    def of(column: str, end: str) -> Column:
+        here, before = F.col(f"_{end}_rank"), F.col(f"_{end}_upto") - F.col(f"_{end}_n")
+        return F.max(F.when((before <= here) & (here < F.col(f"_{end}_upto")), F.expr(column)))
+
+    return placed.groupBy(group).agg(
+        F.max("_all").alias("_all"), F.max("_part").alias("_part"),
+        *[of(digit, end).alias(f"_{end}_digit") for end in ends],
+        *[of(f"_{end}_v", end).alias(f"_{end}_value") for end in ends],
+        *[of(f"_{end}_n", end).alias(f"_{end}_left") for end in ends],
+        *[of(f"_{end}_rank - _{end}_upto + _{end}_n", end).alias(f"_{end}_rank") for end in ends],
     )
-    at = lambda r: F.max(F.when((F.col("_from") <= F.col(r)) & (F.col(r) < F.col("_to")), F.col("_v")))
-    ends = placed.groupBy(group).agg(at("_low").alias("_lv"), at("_high").alias("_hv"), F.max("_part").alias("_part"), F.max("_all").alias("_all"))
-    return ends.select(group, F.col("_all").alias(rows), (F.col("_lv") + (F.col("_hv") - F.col("_lv")) * F.col("_part")).alias(name))

@@ -31,6 +31,12 @@ def _words(x: str) -> str:
     return rf"list_filter(string_split_regex({x}, '\s+'), lambda w: w <> '')"
 
 
+def _part(key: str, seed: int) -> str:
+    """A fifth of all rows, those with the smallest hashes, is held out."""
+    place = f"row_number() OVER (ORDER BY md5('{seed}:' || {key}))"
+    return f"CASE WHEN {place} <= floor(count(*) OVER () * 0.2 + 0.5) THEN 'test' ELSE 'train' END"
+
+
 def _bucket(key: str, seed: int, buckets: int) -> str:
     return f"(('0x' || substr(md5('{seed}:' || {key}), 1, 8))::BIGINT % {buckets})"
 
@@ -228,9 +234,10 @@ _SUMS = "SELECT {0}, n, sum(t) AS t, sum(m) AS m, sum(h) AS h, sum(r) AS r, coun
 ORACLES: dict[str, str] = {
     "a1_read_parquet_set": "SELECT * FROM labels",
     "a2_read_json_records": _with("labelled summaries", "SELECT doc_id, claim, label FROM summaries"),
-    "a3_read_subsets": """SELECT subset, lang, count(*) AS rows, sum(n_chars)::BIGINT AS chars
-        FROM documents, (VALUES ('train'), ('test')) s(subset) GROUP BY ALL""",
-    "a4_append_unscored": _with("labelled summaries", "SELECT doc_id, claim FROM summaries WHERE doc_id % 3 <> 0"),
+    "a3_read_subsets": """SELECT subset, lang, count(*) AS rows, sum(n_chars)::BIGINT AS chars FROM documents JOIN
+        (VALUES (0, 'helpful-base'), (1, 'helpful-online'), (2, 'helpful-rejection-sampled'), (3, 'harmless-base')) s(k, subset)
+        ON doc_id % 4 = k GROUP BY ALL""",
+    "a4_append_unscored": _with("labelled summaries", "SELECT doc_id, claim FROM summaries WHERE doc_id % 4 > 1"),
     "a5_metric_rows": """SELECT 'run-1' AS run, l_returnflag AS subset, metric, round(value, 6) AS value FROM (
         SELECT l_returnflag, avg(l_discount) AS "reward/mean", max(l_discount) AS "reward/max", count(*)::DOUBLE AS rows
         FROM lineitem GROUP BY 1) UNPIVOT (value FOR metric IN ("reward/mean", "reward/max", rows))""",
@@ -342,7 +349,7 @@ ORACLES: dict[str, str] = {
         min(v) OVER () AS tl, max(v) OVER () AS th FROM (
             SELECT *, CASE WHEN isnan(reward_b) THEN NULL ELSE reward_b END AS v FROM rollouts))""",
     ),
-    "e2_split_by_key": f"""SELECT doc_id, CASE WHEN {_bucket('doc_id', 0, 1_000_000)} < 200000 THEN 'test' ELSE 'train' END
+    "e2_split_by_key": f"""SELECT doc_id, {_part('doc_id', 0)}
         AS part FROM documents""",
     "e3_seeded_order": """SELECT o_orderkey, row_number() OVER (ORDER BY md5('0:' || o_orderkey), o_orderkey) - 1
         AS position FROM orders""",
@@ -614,12 +621,12 @@ ORACLES |= {
     ),
     "m2_task_formula": _with(
         "formula_pairs",
-        f"""SELECT pair_id, CASE WHEN {_bucket('pair_id', 2, 1_000_000)} < 200000 THEN 'test' ELSE 'train' END AS part,
+        f"""SELECT pair_id, {_part('pair_id', 2)} AS part,
         {_render(prompts.NL_TO_FORMULA, NL="('Part ' || pair_id || ' is heavy.')")} AS prompt, gold AS FOL FROM formula_pairs""",
     ),
     "m2_task_distill": _with(
         "labelled summaries",
-        f"""SELECT doc_id, CASE WHEN {_bucket('doc_id', 0, 1_000_000)} < 200000 THEN 'test' ELSE 'train' END AS part,
+        f"""SELECT doc_id, {_part('doc_id', 0)} AS part,
         md5({_render(prompts.PASSAGE_TO_FORMULA, document='document')}) AS prompt, claim FROM summaries WHERE length(document) >= 200""",
     ),
 }

@@ -43,9 +43,21 @@ def append_unscored(inputs: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return inputs.join(done.select(key), key, "left_anti")
 
 
-def append_results(results: DataFrame, path: str) -> None:
-    """Add a run's results; earlier files stay as they are."""
-    results.write.mode("append").parquet(path)
+def append_results(results: DataFrame, path: str, run: str | None = None) -> None:
+    """Add a run's results; those of other runs stay as they are.
+
+    With a name, a run's rows go to a partition of their own, staged aside and put in place by one rename when the job has
+    ended: an append that is tried again replaces its own rows, one that is killed leaves none. Readers of ``path`` see a column
+    ``run``. Without a name files are added as they come, once for each call.
+    """
+    if run is None:
+        results.write.mode("append").parquet(path)
+    else:
+        _replace(results.withColumn("run", F.lit(run)), path, ["run"])
+
+
+def _replace(rows: DataFrame, path: str, partitions: list[str]) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
 def metric_rows(df: DataFrame, metrics: dict[str, Column], run: str, subset: str | None = None) -> DataFrame:
@@ -58,5 +70,6 @@ def metric_rows(df: DataFrame, metrics: dict[str, Column], run: str, subset: str
     return lines.select(F.lit(run).alias("run"), group.alias("subset"), "metric", "value")
 
 
-def append_metrics(lines: DataFrame, path: str) -> None:
-    lines.write.mode("append").partitionBy("run").parquet(path)
+def append_metrics(lines: DataFrame, path: str, step: str = "all") -> None:
+    """Add the metric lines of a run's step; an append that is tried again replaces its own lines."""
+    _replace(lines.withColumn("step", F.lit(step)), path, ["run", "step"])

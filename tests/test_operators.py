@@ -3,6 +3,7 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,10 +178,57 @@ def test_split_is_disjoint_complete_and_repeatable(spark):
     df = spark.range(2000)
     train, held = examples.split_by_key(df, "id")
     a, b = {r.id for r in train.collect()}, {r.id for r in held.collect()}
-    assert not a & b and len(a | b) == 2000 and 300 < len(b) < 500
+    assert not a & b and len(a | b) == 2000 and len(b) == 400
     assert b == {r.id for r in examples.split_by_key(df.orderBy(F.desc("id")), "id")[1].collect()}
 
 
+def test_split_has_its_exact_size(spark):
+    for n, fraction, want in ((7, 0.2, 1), (13, 0.2, 3), (5, 0.1, 1), (4, 0.1, 0), (9, 0.0, 0), (9, 1.0, 9), (0, 0.2, 0), (3000, 0.33, 990)):
+        train, held = examples.split_by_key(spark.range(n), "id", fraction, seed=3)
+        assert (train.count(), held.count()) == (n - want, want)
+    # Rows of one key stay together; rows without a key are never held out.
+    rows = spark.createDataFrame([(i // 50 if i % 10 else None,) for i in range(500)], "id int")
+    train, held = examples.split_by_key(rows, "id", 0.5)
+    assert held.where("id is null").count() == 0 and held.count() == 225 and train.count() == 275
+    assert held.groupBy("id").count().where("count <> 45").count() == 0
+
+
+def test_appends_count_once(spark, tmp_path):
+    path = str(tmp_path / "results")
+    rows = lambda ids: spark.createDataFrame([(i,) for i in ids], "id int")
+    io.append_results(rows([1, 2, 3]), path, "a")
+    io.append_results(rows([4]), path, "b")
+    io.append_results(rows([1, 2, 3]), path, "a")
+    bad = F.udf(lambda i: 1 // (i - 6), "int")
+    with pytest.raises(Exception):
+        io.append_results(rows([5, 6, 7]).repartition(3).select(bad("id").alias("id")), path, "c")
+    assert sorted(col(spark.read.parquet(path), "run", "id")) == [("a", 1), ("a", 2), ("a", 3), ("b", 4)]
+    io.append_results(rows([5, 6, 7]), path, "c")
+    assert spark.read.parquet(path).count() == 7
+    lines = io.metric_rows(rows([1, 2]), {"most": F.max("id")}, "r")
+    for step in ("one", "one", "two"):
+        io.append_metrics(lines, str(tmp_path / "m"), step)
+    assert sorted(col(spark.read.parquet(str(tmp_path / "m")), "run", "step", "value")) == [("r", "one", 2.0), ("r", "two", 2.0)]
+
+
+def test_quantiles_of_values_that_crowd(spark, monkeypatch):
+    """Many distinct values next to each other, powers of two, both signs, infinities, ties and single rows."""
+    rng = np.random.default_rng(5)
+    groups = {
+        0: 1 + np.arange(3000) * 1e-13, 1: rng.normal(size=500), 2: np.repeat([-1.5, 0.0, 2.0], [3, 5, 2]), 3: np.array([7.25]),
+        4: 2.0 ** rng.integers(-1074, 1023, 300) * np.where(rng.random(300) < 0.5, -1, 1), 5: np.array([1.0, np.inf, np.inf]),
+        6: np.array([2.0, 8.0, np.nextafter(8, 0), np.nextafter(8, 9)]),
+    }
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [(3, None), (3, math.nan)], "g int, v double")
+    for bits, q in ((16, 0.8), (8, 0.37)):
+        monkeypatch.setattr(ranking, "_DIGIT_BITS", bits)
+        got = {r["g"]: (r["_rows"], r["c"]) for r in ranking.group_quantile(df, "g", "v", q, "c").collect()}
+        for g, vs in groups.items():
+            vs, at = np.sort(vs), (len(vs) - 1) * q
+            low, high = vs[math.floor(at)], vs[math.ceil(at)]
+            assert got[g] == (len(vs), low if low == high else low + (high - low) * (at - math.floor(at)))
+
+
 def test_padding_report_with_a_shared_length(spark, monkeypatch):
     monkeypatch.setattr(examples, "_BATCHES_PER_TASK", 3)
     lengths = [5] * 40 + [9, 1, 17]

@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -399,6 +400,58 @@ def test_streamed_scoring_resumes_by_key(spark, tmp_path):
     assert calls == [6, 4]
 
 
+def test_streamed_scoring_reads_nothing_of_earlier_results(spark, tmp_path):
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    schema = spark.createDataFrame([], "id long, t string").schema
+    for run, ids in enumerate((range(0, 20), range(10, 30), range(25, 32))):
+        spark.createDataFrame([(i, "x" * i) for i in ids], schema).write.mode("append").parquet(source)
+        incremental.append_unscored_stream(spark, source, schema, out, progress, "id", lambda df: df.select("id")).awaitTermination()
+        for part in (tmp_path / "out").rglob("*.parquet"):
+            if run < 2 and part.stat().st_size:
+                # Results that are gone would be missed by whoever reads them.
+                (tmp_path / f"kept-{run}-{part.name}").write_bytes(part.read_bytes())
+                part.write_bytes(b"")
+    last = sorted(int(p.name.partition("=")[2]) for p in (tmp_path / "out").glob("batch=*"))[-1]
+    assert sorted(r.id for r in spark.read.parquet(f"{out}/batch={last}").collect()) == [30, 31]
+
+
+def test_board_is_one_snapshot_and_the_changes_since(spark, tmp_path, monkeypatch):
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    rng, net = random.Random(2), {}
+    schema = spark.createDataFrame([], "idx long, target string, output string").schema
+    for run in range(7):
+        rows = [(rng.randrange(12), rng.choice("AB"), rng.choice("ABC")) for _ in range(9)]
+        for i, target, given in rows:
+            net[i] = net.get(i, 0) + (0 if given == "C" else 1 if given == target else -1)
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        board = incremental.scoreboard_stream(spark.readStream.schema(schema).parquet(source))
+        incremental.keep_board(board, out, progress, compact_every=3).awaitTermination()
+        whole = judging.pair_scoreboard(spark.read.schema(schema).parquet(source)).select("idx", "net", "outcome")
+        assert sorted(map(tuple, incremental.read_board(spark, out).collect())) == sorted(map(tuple, whole.collect()))
+    read = incremental.read_board(spark, out)
+    assert {r.idx: r.net for r in read.collect()} == net
+    before = sorted(map(tuple, read.collect()))
+
+    def lose(folders):
+        # Files without content would fail whoever reads them.
+        for folder in folders:
+            for part in (tmp_path / "out" / folder).glob("*.parquet"):
+                part.write_bytes(b"")
+
+    # Seven batches: a read needs the snapshot of the first six, and one folder of changes.
+    lose([f"changes/n={n}" for n in range(6)] + ["snapshots/upto=2"])
+    assert sorted(map(tuple, incremental.read_board(spark, out).collect())) == before
+    # A compaction that ends before its pointer is written changes nothing, and may be run again.
+    (tmp_path / "out" / "snapshots" / "upto=6").mkdir()
+    (tmp_path / "out" / "snapshots" / "upto=6" / "part-0.parquet").write_bytes(b"")
+    assert sorted(map(tuple, incremental.read_board(spark, out).collect())) == before
+    for _ in range(2):
+        incremental.compact_board(spark, out, 6)
+        assert sorted(map(tuple, incremental.read_board(spark, out).collect())) == before
+    lose(["changes/n=6", "snapshots/upto=5"])
+    assert sorted(map(tuple, incremental.read_board(spark, out).collect())) == before
+
+
 def test_tasks(spark):
     with pytest.raises(ValueError):
         prepare_task("other", spark.range(1))

@@ -166,6 +166,8 @@ def rotations(words: DataFrame, long_word: int = LONG_WORD) -> DataFrame:
     ``first`` tells whether that character begins a run of equal ones.
     """
     terminator = "$"
+    # A word makes twice as many rows as it has letters: deal words by number, whatever the size of their table.
+    words = words.repartition(tasks(words.sparkSession), "id")
     short = words.where(F.length("word") <= long_word)
     # Rotations are cut out of the word written twice.
     place = F.sequence(F.lit(0), F.length("word"))

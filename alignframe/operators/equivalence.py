@@ -119,10 +119,10 @@ def candidate_bindings(matched: DataFrame, limit: int | None = None, allowed: st
     free = "array_except(sequence(0, pred_count - 1), transform(kept, k -> k.pred))"
     settled = f"transform(array({kept}), kept -> transform(array({free}), free -> {binding})[0])[0]"
     step = F.lit(_BINDINGS_PER_PIECE).cast("bigint")
+    ways = matched.withColumn("_claimed", F.expr(weighted)).withColumn("_ways", F.expr(product("_claimed")))
+    # Without rules on claims there is always a way; a filter would work the claims out twice.
     ranges = (
-        matched.withColumn("_claimed", F.expr(weighted))
-        .withColumn("_ways", F.expr(product("_claimed")))
-        .where("_ways > 0")
+        (ways if allowed is None else ways.where("_ways > 0"))
         .withColumn("complete", F.lit(True) if limit is None else F.col("_ways") <= limit)
         .withColumn("_first", F.explode(F.sequence(F.lit(0).cast("bigint"), _at_most("_ways", limit) - 1, step)))
     )

@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alignframe.functions.text import words
 from alignframe.operators.ranking import running_total, with_position
 from alignframe.operators.skew import HOT_KEYS, lookup
+from alignframe.session import reachable, spread
 
 IGNORED_LABEL = -100
 EOS_ID = 0
 UNKNOWN_ID = -1
+# Words whose ids every task has at hand, and the longest of them.
+FREQUENT_WORDS = 1 << 16
+_FREQUENT_BYTES = 64
 _BATCHES_PER_TASK = 1 << 16
 
 
@@ -29,35 +37,32 @@ def supervised_examples(df: DataFrame, key: str, prompt: str, answer: str, vocab
                         max_len: int = 4096) -> DataFrame:
     """``input_ids, attention_mask, labels`` per key: prompt then answer, labels only on the answer.
 
-    The end mark is added when it is not there yet and the example is shorter than ``max_len``; nothing is cut.
+    The end mark is added when it is not there yet and the example is shorter than ``max_len``; nothing is cut. Frequent
+    words get their ids where the text is read. Of all others each example sends every distinct one once to the
+    vocabulary, beside its row of packed ids, in which they are filled in when they return.
     """
-    texts = df.select(key, words(prompt).alias("_p"), words(answer).alias("_a"))
-    placed = texts.select(
+    reachable(df.sparkSession)
+    coded = _coded(frequent_words(vocab))
+    texts = spread(df.select(key, prompt, answer), key).select(key, words(prompt).alias("_p"), words(answer).alias("_a"))
+    packed = texts.select(key, F.size("_p").alias("_prompt_len"), coded(F.concat("_p", "_a")).alias("_coded"))
+    # The packed ids go with one row of their example, which looks nothing up.
+    sent = packed.select(
         key,
-        F.size("_p").alias("_prompt_len"),
-        F.posexplode_outer(F.concat("_p", "_a")).alias("_pos", "token"),
-    )
-    # Ids are ranks by frequency, so the first ones are the hot words.
-    coded = lookup(placed, vocab, ["token"], ["token_id"], hot_where=F.col("token_id") <= HOT_KEYS)
+        F.posexplode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce("_coded.rare", F.array().cast("array<string>"))))
+        .alias("_place", "token"),
+        F.struct("_prompt_len", F.col("_coded.ids").alias("ids")).alias("_packed"),
+    ).withColumn("_packed", F.when(F.col("_place") == 0, F.col("_packed")))
+    found = lookup(sent, vocab, ["token"], ["token_id"], hot_where=F.col("token_id") <= HOT_KEYS)
     # One group is one example.
-    gathered = coded.groupBy(key).agg(
-        F.first("_prompt_len").alias("_prompt_len"),
-        F.sort_array(
-            F.array_agg(
-                F.when(
-                    F.col("token").isNotNull(),
-                    F.struct("_pos", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("id")),
-                )
-            )
-        ).alias("_ids"),
-    )
-    body = F.transform("_ids", lambda t: t["id"])
+    rare = F.sort_array(F.array_agg(F.when(F.col("_place") > 0, F.struct("_place", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("id")))))
+    gathered = found.groupBy(key).agg(F.first("_packed", ignorenulls=True).alias("_packed"), rare.alias("_rare"))
+    body = F.transform("_packed.ids", lambda t: F.when(t < 0, F.get("_rare", -1 - t.cast("int"))["id"]).otherwise(t))
     full = F.when(
         (F.coalesce(F.get("_body", F.size("_body") - 1), F.lit(UNKNOWN_ID)) != EOS_ID) & (F.size("_body") < max_len),
         F.concat("_body", F.array(F.lit(EOS_ID).cast("bigint"))),
     ).otherwise(F.col("_body"))
     return (
-        gathered.withColumn("_body", body)
+        gathered.select(key, F.col("_packed._prompt_len").alias("_prompt_len"), F.coalesce(body, F.array().cast("array<bigint>")).alias("_body"))
         .withColumn("input_ids", full)
         .select(
             key,
@@ -71,6 +76,41 @@ def supervised_examples(df: DataFrame, key: str, prompt: str, answer: str, vocab
     )
 
 
+def frequent_words(vocab: DataFrame, most: int = FREQUENT_WORDS) -> pa.Table:
+    """At most ``most`` short words of a vocabulary with the smallest ids, some megabytes."""
+    short = vocab.where((F.col("token_id") >= 0) & (F.col("token_id") <= most) & (F.octet_length("token") <= _FREQUENT_BYTES))
+    return short.select("token", F.col("token_id").cast("bigint").alias("token_id")).limit(most).toArrow()
+
+
+def _coded(frequent: pa.Table) -> Callable[[Column], Column]:
+    """Ids of frequent words; others are numbered within their row, -1 for the first, and listed."""
+    known, ids = frequent["token"].combine_chunks().cast(pa.string()), frequent["token_id"].to_numpy()
+
+    @F.arrow_udf("ids array<bigint>, rare array<string>")
+    def coded(tokens: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        distinct = tokens.flatten().dictionary_encode()
+        number = distinct.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        place = pc.fill_null(pc.index_in(distinct.dictionary.cast(pa.string()), value_set=known), -1).to_numpy(zero_copy_only=False)
+        value = np.where(place >= 0, ids[np.maximum(place, 0)] if len(ids) else 0, -1)[number] if len(number) else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.flatnonzero(value < 0)
+        radix = max(len(distinct.dictionary), 1)
+        words_of_rows, within = np.unique(row[at] * radix + number[at], return_inverse=True)
+        begins = np.searchsorted(words_of_rows, np.arange(len(sizes) + 1) * radix)
+        value[at] = -1 - (within - begins[row[at]])
+        offsets = lambda ends: pa.array(ends, pa.int32())
+        return pa.StructArray.from_arrays(
+            [
+                pa.ListArray.from_arrays(offsets(np.concatenate([[0], np.cumsum(sizes)])), pa.array(value, pa.int64())),
+                pa.ListArray.from_arrays(offsets(begins), distinct.dictionary.take(pa.array(words_of_rows % radix)).cast(pa.string())),
+            ],
+            ["ids", "rare"],
+        )
+
+    return coded
+
+
 def split_by_key(df: DataFrame, key: str, test_fraction: float = 0.2, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Train and evaluation rows: disjoint, complete, the same in every run, and of exact size.
 

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -161,6 +162,32 @@ def test_bleu_cases(spark):
     assert strict.bleu == 0
 
 
+def test_ngram_counts_equal_a_count_of_strings(spark):
+    rng = random.Random(5)
+    text = lambda n: [rng.choice("abc") for _ in range(n)]
+    cases = [(i, text(rng.randint(0, 30)), text(rng.randint(0, 30))) for i in range(300)]
+    cases += [(300, None, ["a"]), (301, ["a"], None), (302, [], []), (303, ["a", "a\u0001b"], ["a", "a", "b"]), (304, text(30000), text(20000))]
+    grams = lambda t, n: Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1))
+    want = {
+        i: [len(h or []), len(r or []), *[sum((grams(h or [], n) & grams(r or [], n)).values()) for n in range(1, 5)]]
+        for i, h, r in cases
+    }
+    df = spark.createDataFrame(cases, "id int, h array<string>, r array<string>").withColumn("_hyp", F.lit("kept"))
+    got = overlap.ngram_counts(df, "id", "h", "r", ["_hyp"]).collect()
+    assert {r.id: [r.hyp_len, r.ref_len, r.match_1, r.match_2, r.match_3, r.match_4] for r in got} == want
+    assert {r._hyp for r in got} == {"kept"}
+    # A NULL token is a token of its own; no rows, no counts.
+    nulls = spark.createDataFrame([(1, ["a", None, "b"], [None, "b"])], "id int, h array<string>, r array<string>")
+    row = overlap.ngram_counts(nulls, "id", "h", "r").first()
+    assert (row.hyp_len, row.match_1, row.match_2, row.total_3) == (3, 2, 1, 1)
+    assert overlap.ngram_counts(nulls.where("id = 2"), "id", "h", "r").count() == 0
+
+
+def test_slices_hold_whole_rows():
+    assert list(overlap._slices(np.array([3, 3, 9, 1, 0, 2]), 6)) == [(0, 2), (2, 3), (3, 6)]
+    assert list(overlap._slices(np.array([], dtype=int), 6)) == [] and list(overlap._slices(np.array([0, 0]), 6)) == [(0, 2)]
+
+
 # --- training sets
 
 
@@ -175,6 +202,28 @@ def test_supervised_examples(spark):
     assert built[2].attention_mask == [1, 1, 1]
 
 
+@pytest.mark.parametrize("frequent", [0, 3, 1 << 16])
+def test_supervised_examples_with_few_and_many_frequent_words(spark, monkeypatch, frequent):
+    monkeypatch.setattr(examples.frequent_words, "__defaults__", (frequent,))
+    rng = random.Random(frequent)
+    text = lambda n: " ".join(rng.choice(["the", "a", "Straße", "x" * 90, "rare", f"w{rng.randint(0, 200)}"]) for _ in range(n))
+    rows = [(i, text(rng.randint(0, 9)), text(rng.randint(0, 60))) for i in range(200)]
+    rows += [(200, None, "a"), (201, "a", None), (202, None, None), (203, "", " "), (204, "a", text(20000))]
+    df = spark.createDataFrame(rows, "id int, p string, a string")
+    vocab = examples.build_vocabulary(df, ["p", "a"]).where("token <> 'w7' and token_id <> 5")
+    ids = dict(col(vocab, "token", "token_id"))
+    got = {r.id: r for r in examples.supervised_examples(df, "id", "p", "a", vocab, max_len=50).collect()}
+    assert len(got) == len(rows)
+    for i, p, a in rows:
+        # Without a prompt or an answer there is no example, only the end mark.
+        tokens = (p.split() + a.split()) if p is not None and a is not None else []
+        want = [ids.get(t, -1) for t in tokens] + ([0] if len(tokens) < 50 else [])
+        assert got[i].input_ids == want, i
+        cut = len(p.split()) if p is not None else None
+        if cut is not None:
+            assert got[i].labels == [-100 if j < cut else t for j, t in enumerate(want)]
+
+
 def test_split_is_disjoint_complete_and_repeatable(spark):
     df = spark.range(2000)
     train, held = examples.split_by_key(df, "id")

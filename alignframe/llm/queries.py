@@ -102,9 +102,7 @@ def op7(spark, d):
 def op8(spark, d):
     """Pages bear no time of capture; their ids count seconds from a fixed moment instead."""
     pages = table(spark, d, "pages")
-    return warc.archive(pages, F.timestamp_seconds(F.coalesce("page_id", F.lit(0)) + 1_700_000_000)).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
-    )
+    return warc.archive(pages, F.timestamp_seconds(F.coalesce("page_id", F.lit(0)) + 1_700_000_000))
 
 
 @query("op9_kneser_ney")
@@ -170,21 +168,28 @@ SELECT doc_id, size, source_size, target,
 FROM queued"""
 
 
-# base32 of the digest: 160 bits from its hexadecimal form, five at a time.
+# base32 of the digest: 160 bits from its hexadecimal form, five at a time. The history is one sort over all pages.
 LLM_ORACLES["op8_warc"] = r"""
 WITH hashed AS (
-    SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+    SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS hex, 1700000000 + coalesce(page_id, 0) AS captured,
+        regexp_extract(nullif(url, ''), '^[a-zA-Z]+://([^/?#:]*)(:[0-9]+)?([^?#]*)([?][^#]+)?', ['host', 'port', 'path', 'query']) AS u
+    FROM pages
+), keyed AS (
+    SELECT *, CASE WHEN u IS NULL THEN '' ELSE lower(array_to_string(list_reverse(string_split(regexp_replace(lower(u.host), '^www[.]', ''), '.')), ',')
+        || CASE WHEN u.port IN (':80', ':443') THEN '' ELSE u.port END || ')' || CASE WHEN u.path = '' THEN '/' ELSE u.path END || u.query) END AS url_key
+    FROM hashed
 ), bits AS (
-    SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, hex,
+    SELECT page_id, url_key, captured::BIGINT AS captured, octet_length(payload)::BIGINT AS payload_bytes, hex,
+        row_number() OVER (ORDER BY url_key, captured, page_id NULLS FIRST) - 1 AS history_position,
         list_aggregate(list_transform(range(40), lambda i: right('000' || bin(strpos('0123456789abcdef', substr(hex, i::INT + 1, 1)) - 1), 4)), 'string_agg', '') AS bits,
         max(page_id) OVER (PARTITION BY hex) AS largest
-    FROM hashed
+    FROM keyed
 )
 SELECT page_id, payload_bytes,
     list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
         1 + list_sum(list_transform(range(5), lambda j: substr(bits, (5 * i + j + 1)::INT, 1)::INT * (16 >> j::INT)))::INT, 1)), 'string_agg', '') AS payload_digest,
     CASE WHEN page_id < largest THEN 'revisit' ELSE 'response' END AS record_type,
-    CASE WHEN page_id < largest THEN largest END AS refers_to
+    CASE WHEN page_id < largest THEN largest END AS refers_to, url_key, captured, history_position
 FROM bits"""
 
 # Every query against every other row.

@@ -3,7 +3,8 @@
 Pages become gzip-member WARC records. Equal payloads are stored once: the record of the largest page id is the response, the
 others are revisits that name it. Every task writes archive files together with a run of index lines that is sorted by
 URL key, time and page. ``merge_index`` merges the runs externally: index lines are dealt by ranges of the
-key, and each range merges its slices of all runs with a loser tree, so the ranges in order are one global capture history.
+key, and each range merges its slices of all runs with a loser tree. The ranges in order are one global capture history,
+in which every line has its number.
 
 A null payload is an empty one. A null URL has the empty key and no target header. A record without a page id has no response
 over one that has an id, and names nothing and is named by nothing. Rows that repeat id and payload are records of the
@@ -28,6 +29,8 @@ from alignframe.llm.common import stored, tasks, write_file
 from alignframe.session import fresh_path
 
 FILE_BYTES = 32 << 20
+# Index lines that a range holds, about: some hundred megabytes of a worker.
+RANGE_LINES = 1 << 18
 # The WARC profile of a revisit with the same payload, and the end of headers and records.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _EOL, _END = b"\r\n", b"\r\n\r\n"
@@ -188,7 +191,10 @@ class LoserTree:
 
 
 def merge_index(runs: DataFrame) -> DataFrame:
-    """All index lines with ``range, position``: in this order they are sorted by URL key, time and page."""
+    """All index lines with ``history_position``: numbered from 0 by URL key, time and page (bytes, then numbers; null first).
+
+    The ranges grow in number with the index. Lines equal in all three are numbered by archive and offset.
+    """
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
@@ -210,11 +216,19 @@ def merge_index(runs: DataFrame) -> DataFrame:
         yield _lines(out)
 
     # Captures of one URL may be a third of all: time and page cut it into ranges as well.
-    by_range = runs.repartitionByRange(tasks(runs.sparkSession), "url_key", "captured", "page_id")
-    return by_range.sortWithinPartitions("run", "place").mapInPandas(
+    ranges = max(tasks(runs.sparkSession), -(-runs.count() // RANGE_LINES))
+    by_range = runs.repartitionByRange(ranges, "url_key", "captured", "page_id")
+    merged = stored(by_range.sortWithinPartitions("run", "place").mapInPandas(
         merge,
         "range int, position bigint, url_key string, captured bigint, page_id bigint, run string, offset bigint, length bigint, record_type string",
-    )
+    ), "history")
+    # One row per range.
+    before, offsets = 0, []
+    for part, n in sorted(tuple(r) for r in merged.groupBy("range").agg(F.count(F.lit(1))).collect()):
+        offsets.append((part, before))
+        before += n
+    starts = F.broadcast(runs.sparkSession.createDataFrame(offsets, "range int, before bigint"))
+    return merged.join(starts, "range").withColumn("history_position", F.col("before") + F.col("position")).drop("range", "position", "before")
 
 
 def _lines(rows: list[tuple]) -> pd.DataFrame:
@@ -259,11 +273,8 @@ def archive(pages: DataFrame, captured: Column, folder: str | None = None) -> Da
     folder = folder or fresh_path(spark, "warc")
     runs = write_archives(pages, captured, folder)
     if runs.isEmpty():
-        return spark.createDataFrame([], "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url_key string, captured bigint, history_range int, history_position bigint")
-    history = merge_index(runs).select(
-        "run", "offset", "url_key", "captured", F.col("range").alias("history_range"), F.col("position").alias("history_position")
-    )
+        return spark.createDataFrame([], "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url_key string, captured bigint, history_position bigint")
+    history = merge_index(runs).select("run", "offset", "url_key", "captured", "history_position")
     return read_archives(spark, folder).join(history, ["run", "offset"]).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "history_range",
-        "history_position",
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "history_position"
     )

@@ -430,8 +430,9 @@ def test_archives_round_trip(spark):
         refers = top if i is not None and i != top else None
         want.append((str(i), len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if refers is None else "revisit", str(refers)))
     assert sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], str(r["refers_to"])) for r in got) == sorted(want)
-    history = sorted(got, key=lambda r: (r["history_range"], r["history_position"]))
-    keys = [(r["url_key"], r["captured"]) for r in history]
+    history = sorted(got, key=lambda r: r["history_position"])
+    assert [r["history_position"] for r in history] == list(range(len(rows)))
+    keys = [(r["url_key"], r["captured"], r["page_id"] or -1) for r in history]
     assert keys == sorted(keys)
     assert warc.archive(pages.limit(0), F.timestamp_seconds(F.lit(0))).count() == 0
 

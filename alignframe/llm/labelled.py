@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alignframe.llm.common import crc_mod
+from alignframe.llm.common import crc_mod, stored
 
 HELD_OUT_OF = 5
 # Labelled rows that a model is fitted on, per label value.
@@ -17,7 +17,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = RO
     """``doc_id, text, y`` of at most ``rows`` documents per label value, and how many each of them stands for.
 
     Only documents whose id is not held out are used, those with the smallest hashes of their ids: the same ones in every
-    run. A document that is labelled more than once has its highest label.
+    run. A document that is labelled more than once has its highest label. Of rows that repeat an id one takes part, the one
+    whose text has the smallest hash. The sample is stored, so the documents are read once for all that is fitted on it.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), HELD_OUT_OF) != 0))
     known = known.groupBy("doc_id").agg(F.max(label).alias("y"))
@@ -28,6 +29,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = RO
     ]
     # At most 2 * rows ids and labels, some hundred kilobytes.
     chosen = F.broadcast(picked[0].union(picked[1]))
-    sample = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(chosen, "doc_id")
+    known = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(chosen, "doc_id")
+    # Each task sends one text of an id at most, however many rows repeat it.
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")
+    sample = stored(known.groupBy("doc_id", "y").agg(one).select("doc_id", "text", "y"), "sample")
     stands_for = {y: counts[y] / min(counts[y], rows) for y in counts}
     return sample, stands_for

@@ -168,6 +168,49 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_blocks_travel_only_where_bounds_reach(spark):
+    """Ten far apart groups, each with a label: however many chunks, a block goes to the chunks of its group."""
+    rng = np.random.default_rng(4)
+    centres = np.eye(10, 16) * 8
+    rows = [(i, (centres[i % 10] + rng.normal(0, 0.05, 16)).tolist(), i % 10) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    whole = np.floor(1024 * np.array([r[1] for r in rows])).astype(int)
+    scores = whole @ whole.T
+    want = {q: sorted((-int(scores[q, i]), i) for i in range(1200) if i != q)[:10] for q in range(0, 1200, 4)}
+    copies = []
+    for chunk_queries in (300, 30, 10):
+        sent = []
+        plain, topk._needed = topk._needed, lambda *args: sent.append(plain(*args)) or sent[-1]
+        try:
+            got = topk.top_k(df, F.col("vec_id") % 4 == 0, chunk_queries=chunk_queries, block_ids=400).collect()
+        finally:
+            topk._needed = plain
+        found = {}
+        for r in sorted(got, key=lambda r: r["rank"]):
+            found.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+        assert found == want
+        copies.append(sent[0].count())
+    # Queries of 15 best blocks, cut in two with the smallest chunks, need the three blocks of their group: at most 90 of 900 pairs.
+    assert copies[0] <= 15 and copies[1] <= 45 and copies[2] <= 90
+
+
+def test_search_of_odd_rows(spark):
+    big = 2.0**50
+    rows = [(0, [1.0, 2.0], 1), (0, [0.5, 9.0], 2), (100, [], 1), (200, [big, 1.0], 1), (201, [big, -1.0], 1), (202, [-big, 0.0], 1), (3, [], 1),
+            (4, [1e300, 1.0], 1), (5, [3.0, 3.0], None), (5, [3.0, 3.0], None), (300, [1.0, 2.0, 3.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").withColumn("block", F.lit("x")).withColumn("width", F.lit(9))
+    got = topk.top_k(df, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()
+    limit = (1 << 63) - 1
+    whole = lambda v: [max(-limit - 1, min(limit, math.floor(1024 * x))) for x in v]
+    want = []
+    for q in (0, 200):
+        own = min(whole(v) for i, v, _ in rows if i == q)
+        scored = [(sum(a * b for a, b in zip(own, whole(v), strict=True)), i) for i, v, _ in rows if i != q and len(v) == 2]
+        scored = sorted(((max(-limit - 1, min(limit, s)), i) for s, i in scored), key=lambda p: (-p[0], p[1]))
+        want += [(q, n, i, s) for n, (s, i) in enumerate(scored, 1)]
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == want
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(0)
     q, x = rng.integers(-50, 50, (20, 6)), rng.integers(-50, 50, (30, 6))

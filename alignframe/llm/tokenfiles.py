@@ -1,13 +1,13 @@
 """Token ids in binary files, compressed by a grammar.
 
 Documents are range-partitioned and sorted by id; every task writes its documents as shards of some million ids. A shard is
-compressed by Re-Pair: frequent pairs of ids become new symbols, again and again, so a shard is a short sequence of
-symbols and a list of rules. The expansion length of every rule is stored, so that any run of ids can be decoded by
+compressed by Re-Pair: frequent pairs of ids become new symbols, again and again until no pair is met ``LEAST_COUNT`` times, so
+a shard is a short sequence of symbols and a list of rules. The expansion length of every rule is stored, so that any run of ids can be decoded by
 itself: sums of lengths tell where it starts. Pairs never reach over a document's end.
 
 File layout (little-endian): ``RPT1``, four 64-bit counts (documents, rules, symbols, first rule's number), then per
 document: has an id (1 byte), id (8), first symbol (8), ids (8); per rule: two symbols (4 + 4), expansion length (4); then the
-symbols, 2 bytes each while they fit, else 4.
+symbols, 2 bytes each while they fit, else 3 or 4.
 
 A null text is an empty one and holds the end mark only. Documents without an id come first; those with equal ids are in
 order of a hash of their texts and of the texts. An empty table makes no file and no row.
@@ -33,8 +33,6 @@ from alignframe.session import fresh_path
 
 END_ID = 1
 SHARD_IDS = 1 << 21
-ROUNDS = 4
-RULES_PER_ROUND = 2048
 LEAST_COUNT = 16
 _SLOTS = 20
 _BATCH_BYTES = 8 << 20
@@ -45,52 +43,71 @@ _LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:;=>?@\[-`{}~]"
 _HEADER = struct.Struct("<4s4q")
 
 
-def compress(ids: np.ndarray, first: int, end_id: int = END_ID, rounds: int = ROUNDS, per_round: int = RULES_PER_ROUND,
-             least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, first: int, end_id: int = END_ID, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray]:
     """``symbols, rules``. Rule k is symbol ``first + k`` and stands for two symbols with smaller numbers.
 
-    Each round takes many pairs at once. A symbol is the left part of new rules or the right part of them, not both, so no
-    two of the pairs overlap and all of them can be replaced in one pass. Pairs are counted in hashed slots; a slot stands for
-    the pair it saw last, and only that pair's places are replaced.
+    Rounds go on until no pair occurs ``least`` times. Each takes many pairs at once, the most frequent first. A symbol is the
+    left part of a round's rules or the right part of them, not both, so no two pairs overlap and all of them can be
+    replaced in one pass; a pair of equal symbols shares its symbol with no other pair, and of a run every second place is
+    replaced. Of two pairs with one hash the rarer one waits for the next round.
     """
-    seq, rules = ids.astype(np.uint32), []
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        a, b = seq[:-1], seq[1:]
-        slot = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(32 - _SLOTS)
-        counts = np.bincount(slot, minlength=1 << _SLOTS)
-        often = np.flatnonzero(counts >= least)
-        if not len(often):
-            break
-        often = often[np.argsort(-counts[often], kind="stable")[: 4 * per_round]]
-        last = np.zeros(1 << _SLOTS, dtype=np.int64)
-        last[slot] = np.arange(len(slot))
-        lefts, rights = set(), set()
-        symbol = np.zeros(1 << _SLOTS, dtype=np.uint32)
-        made = 0
-        for s, x, y in zip(often.tolist(), a[last[often]].tolist(), b[last[often]].tolist(), strict=True):
-            if x == end_id or y == end_id or x == y or x in rights or y in lefts:
+    seq, rules, made = ids.astype(np.uint32), [np.zeros((0, 2), dtype=np.uint32)], 0
+    live = np.arange(max(len(seq) - 1, 0))
+    rule_of = np.empty(1 << _SLOTS, dtype=np.int32)
+    while True:
+        live, slots, pairs = _frequent(seq, live, end_id, least)
+        if not len(pairs):
+            return seq, np.concatenate(rules)
+        lefts, rights, chosen = set(), set(), []
+        for x, y in pairs.tolist():
+            if x in rights or y in lefts or (x == y and (x in lefts or x in rights)):
                 continue
             lefts.add(x)
             rights.add(y)
-            symbol[s] = first + len(rules)
-            rules.append((x, y))
-            made += 1
-            if made == per_round:
-                break
-        if not made:
-            break
-        at = np.flatnonzero(symbol[slot])
-        new = symbol[slot[at]]
-        pair = np.array(rules, dtype=np.uint32)[new - first]
-        right_ones = (a[at] == pair[:, 0]) & (b[at] == pair[:, 1])
-        at, new = at[right_ones], new[right_ones]
-        keep = np.ones(len(seq), dtype=bool)
+            chosen.append((x, y))
+        new = np.array(chosen, dtype=np.uint32)
+        new = new[np.sort(np.unique(_slots(new[:, 0], new[:, 1]), return_index=True)[1])]
+        rule_of.fill(-1)
+        rule_of[_slots(new[:, 0], new[:, 1])] = np.arange(len(new))
+        rule = rule_of[slots]
+        some = np.flatnonzero(rule >= 0)
+        at, rule = live[some], rule[some]
+        hit = (seq[at] == new[rule, 0]) & (seq[at + 1] == new[rule, 1])
+        at, rule = at[hit], rule[hit]
+        # Neighbouring places occur inside runs of one symbol only: every second one of them counts.
+        head = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+        even = (np.arange(len(at)) - np.repeat(head, np.diff(head, append=len(at)))) % 2 == 0
+        at, rule = at[even], rule[even]
+        seq[at] = first + made + rule
+        rules.append(new)
+        made += len(new)
+        # A pair that is rare stays rare; only places beside a new symbol hold other pairs than before.
+        beside, keep = np.zeros(len(seq), dtype=bool), np.ones(len(seq), dtype=bool)
+        beside[live], beside[at], beside[at[at > 0] - 1] = True, True, True
         keep[at + 1] = False
-        seq[at] = new
-        seq = seq[keep]
-    return seq, np.array(rules, dtype=np.uint32).reshape(-1, 2)
+        seq, live = seq[keep], np.flatnonzero(beside[keep])
+        live = live[live < len(seq) - 1]
+
+
+def _slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(32 - _SLOTS)
+
+
+def _frequent(seq: np.ndarray, at: np.ndarray, end_id: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the places ``at``: those that may hold a pair met ``least`` times, ends aside, their hashes, and such pairs,
+    most frequent first.
+
+    Hashes leave out most rare pairs, the others are counted exactly. A run counts with its overlapping places.
+    """
+    a, b = seq[at], seq[at + 1]
+    slots = _slots(a, b)
+    kept = np.flatnonzero((np.bincount(slots, minlength=1 << _SLOTS) >= least)[slots] & (a != end_id) & (b != end_id))
+    keys = np.sort((a[kept].astype(np.int64) << 32) | b[kept])
+    heads = np.flatnonzero(np.diff(keys, prepend=-1))
+    counts = np.diff(heads, append=len(keys))
+    order = np.argsort(-counts, kind="stable")
+    found = keys[heads[order[: np.count_nonzero(counts >= least)]]]
+    return at[kept], slots[kept], np.stack([found >> 32, found & 0xFFFFFFFF], axis=1)
 
 
 def rule_lengths(rules: np.ndarray, first: int) -> np.ndarray:
@@ -101,6 +118,11 @@ def rule_lengths(rules: np.ndarray, first: int) -> np.ndarray:
     return np.array(lengths, dtype=np.uint32)
 
 
+def _width(symbols: int) -> int:
+    """Bytes of a symbol in a file with so many different ones."""
+    return 2 if symbols <= 1 << 16 else 3 if symbols <= 1 << 24 else 4
+
+
 class Shard:
     """A file's content, decoded as far as it is asked for."""
 
@@ -119,7 +141,10 @@ class Shard:
         self.has_id, self.doc_id = take("<u1", docs), take("<i8", docs)
         self.doc_symbol, self.doc_ids = take("<i8", docs), take("<i8", docs)
         self.rules, self.lengths = take("<u4", 2 * rules).reshape(-1, 2), take("<u4", rules)
-        self.symbols = take("<u2" if self.first + rules <= 1 << 16 else "<u4", symbols)
+        width = _width(self.first + rules)
+        self.symbols = np.zeros((symbols, 4), dtype=np.uint8)
+        self.symbols[:, :width] = take("<u1", symbols * width).reshape(symbols, width)
+        self.symbols = self.symbols.reshape(-1).view("<u4")
         # Every symbol's ids one after the other; a symbol below ``first`` is its own id.
         parts: list[np.ndarray] = []
         of = lambda s: np.array([s], dtype=np.uint32) if s < self.first else parts[s - self.first]
@@ -158,7 +183,7 @@ def pack(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, first:
         np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes(),
         starts.astype("<i8").tobytes(), counts.astype("<i8").tobytes(),
         rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(),
-        symbols.astype("<u2" if first + len(rules) <= 1 << 16 else "<u4").tobytes(),
+        symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : _width(first + len(rules))].tobytes(),
     ])
 
 

@@ -257,6 +257,46 @@ def test_grammar_round_trip_and_random_access():
     assert (tokenfiles.rule_lengths(shard.rules, 500) == shard.lengths).all()
 
 
+def replaced(symbols, rules, first):
+    """Rules undone one by one, the last first."""
+    seq = symbols.tolist()
+    for k in reversed(range(len(rules))):
+        seq = [t for s in seq for t in (rules[k].tolist() if s == first + k else [s])]
+    return seq
+
+
+def most_met(symbols, end=1):
+    """The most frequent pair's count, taking every second place of a run."""
+    met, last = {}, {}
+    for i, pair in enumerate(zip(symbols, symbols[1:])):
+        if end not in pair and not (pair[0] == pair[1] and last.get(pair) == i - 1):
+            met[pair] = met.get(pair, 0) + 1
+            last[pair] = i
+    return max(met.values(), default=0)
+
+
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(8)
+    copies = np.tile(np.append(rng.integers(2, 40_000, 200), 1), 3000)
+    symbols, rules = tokenfiles.compress(copies, 40_000)
+    assert len(symbols) == 6000 and len(rules) == 199
+    run, _ = tokenfiles.compress(np.full(100_000, 9), 10)
+    assert len(run) < 100
+    runs = np.concatenate([np.append(np.full(n, rng.integers(2, 5)), 1) for n in rng.integers(0, 40, 300)])
+    for ids, first in ((rng.integers(2, 30, 20_000), 30), (runs, 30), (np.full(33, 7), 30), (np.array([], dtype=int), 30)):
+        symbols, rules = tokenfiles.compress(ids, first)
+        assert replaced(symbols, rules, first) == ids.tolist()
+        assert most_met(symbols.tolist()) < tokenfiles.LEAST_COUNT
+
+
+@pytest.mark.parametrize("first", [500, 1 << 16, 1 << 24])
+def test_symbols_of_any_width(first):
+    ids = np.append(np.random.default_rng(2).integers(2, 500, 400), 1).astype(np.uint32)
+    ids = np.tile(ids, 20)
+    shard = tokenfiles.Shard(tokenfiles.pack([*range(20)], np.full(20, 401), ids, first))
+    assert len(shard.rules) and (shard.document(7) == ids[:401]).all() and (shard.run(399, 300) == ids[399:699]).all()
+
+
 # --- 5, near-duplicate vectors
 
 

@@ -1,12 +1,14 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations only.
 
 Each source is a queue: its documents in shuffled order, the whole queue as often as repeats are allowed. A document's
-virtual finish time is the number of its source's words up to its end, divided by the source's target. The mix is all
-queues merged by finish time and cut at the total budget.
+virtual finish time is the number of its source's words up to its end, divided by the source's target. As in a network,
+what is long is sent in packets, each with a finish time of its own. The mix is all queues merged by finish time and cut
+at the total budget.
 
 No queue and no sort meets in one task. A queue is dealt into ``BUCKETS`` slices of the shuffle order; running totals are
-taken inside a slice and over the slices' sums. The cut is found from sums over bins of finish time, then over finer
-bins of the one bin it falls in, so only the rows of one fine bin are ever ordered together.
+taken inside a slice and over the slices' sums. Packets, of which only finish time and words move, are range-sorted by
+finish time; the slices' sums tell in which of them the budget ends. What finishes at one and the same time is taken or
+left together.
 
 Sizes: the words of a text (null: 0). A null source is a source of its own, last in order. Repeated rows are documents of
 their own; those with equal id are ordered by size and then interchangeable. Sources without words have target 0.
@@ -19,13 +21,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alignframe.llm.common import WORD, stored
+from alignframe.llm.common import WORD, stored, tasks
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 REPEATS = 2
 BUCKETS = 512
-BINS = 4096
+# Words taken at once: a source's words in the mix are off its target by few packets at most.
+PACKET = 64
+SLICE_ROWS = 1 << 20
 # Rows of the table that tells where each source's queue ends; with more sources it is shuffled in salted copies.
 BROADCAST_SOURCES = 50_000
 _SALTS = 32
@@ -100,16 +104,15 @@ def _shuffled(doc_id: Column, seed: int, buckets: int) -> tuple[Column, Column]:
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS,
-        share: float = SHARE, repeats: int = REPEATS, seed: int = 0, budget: int | None = None, cut: bool = True,
-        buckets: int = BUCKETS, bins: int = BINS) -> DataFrame:
+        share: float = SHARE, repeats: int = REPEATS, seed: int = 0, budget: int | None = None,
+        packet: int | None = PACKET, buckets: int = BUCKETS, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """``doc_id, source, size, source_size, target, taken, copies, finish`` for every document.
 
     ``taken`` counts the words that the mix takes, repeats counted; ``copies`` the whole copies in it; ``finish`` is the
-    virtual finish time of the first copy. With ``cut`` a source's queue ends exactly at its target, inside a document
-    if need be; otherwise only whole documents are taken. ``budget`` (words, the sum of all targets at most and by
-    default) ends the mix: copies that finish later are not taken.
+    virtual finish time of the first copy. Documents are taken in packets of at most ``packet`` words, or whole if that is
+    None. ``budget`` (words, the sum of all targets at most and by default) ends the mix: what finishes later is not taken.
     """
-    kept = _kept(docs, key, source, text, weights, share, repeats, seed, budget, cut, buckets, bins)
+    kept = _kept(docs, key, source, text, weights, share, repeats, seed, budget, packet, buckets, slice_rows)
     return kept.select(
         "doc_id", "source", "size", "source_size", "target",
         F.aggregate("kept", F.lit(0).cast("bigint"), lambda n, q: n + q["words"]).alias("taken"),
@@ -118,63 +121,75 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     )
 
 
-def _kept(docs: DataFrame, key, source, text, weights, share, repeats, seed, budget, cut, buckets, bins) -> DataFrame:
+def _kept(docs: DataFrame, key, source, text, weights, share, repeats, seed, budget, packet, buckets, slice_rows) -> DataFrame:
     """The queue with all its copies, ``queued``, and those in the mix, ``kept``."""
     # Several passes read this narrow table.
     queued = stored(queue(docs, key, source, text, weights, share, repeats, seed, buckets), "queue")
+    # The last packet's number; a document without words has one that holds none.
+    last = F.greatest(F.ceil(F.col("size") / packet), F.lit(1)).cast("bigint") if packet else F.lit(1).cast("bigint")
+    upto = lambda number: F.least(number * packet, F.col("size")) if packet else F.col("size")
+    finish = lambda start, number: F.try_divide(start + upto(number), F.col("target"))
 
     def copy(repeat: Column) -> Column:
         start = F.col("before") + repeat * F.col("source_size")
-        words = F.col("size")
-        if cut:
-            words = F.greatest(F.least(words, F.floor("target") - start), F.lit(0).cast("bigint"))
-        return F.struct(repeat.alias("repeat"), words.alias("words"), F.try_divide(start + words, F.col("target")).alias("finish"))
+        return F.struct(repeat.alias("repeat"), start.alias("start"), finish(start, last).alias("finish"))
 
     copies = queued.withColumn("queued", F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), copy))
-    items = copies.select(F.inline("queued")).where("words > 0")
-    targets = queued.groupBy("source").agg(F.max("target").alias("target")).agg(F.sum("target")).first()[0] or 0.0
-    room = int(targets) if budget is None else min(budget, int(targets))
-    end = _finish_time_at(items, room, bins)
-    return copies.withColumn("kept", F.filter("queued", lambda q: (q["words"] > 0) & (q["finish"] <= end)))
-
-
-def _finish_time_at(items: DataFrame, room: int, bins: int) -> float:
+    numbered = copies.where("size > 0").select("size", "target", F.inline("queued")).select(
+        "size", "target", "start", F.explode(F.sequence(F.lit(1).cast("bigint"), last)).alias("number")
+    )
+    ahead = (F.col("number") - 1) * packet if packet else F.lit(0).cast("bigint")
+    items = numbered.select(finish(F.col("start"), F.col("number")).alias("finish"), (upto(F.col("number")) - ahead).alias("words"))
+    # Exact sums, which do not depend on the order of addition; a target's fraction is no more than that of its division.
+    sums = queued.groupBy("source").agg(F.max("target").cast("decimal(28,6)").alias("target"), F.sum(last).alias("items"))
+    total = sums.agg(F.coalesce(F.sum("target"), F.lit(0)), F.coalesce(F.sum("items"), F.lit(0))).first()
+    targets = int(round(total[0], 3))
+    room = targets if budget is None else min(budget, targets)
+    end = F.lit(_finish_time_at(items.where("finish is not null"), room, total[1] * repeats, slice_rows))
+
+    def words(copy: Column) -> Column:
+        taken = F.when(copy["finish"] <= end, F.col("size"))
+        if packet:
+            # Only where the end falls inside a document are its packets told apart.
+            inside = F.transform(F.sequence(F.lit(1).cast("bigint"), last), lambda k: F.when(finish(copy["start"], k) <= end, upto(k)))
+            taken = taken.when(F.try_divide(copy["start"], F.col("target")) < end, F.array_max(inside))
+        return F.struct(copy["repeat"].alias("repeat"), F.coalesce(taken, F.lit(0).cast("bigint")).alias("words"))
+
+    return copies.withColumn("kept", F.filter(F.transform("queued", words), lambda q: q["words"] > 0))
+
+
+def _finish_time_at(items: DataFrame, room: int, count: int, slice_rows: int) -> float:
     """The last finish time up to which all words fit into the room.
 
-    The driver gets single rows: the bin in which the running sum passes the room, and the room before it.
+    All items are range-sorted by finish time into slices of about ``slice_rows``. The driver gets single rows: the slice in
+    which the running sum passes the room and the room before it, then the time inside that slice.
     """
-    # Virtual time 1 serves every target; a last bin holds all that would come after time 2.
-    scaled = F.col("finish") * (bins // 2)
-    coarse = F.least(F.floor(scaled), F.lit(bins)).cast("bigint")
-    fine = F.least(F.floor((scaled - coarse) * bins), F.lit(bins)).cast("bigint")
-    binned = items.withColumns({"coarse": coarse, "fine": fine})
-    for name in ("coarse", "fine"):
-        sums = binned.groupBy(name).agg(F.sum("words").alias("words"))
-        running = Window.orderBy(name).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        past = sums.withColumn("upto", F.sum("words").over(running)).where(F.col("upto") > room)
-        row = past.orderBy(name).select(name, (F.col("upto") - F.col("words")).alias("before")).first()
-        if row is None:
-            return float("inf")
-        room -= row["before"]
-        binned = binned.where(F.col(name) == row[name])
-    # What finishes in the one fine bin at the cut is ordered: about one in bins * bins / 2 of all rows.
+    slices = max(tasks(items.sparkSession), -(-count // slice_rows))
+    ordered = items.repartitionByRange(slices, "finish").sortWithinPartitions("finish")
+    ordered = stored(ordered.withColumn("slice", F.spark_partition_id()), "finish")
+    sums = ordered.groupBy("slice").agg(F.sum("words").alias("words"))
+    running = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    past = sums.withColumn("upto", F.sum("words").over(running)).where(F.col("upto") > room)
+    row = past.orderBy("slice").select("slice", (F.col("upto") - F.col("words")).alias("before")).first()
+    if row is None:
+        return float("inf")
     upto = F.sum("words").over(Window.orderBy("finish").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    ends = binned.withColumn("upto", upto).agg(
-        F.max(F.when(F.col("upto") <= room, F.col("finish"))).alias("last"), F.min("finish").alias("next")
+    ends = ordered.where(F.col("slice") == row["slice"]).withColumn("upto", upto).agg(
+        F.max(F.when(F.col("upto") <= room - row["before"], F.col("finish"))).alias("last"), F.min("finish").alias("next")
     ).first()
     return ends["last"] if ends["last"] is not None else math.nextafter(ends["next"], 0.0)
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS,
                     share: float = SHARE, repeats: int = REPEATS, seed: int = 0, budget: int | None = None,
-                    buckets: int = BUCKETS, bins: int = BINS) -> DataFrame:
+                    buckets: int = BUCKETS, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """The documents themselves, each as often as the mix takes it whole; columns as in ``docs``, whatever their names.
 
     A mix takes each queue from its start, so one place per source and repeat tells which documents are in it: that table
     goes to the texts, which stay where they are. Rows of one source with equal id, size and text share a place and are
     taken together. Documents without words are never taken.
     """
-    kept = _kept(docs, key, source, text, weights, share, repeats, seed, budget, False, buckets, bins)
+    kept = _kept(docs, key, source, text, weights, share, repeats, seed, budget, None, buckets, slice_rows)
     items = kept.select("source", "place", F.explode("kept").alias("item"))
     ends = items.groupBy("source", F.col("item.repeat").alias("repeat")).agg(F.max("place").alias("last"))
     ends = ends.groupBy(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("none")).agg(

@@ -136,7 +136,7 @@ def op13(spark, d):
     return maintext.main_text(table(spark, d, "pages")).select("page_id", "url", "text", "n_chars")
 
 
-# Shuffle order, running totals and targets by window functions over whole tables.
+# Shuffle order, running totals, targets and the merged packets by window functions over whole tables.
 LLM_ORACLES["op2_mixing"] = r"""
 WITH sized AS (
     SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -159,13 +159,21 @@ WITH sized AS (
     SELECT s.source, s.source_size, least(coalesce(r.level * s.weight, s.lim::DOUBLE), s.lim::DOUBLE) AS target
     FROM levels s LEFT JOIN reached r ON true
 ), queued AS (
-    SELECT z.doc_id, z.size, t.source_size, t.target, coalesce(sum(z.size) OVER (PARTITION BY z.source
-        ORDER BY ('0x' || substr(ord, 1, 8))::UBIGINT % 512, ord, doc_id, z.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    SELECT row_number() OVER () AS n, z.doc_id, z.size, t.source_size, t.target, coalesce(sum(z.size) OVER (PARTITION BY z.source
+        ORDER BY ('0x' || substr(ord, 1, 8))::UBIGINT % 512, ord, doc_id, z.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
     FROM sized z JOIN targets t ON z.source IS NOT DISTINCT FROM t.source
+), numbered AS MATERIALIZED (
+    SELECT n, size, target, before + r * source_size AS start, unnest(range(1, (size + 63) // 64 + 1)) AS k FROM queued, range(2) AS repeats(r)
+), packets AS MATERIALIZED (
+    SELECT n, least(k * 64, size) - (k - 1) * 64 AS words, (start + least(k * 64, size)) / target AS finish FROM numbered WHERE target > 0
+), merged AS (
+    SELECT finish, sum(words) OVER (ORDER BY finish RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM packets
+), cut AS (
+    SELECT max(finish) AS finish FROM merged WHERE upto <= (SELECT floor(round(sum(target::DECIMAL(28, 6)), 3)) FROM targets)
+), sent AS (
+    SELECT n, sum(words) AS words FROM packets WHERE finish <= (SELECT finish FROM cut) GROUP BY n
 )
-SELECT doc_id, size, source_size, target,
-    (greatest(least(size, floor(target) - before), 0) + greatest(least(size, floor(target) - before - source_size), 0))::BIGINT AS taken
-FROM queued"""
+SELECT doc_id, size, source_size, target, coalesce(words, 0)::BIGINT AS taken FROM queued LEFT JOIN sent USING (n)"""
 
 
 # base32 of the digest: 160 bits from its hexadecimal form, five at a time. The history is one sort over all pages.

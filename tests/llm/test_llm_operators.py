@@ -74,7 +74,7 @@ def test_long_units_merge_like_short_ones(pieces):
 # --- 2, mixing
 
 
-def brute_mix(rows, cut=True, seed=0):
+def brute_mix(rows):
     sizes = [len((t or "").encode().split()) for _, t, _ in rows]
     names = sorted({s for *_, s in rows}, key=lambda s: (s is None, (s or "").encode()))
     total = {s: sum(n for n, r in zip(sizes, rows) if r[2] == s) for s in names}
@@ -91,36 +91,78 @@ def brute_mix(rows, cut=True, seed=0):
     return sizes, total, target
 
 
-def check_mix(spark, rows):
+def brute_packets(rows, packet, total, target, room):
+    """Words taken of every row: all packets of both copies of all queues, merged by finish time."""
+    ahead, packets = {}, []
+    def place(n):
+        i, text, _ = rows[n]
+        order = hashlib.md5(f"0:{'' if i is None else i}".encode()).hexdigest()
+        return int(order[:8], 16) % 512, order, i is not None, i or 0, len((text or "").split())
+
+    for n in sorted(range(len(rows)), key=place):
+        _, text, s = rows[n]
+        size = len((text or "").encode().split())
+        for repeat in (0, 1):
+            start = ahead.get(s, 0) + repeat * total[s]
+            for at in range(0, size, packet or max(size, 1)):
+                words = min(packet or size, size - at)
+                packets.append(((start + at + words) / target[s], words, n))
+        ahead[s] = ahead.get(s, 0) + size
+    taken, sent = [0] * len(rows), 0
+    for _, group in itertools.groupby(sorted(packets), key=lambda p: p[0]):
+        group = list(group)
+        sent += sum(words for _, words, _ in group)
+        if sent > room:
+            break
+        for _, words, n in group:
+            taken[n] += words
+    return taken
+
+
+def check_mix(spark, rows, packet):
     sizes, total, target = brute_mix(rows)
-    got = mixing.mix(documents(spark, rows)).collect()
-    assert len(got) == len(rows)
-    taken = {}
-    for r in got:
-        assert r["source_size"] == total[r["source"]] and r["target"] == pytest.approx(target[r["source"]])
-        assert 0 <= r["taken"] <= 2 * r["size"]
-        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
-    assert sorted(r["size"] for r in got) == sorted(sizes)
-    for s in taken:
-        assert taken[s] == math.floor(target[s] + 1e-6)
-    again = {tuple(r) for r in mixing.mix(documents(spark, rows)).collect()}
-    assert again == {tuple(r) for r in got}
-    whole = mixing.mix(documents(spark, rows), cut=False).collect()
-    assert all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in whole)
-    assert sum(r["taken"] for r in whole) <= 1.5 * sum(sizes) + 1e-6
+    room = math.floor(round(sum(target.values()), 3))
+    for budget in (None, room // 3) if packet == 3 else (None,):
+        got = mixing.mix(documents(spark, rows), packet=packet, budget=budget, slice_rows=500).collect()
+        assert len(got) == len(rows)
+        taken = {}
+        for r in got:
+            assert r["source_size"] == total[r["source"]] and r["target"] == pytest.approx(target[r["source"]])
+            assert 0 <= r["taken"] <= 2 * r["size"]
+            assert packet or r["taken"] in (0, r["size"], 2 * r["size"])
+            taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        want = brute_packets(rows, packet, total, target, room if budget is None else budget)
+        assert sorted((r["doc_id"] or -1, r["size"], r["taken"]) for r in got) == sorted((i or -1, n, t) for (i, *_), n, t in zip(rows, sizes, want))
+        if budget is None and packet:
+            assert all(abs(taken[s] - target[s]) <= packet * (len(target) + 1) for s in taken)
+            assert room - packet * len(target) <= sum(taken.values()) <= room
+    if packet == 3:
+        again = mixing.mix(documents(spark, rows), packet=packet, budget=budget).collect()
+        assert {tuple(r) for r in again} == {tuple(r) for r in got}
 
 
 def test_mix_meets_targets(spark):
     rng = random.Random(1)
     rows = [(i, "w " * rng.randrange(0, 40), rng.choice(["a", "b", "c", "d", None, ""])) for i in range(300)]
-    check_mix(spark, rows)
-    check_mix(spark, [(1, "x y", "a"), (1, "x y", "a"), (None, None, None), (3, "", "z"), (4, "w " * 20000, "b")])
+    for packet in (mixing.PACKET, 3, None):
+        check_mix(spark, rows, packet)
+    check_mix(spark, [(1, "x y", "a"), (1, "x y", "a"), (None, None, None), (3, "", "z"), (4, "w " * 20000, "b")], mixing.PACKET)
+
+
+def test_the_merged_order_ends_the_mix(spark, monkeypatch):
+    """With the whole budget, too, the cut falls inside the merged queues."""
+    ends = []
+    find = mixing._finish_time_at
+    monkeypatch.setattr(mixing, "_finish_time_at", lambda *a: ends.append(find(*a)) or ends[-1])
+    rows = [(i, "w " * (i % 90), "abc"[i % 3]) for i in range(300)]
+    mixing.mix(documents(spark, rows)).collect()
+    assert len(ends) == 1 and 0.9 < ends[0] < 1.1
 
 
 def test_mix_budget_and_empty_table(spark):
     rows = [(i, "w " * (i % 7 + 1), "ab"[i % 2]) for i in range(200)]
-    for cut in (True, False):
-        taken = sum(r["taken"] for r in mixing.mix(documents(spark, rows), budget=300, cut=cut, bins=8).collect())
+    for packet in (5, None):
+        taken = sum(r["taken"] for r in mixing.mix(documents(spark, rows), budget=300, packet=packet, slice_rows=20).collect())
         assert 290 <= taken <= 300
     empty = documents(spark, rows).limit(0)
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
@@ -141,7 +183,7 @@ def test_mixed_documents_are_the_copies_of_the_mix(spark, monkeypatch, broadcast
     assert mixed.columns == docs.columns
     size = lambda t: len(t.split())
     got = sorted(repr((r["doc_id"], r["source"], size(r["text"]))) for r in mixed.collect())
-    want = [(r["doc_id"], r["source"], r["size"], r["copies"]) for r in mixing.mix(docs, cut=False).collect()]
+    want = [(r["doc_id"], r["source"], r["size"], r["copies"]) for r in mixing.mix(docs, packet=None).collect()]
     assert got == sorted(repr(w[:3]) for w in want for _ in range(w[3]))
 
 

@@ -434,3 +434,28 @@ def test_formula_evaluation_keeps_all_rows_in_the_denominator(spark):
     )
     row = eq.formula_evaluation(df).first()
     assert row.rows == 2 and row.LE == 0.5 and 0 < row.bleu < 1
+
+
+def _broadcast_joins(df):
+    return [line for line in df._jdf.queryExecution().sparkPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+
+
+def test_rows_of_pairs_are_never_broadcast(spark):
+    # Short rows make long ones: Spark takes all these tables to be small. Only hashes of hot keys may be broadcast.
+    pairs = spark.range(40).selectExpr("id as pair_id", "'A(x) ∧ B(x)' as gold", "'B(x) ∧ A(x)' as pred", "id div 16 as batch_id")
+    read = eq.read_formulas(pairs)
+    names = spark.createDataFrame([("A(x)", [1.0, 0.0]), ("B(x)", [0.0, 1.0])], "literal string, embedding array<double>")
+    sim = eq.formula_similarity(read, vectors=names)
+    for df in (eq.logical_equivalence(read, sim), eq.logical_equivalence(read, sim, threshold=0.6), eq.formula_reward(read, sim)):
+        assert all("_hash" in line for line in _broadcast_joins(df))
+    scored = read.join(eq.logical_equivalence(read, sim).select("pair_id", "score").hint("merge"), "pair_id")
+    assert eq.formula_evaluation(scored).select("rows", "LE").collect() == [(40, 1.0)]
+
+
+def test_similarity_meets_in_the_row_as_by_join(spark):
+    pairs = spark.createDataFrame([(1, "A(x) ∧ B(x)", "B(x) ∨ C(x)"), (2, "A(x)", "A(x) ∧"), (3, "", "A(x)")], "pair_id long, gold string, pred string")
+    names = spark.createDataFrame([("A(x)", [1.0, 0.0]), ("B(x)", [0.6, 0.8])], "literal string, embedding array<double>")
+    columns = ["pair_id", "gold_pos", "gold", "pred_pos", "pred", "similarity"]
+    found = [eq.formula_similarity(p, vectors=names).select(columns) for p in (pairs, eq.read_formulas(pairs))]
+    assert sorted(map(str, found[0].collect())) == sorted(map(str, found[1].collect()))
+    assert found[1].count() == 5

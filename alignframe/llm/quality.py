@@ -2,7 +2,8 @@
 
 A document's score is a linear function of shape features of its text: shares of kinds of characters, lengths and repetition of
 words and lines. It is learned from preference pairs, a document of label 1 over one of label 0: the logistic loss of the
-difference of their features. The threshold is the quantile of the training scores below which the share of label 0
+difference of their features. All labelled documents that are not held out take part: Spark deals them into blocks, and in
+a block every document of label 1 is preferred to every one of label 0. The threshold is the quantile of the training scores below which the share of label 0
 lies; scores are mapped to 0..1 so that the threshold becomes ``THRESHOLD``.
 
 Null and empty texts have features of their own (no character, no word) and a defined score. Without pairs every text scores
@@ -11,7 +12,7 @@ Null and empty texts have features of their own (no character, no word) and a de
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -19,13 +20,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from alignframe.llm.labelled import ROWS_PER_LABEL, training_rows
+from alignframe.llm.common import small_batches, stored
+from alignframe.llm.labelled import training_values
+from alignframe.operators.ranking import group_quantile
 
 THRESHOLD = 0.3
 NO_EVIDENCE = 0.5
-PAIRS = 50_000
-STEPS = 400
+# Rows of a block, and the least of a label that a block is meant to have.
+BLOCK_ROWS = 128
+LEAST_ROWS = 16
+STEPS = 30
+TOLERANCE = 1e-6
 RIDGE = 1e-3
 
 _MARKS = np.zeros(256, dtype=bool)
@@ -81,47 +88,128 @@ def _matrix(texts) -> np.ndarray:
     return np.array([text_features(t) for t in texts]).reshape(len(texts), -1)
 
 
-def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = [(d, int(y), text_features(t)) for d, t, y in zip(batch["doc_id"], batch["text"], batch["y"], strict=True)]
-        yield pd.DataFrame(rows, columns=["doc_id", "y", "x"])
+@F.pandas_udf(BinaryType())
+def _packed(texts: pd.Series) -> pd.Series:
+    """The features of texts as little-endian doubles."""
+    return pd.Series([row.astype("<f8").tobytes() for row in _matrix(texts.tolist())], dtype=object)
+
 
+def _unpacked(rows) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), dtype="<f8").reshape(len(rows), -1)
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_LABEL, pairs: int = PAIRS, key: str = "doc_id",
-        text: str = "text") -> Model:
-    """Fit on at most ``rows`` labelled documents per label; the driver gets their feature vectors, a bounded table."""
-    sample, stands_for = training_rows(docs, labels, "quality", rows, key, text)
-    table = sample.mapInPandas(_encode, "doc_id bigint, y int, x array<double>").toPandas()
-    if table["y"].nunique() < 2:
+
+def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows, means and summed squares about them of each batch."""
+    for batch in batches:
+        if len(batch):
+            x = _unpacked(batch["value"])
+            yield pd.DataFrame({"n": [len(x)], "mean": [x.mean(axis=0)], "squares": [((x - x.mean(axis=0)) ** 2).sum(axis=0)]})
+
+
+def _deviations(rows: DataFrame) -> np.ndarray:
+    parts = rows.select("value").mapInPandas(_moments, "n bigint, mean array<double>, squares array<double>").toPandas()
+    n, mean = parts["n"].to_numpy()[:, None], np.array(parts["mean"].tolist())
+    about = (n * mean).sum(axis=0) / n.sum()
+    squares = np.array(parts["squares"].tolist()) + n * (mean - about) ** 2
+    return np.sqrt(squares.sum(axis=0) / n.sum())
+
+
+def _blocks(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """``good, bad``: every training row in a block of some ``BLOCK_ROWS``, in which each good row is preferred to each bad one.
+
+    Rows are dealt by the hash of their id. Where a label is rare its rows go to as many blocks as it takes to give
+    each ``LEAST_ROWS`` of them, so that every row of the other label has partners; the copies are few next to all rows.
+    """
+    blocks = -(-sum(counts.values()) // BLOCK_ROWS)
+    copies = {y: min(blocks, -(-LEAST_ROWS * blocks // n)) for y, n in counts.items()}
+    first = F.pmod(F.xxhash64("doc_id"), F.lit(blocks))
+    last = first + F.when(F.col("y") == 1, copies[1] - 1).otherwise(copies[0] - 1)
+    dealt = rows.select("y", "value", F.explode(F.sequence(first, last)).alias("_at")).withColumn("_at", F.col("_at") % blocks)
+    of = lambda y: F.sort_array(F.collect_list(F.when(F.col("y") == y, F.col("value"))))
+    return stored(dealt.groupBy("_at").agg(of(1).alias("good"), of(0).alias("bad")).drop("_at"), "blocks")
+
+
+def _slopes(good: np.ndarray, bad: np.ndarray, w: np.ndarray) -> tuple[int, float, np.ndarray, np.ndarray]:
+    """Number of pairs of a good and a bad row, and summed over them the logistic loss of the lead and its two derivatives."""
+    lead = np.clip((good @ w)[:, None] - (bad @ w)[None, :], -60, 60)
+    lost = 1 / (1 + np.exp(lead))
+    bend = lost * (1 - lost)
+    grad = bad.T @ lost.sum(axis=0) - good.T @ lost.sum(axis=1)
+    cross = good.T @ bend @ bad
+    hess = (good.T * bend.sum(axis=1)) @ good + (bad.T * bend.sum(axis=0)) @ bad - cross - cross.T
+    return lead.size, float(np.log1p(np.exp(-lead)).sum()), grad, hess
+
+
+def _summed(blocks: DataFrame, spread: np.ndarray, w: np.ndarray) -> tuple[int, float, np.ndarray, np.ndarray]:
+    """``_slopes`` of all blocks; a task sends one row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, loss, grad, hess = 0, 0.0, np.zeros(len(w)), np.zeros((len(w), len(w)))
+        for batch in batches:
+            for good, bad in zip(batch["good"], batch["bad"], strict=True):
+                if len(good) and len(bad):
+                    part = _slopes(_unpacked(good) / spread, _unpacked(bad) / spread, w)
+                    n, loss, grad, hess = n + part[0], loss + part[1], grad + part[2], hess + part[3]
+        yield pd.DataFrame({"n": [n], "loss": [loss], "grad": [grad], "hess": [hess.ravel()]})
+
+    kinds = "n bigint, loss double, grad array<double>, hess array<double>"
+    parts = blocks.mapInPandas(run, kinds).groupBy().agg(
+        F.sum("n").alias("n"), F.sum("loss").alias("loss"),
+        *[F.array_agg(c).alias(c) for c in ("grad", "hess")],
+    ).first()
+    return parts["n"], parts["loss"], np.sum(parts["grad"], axis=0), np.sum(parts["hess"], axis=0).reshape(len(w), len(w))
+
+
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
+    """Fit on all labelled documents that are not held out. Features stay in the tasks; the driver gets sums and the threshold."""
+    rows = training_values(docs, labels, "quality", _packed(F.col(text)), key, text)
+    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(counts) < 2:
         return Model()
-    table = table.assign(order=table["x"].map(tuple)).sort_values(["doc_id", "order"], kind="stable")
-    x, y = np.array(table["x"].tolist()), table["y"].to_numpy()
-    spread = x.std(axis=0)
-    x = x / np.where(spread > 0, spread, 1.0)
-    rng = np.random.default_rng(0)
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    # Preference pairs drawn from the sample, as many whatever the input.
-    difference = x[rng.choice(good, pairs)] - x[rng.choice(bad, pairs)]
-    w = _descend(difference)
-    strength = x @ w
-    order = np.argsort(strength, kind="stable")
-    mass = np.cumsum(np.array([stands_for[v] for v in y])[order])
-    below = int(np.searchsorted(mass, mass[-1] * stands_for[0] * len(bad) / mass[-1], side="left"))
-    at = strength[order]
-    offset = (at[min(below, len(at) - 1)] + at[min(below + 1, len(at) - 1)]) / 2
-    return Model(w / np.where(spread > 0, spread, 1.0), float(offset), float(max(np.abs(strength - offset).mean() / 4, 1e-6)))
+    spread = _deviations(rows)
+    spread = np.where(spread > 0, spread, 1.0)
+    small_batches(docs.sparkSession)
+    blocks = _blocks(rows, counts)
+    w = _minimum(lambda at: _summed(blocks, spread, at), len(spread)) / spread
+
+    @F.pandas_udf("double")
+    def strength(values: pd.Series) -> pd.Series:
+        return pd.Series((_unpacked(values) * w).sum(axis=1))
+
+    strengths = stored(rows.select(F.lit(0).alias("all"), strength("value").alias("strength")), "strengths")
+    # Halfway between the two strengths that part the share of label 0 from the rest.
+    share = (counts[0] - 0.5) / (sum(counts.values()) - 1)
+    offset = group_quantile(strengths, "all", "strength", share, "offset").first()["offset"]
+    away = strengths.agg(F.avg(F.abs(F.col("strength") - offset))).first()[0]
+    return Model(w, float(offset), float(max(away / 4, 1e-6)))
+
+
+def _minimum(slopes: Callable[[np.ndarray], tuple], width: int) -> np.ndarray:
+    """Where the mean loss of all pairs plus the ridge is least, by Newton steps, halved while they would raise it."""
+
+    def at(w: np.ndarray):
+        n, loss, grad, hess = slopes(w)
+        return loss / n + RIDGE / 2 * (w @ w), grad / n + RIDGE * w, hess / n + RIDGE * np.eye(width)
+
+    w = np.zeros(width)
+    loss, grad, hess = at(w)
+    for _ in range(STEPS):
+        step = np.linalg.solve(hess, grad)
+        found = at(w - step)
+        while found[0] > loss and np.abs(step).max() > TOLERANCE:
+            step = step / 2
+            found = at(w - step)
+        if found[0] > loss:
+            break
+        w, (loss, grad, hess) = w - step, found
+        if np.abs(step).max() <= TOLERANCE:
+            break
+    return w
 
 
 def _descend(difference: np.ndarray) -> np.ndarray:
-    """Logistic loss of the preferred document's lead, by Adam over all pairs."""
-    w = np.zeros(difference.shape[1])
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, STEPS + 1):
-        lead = np.clip(difference @ w, -60, 60)
-        grad = -(difference * (1 / (1 + np.exp(lead)))[:, None]).mean(axis=0) + RIDGE * w
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return w
+    """The weights for pairs that are given by the difference of their features."""
+    return _minimum(lambda w: _slopes(difference, np.zeros((1, difference.shape[1])), w), difference.shape[1])
 
 
 def score(text: Column, model: Model) -> Column:

@@ -76,3 +76,20 @@ def test_repeated_ids_take_part_once(spark):
     # Missing texts and no rows at all.
     assert labelled.training_rows(docs.selectExpr("doc_id", "cast(null as string) text"), labels, "toxic", 20)[0].where("text is null").count() == 40
     assert labelled.training_rows(docs.limit(0), labels, "toxic", 20)[0].count() == 0
+
+
+def test_quality_learns_from_every_labelled_document(spark):
+    docs = spark.range(20_000).selectExpr("id as doc_id", "repeat(concat('word', id % 7, ' '), 3 + id % 5) as text")
+    # All rows of label 0 but a few are alike; what tells those few is known only to who has read them all.
+    rare = "doc_id % 1000 = 501"
+    docs = docs.selectExpr("doc_id", f"case when {rare} then '# # # #' else text end as text")
+    labels = docs.selectExpr("doc_id", f"case when {rare} then 0 else 1 end as quality")
+    rows = labelled.training_values(docs, labels, "quality", quality._packed("text"))
+    held = labelled.crc_mod(docs["doc_id"], 5) != 0
+    assert rows.count() == docs.where(held).count() > 2 * labelled.ROWS_PER_LABEL - 1000
+    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    blocks = quality._blocks(rows, counts).collect()
+    assert sum(len(b["good"]) for b in blocks) == counts[1] and all(b["bad"] for b in blocks)
+    model = quality.fit(docs, labels)
+    scores = {r["bad"]: r["s"] for r in docs.selectExpr("*", f"{rare} as bad").select("bad", quality.score(docs["text"], model).alias("s")).distinct().collect()}
+    assert scores[True] < quality.THRESHOLD <= scores[False]

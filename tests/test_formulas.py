@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from alignframe.functions import logic
 from alignframe.operators import equivalence as eq
+from alignframe.plans import fixtures as fx
 
 OPS = {
     "∧": lambda a, b: a and b,
@@ -459,3 +460,14 @@ def test_similarity_meets_in_the_row_as_by_join(spark):
     found = [eq.formula_similarity(p, vectors=names).select(columns) for p in (pairs, eq.read_formulas(pairs))]
     assert sorted(map(str, found[0].collect())) == sorted(map(str, found[1].collect()))
     assert found[1].count() == 5
+
+
+def test_parts_are_dealt_before_formulas_are_read(spark, tiny):
+    # One short file is one task, which would read all formulas.
+    assert fx.formula_pairs(spark, tiny).rdd.getNumPartitions() == 4
+    read = eq.read_literals(fx.formula_pairs(spark, tiny), "pred", "gold")
+    for column in ("pred", "gold"):
+        lists = [eq.formula_literals(df, "pair_id", column) for df in (read, fx.formula_pairs(spark, tiny))]
+        assert sorted(lists[0].collect()) == sorted(lists[1].collect())
+    # Literals that are read already are not read again.
+    assert "regexp" not in eq.formula_literals(read, "pair_id", "pred")._jdf.queryExecution().optimizedPlan().toString()

@@ -471,3 +471,14 @@ def test_parts_are_dealt_before_formulas_are_read(spark, tiny):
         assert sorted(lists[0].collect()) == sorted(lists[1].collect())
     # Literals that are read already are not read again.
     assert "regexp" not in eq.formula_literals(read, "pair_id", "pred")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_preference_reward_takes_no_formula_along_with_rows(spark):
+    completions = spark.createDataFrame([(1, "a", "r"), (2, "a", "r"), (3, "b", "r"), (4, None, "r"), (5, "a", None), (6, "no", "r")], "id long, completion string, reference string")
+    formulas = spark.createDataFrame([("a", "A(x)"), ("b", "¬A(x)"), ("b", "A(x)"), ("r", "A(x)")], "text string, formula string")
+    rewarded = eq.preference_reward(completions, formulas, method="edit")
+    plan = rewarded._jdf.queryExecution().optimizedPlan().toString()
+    assert "_pred" not in plan and "_gold" not in plan
+    # A text with two formulas gives two rows, as a join does.
+    got = sorted(map(tuple, rewarded.select("id", "reward").collect()), key=str)
+    assert got == [(1, 1.0), (2, 1.0), (3, 0.0), (3, 1.0), (4, None), (5, None), (6, None)]

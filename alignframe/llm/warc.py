@@ -29,11 +29,14 @@ from alignframe.llm.common import stored, tasks, write_file
 from alignframe.session import fresh_path
 
 FILE_BYTES = 32 << 20
+# Packed bytes that the reader takes at a time.
+PIECE_BYTES = 4 << 10
 # Index lines that a range holds, about: some hundred megabytes of a worker.
 RANGE_LINES = 1 << 18
 # The WARC profile of a revisit with the same payload, and the end of headers and records.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _EOL, _END = b"\r\n", b"\r\n\r\n"
+_PRINTED = "".join(map(chr, range(33, 127)))
 
 INDEX = "run string, place bigint, url_key string, captured bigint, page_id bigint, offset bigint, length bigint, record_type string"
 
@@ -74,7 +77,7 @@ def record(page_id: int | None, url: str | None, captured: int, payload: bytes,
     if page_id is not None:
         head.append(f"WARC-Record-ID: {page_urn(page_id)}")
     if url:
-        head.append(f"WARC-Target-URI: {quote(url, safe=''.join(chr(c) for c in range(33, 127)))}")
+        head.append(f"WARC-Target-URI: {quote(url, safe=_PRINTED)}")
     if revisit:
         head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {page_urn(refers_to)}"]
     else:
@@ -85,16 +88,21 @@ def record(page_id: int | None, url: str | None, captured: int, payload: bytes,
 
 
 def records(blob: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """``offset, headers, block`` of every record of an archive."""
-    at = 0
+    """``offset, headers, block`` of every record of an archive.
+
+    A member is unpacked from pieces of ``PIECE_BYTES``: what follows it in its last piece is copied, not the rest of the archive.
+    """
+    at, whole = 0, memoryview(blob)
     while at < len(blob):
-        unpacker = zlib.decompressobj(31)
-        raw = unpacker.decompress(memoryview(blob)[at:])
-        head, _, rest = raw.partition(_END)
+        unpacker, upto, parts = zlib.decompressobj(31), at, []
+        while not unpacker.eof and upto < len(blob):
+            parts.append(unpacker.decompress(whole[upto : upto + PIECE_BYTES]))
+            upto = min(upto + PIECE_BYTES, len(blob))
+        head, _, rest = b"".join(parts).partition(_END)
         lines = head.decode().split("\r\n")
         headers = dict(line.split(": ", 1) for line in lines[1:])
         yield at, headers, rest[: int(headers["Content-Length"])]
-        at = len(blob) - len(unpacker.unused_data)
+        at = upto - len(unpacker.unused_data)
 
 
 def first_responses(pages: DataFrame) -> DataFrame:

@@ -31,6 +31,8 @@ NO_EVIDENCE = 0.5
 # Rows of a block, and the least of a label that a block is meant to have.
 BLOCK_ROWS = 128
 LEAST_ROWS = 16
+# Tasks that a step of the fit has for every core.
+TASKS_PER_CORE = 4
 STEPS = 30
 TOLERANCE = 1e-6
 RIDGE = 1e-3
@@ -98,20 +100,47 @@ def _unpacked(rows) -> np.ndarray:
     return np.frombuffer(b"".join(rows), dtype="<f8").reshape(len(rows), -1)
 
 
-def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows, means and summed squares about them of each batch."""
+def _task_sums(rows: DataFrame, summed: Callable[[Iterator[pd.DataFrame]], Iterator[list]]) -> list[np.ndarray]:
+    """What ``summed`` makes of the rows of each task, one vector per task that has any.
+
+    The driver gets them as packed bytes from a single stage. Tasks take several files each, so that vectors grow in number
+    with the cores and not with the table; batches stream through a task, whatever it reads.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for sums in summed(batches):
+            yield pd.DataFrame({"sums": [np.concatenate([np.ravel(x) for x in sums]).astype("<f8").tobytes()]})
+
+    few = rows.coalesce(TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism)
+    parts = few.mapInPandas(run, "sums binary").toArrow()
+    return [np.frombuffer(x, dtype="<f8") for x in parts.column("sums").to_pylist()]
+
+
+def _together(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows per label, means and summed squares about them of several parts as those of all their rows."""
+    counts, means, squares = (np.array(x) for x in zip(*parts, strict=True))
+    n = counts.sum(axis=1)[:, None]
+    mean = (n * means).sum(axis=0) / n.sum()
+    return counts.sum(axis=0), mean, (squares + n * (means - mean) ** 2).sum(axis=0)
+
+
+def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    so_far = []
     for batch in batches:
         if len(batch):
             x = _unpacked(batch["value"])
-            yield pd.DataFrame({"n": [len(x)], "mean": [x.mean(axis=0)], "squares": [((x - x.mean(axis=0)) ** 2).sum(axis=0)]})
+            mean, counts = x.mean(axis=0), np.bincount(batch["y"], minlength=2)
+            so_far = [_together([*so_far, (counts, mean, ((x - mean) ** 2).sum(axis=0))])]
+    yield from so_far
 
 
-def _deviations(rows: DataFrame) -> np.ndarray:
-    parts = rows.select("value").mapInPandas(_moments, "n bigint, mean array<double>, squares array<double>").toPandas()
-    n, mean = parts["n"].to_numpy()[:, None], np.array(parts["mean"].tolist())
-    about = (n * mean).sum(axis=0) / n.sum()
-    squares = np.array(parts["squares"].tolist()) + n * (mean - about) ** 2
-    return np.sqrt(squares.sum(axis=0) / n.sum())
+def _counts_and_deviations(rows: DataFrame) -> tuple[dict[int, int], np.ndarray]:
+    """How many training rows each label has, and the standard deviation of every feature."""
+    parts = [(x[:2], *np.split(x[2:], 2)) for x in _task_sums(rows.select("y", "value"), _moments)]
+    if not parts:
+        return {}, np.zeros(0)
+    counts, _, squares = _together(parts)
+    return {y: int(n) for y, n in enumerate(counts) if n}, np.sqrt(squares / counts.sum())
 
 
 def _blocks(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
@@ -143,30 +172,26 @@ def _slopes(good: np.ndarray, bad: np.ndarray, w: np.ndarray) -> tuple[int, floa
 def _summed(blocks: DataFrame, spread: np.ndarray, w: np.ndarray) -> tuple[int, float, np.ndarray, np.ndarray]:
     """``_slopes`` of all blocks; a task sends one row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         n, loss, grad, hess = 0, 0.0, np.zeros(len(w)), np.zeros((len(w), len(w)))
         for batch in batches:
             for good, bad in zip(batch["good"], batch["bad"], strict=True):
                 if len(good) and len(bad):
                     part = _slopes(_unpacked(good) / spread, _unpacked(bad) / spread, w)
                     n, loss, grad, hess = n + part[0], loss + part[1], grad + part[2], hess + part[3]
-        yield pd.DataFrame({"n": [n], "loss": [loss], "grad": [grad], "hess": [hess.ravel()]})
+        if n:
+            yield n, loss, grad, hess
 
-    kinds = "n bigint, loss double, grad array<double>, hess array<double>"
-    parts = blocks.mapInPandas(run, kinds).groupBy().agg(
-        F.sum("n").alias("n"), F.sum("loss").alias("loss"),
-        *[F.array_agg(c).alias(c) for c in ("grad", "hess")],
-    ).first()
-    return parts["n"], parts["loss"], np.sum(parts["grad"], axis=0), np.sum(parts["hess"], axis=0).reshape(len(w), len(w))
+    total = np.sum(_task_sums(blocks, run), axis=0)
+    return int(total[0]), float(total[1]), total[2 : 2 + len(w)], total[2 + len(w) :].reshape(len(w), len(w))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     """Fit on all labelled documents that are not held out. Features stay in the tasks; the driver gets sums and the threshold."""
     rows = training_values(docs, labels, "quality", _packed(F.col(text)), key, text)
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts, spread = _counts_and_deviations(rows)
     if len(counts) < 2:
         return Model()
-    spread = _deviations(rows)
     spread = np.where(spread > 0, spread, 1.0)
     small_batches(docs.sparkSession)
     blocks = _blocks(rows, counts)

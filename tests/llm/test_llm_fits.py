@@ -93,3 +93,25 @@ def test_quality_learns_from_every_labelled_document(spark):
     model = quality.fit(docs, labels)
     scores = {r["bad"]: r["s"] for r in docs.selectExpr("*", f"{rare} as bad").select("bad", quality.score(docs["text"], model).alias("s")).distinct().collect()}
     assert scores[True] < quality.THRESHOLD <= scores[False]
+
+
+def test_sums_of_the_fit_reach_the_driver_once_a_task(spark):
+    rows = spark.range(4000).selectExpr(
+        "cast(id % 3 <> 0 as int) y", "id as doc_id", "concat(repeat('word ', cast(1 + id % 9 as int)), repeat('#', cast(id % 7 as int))) as text"
+    ).select("doc_id", "y", quality._packed("text").alias("value"))
+    x = quality._unpacked([r["value"] for r in rows.collect()])
+    counts, deviations = quality._counts_and_deviations(rows.repartition(90))
+    assert counts == {0: 1334, 1: 2666} and np.allclose(deviations, x.std(axis=0), rtol=1e-9, atol=1e-12)
+    assert quality._counts_and_deviations(rows.limit(0))[0] == {}
+    assert quality._counts_and_deviations(rows.where("y = 1"))[0] == {1: 2666}
+
+    blocks = quality._blocks(rows, counts).repartition(90)
+    spread, w = np.where(deviations > 0, deviations, 1.0), np.linspace(-0.2, 0.3, x.shape[1])
+    found = quality._summed(blocks, spread, w)
+    want = [quality._slopes(quality._unpacked(b["good"]) / spread, quality._unpacked(b["bad"]) / spread, w) for b in blocks.collect()]
+    assert found[0] == sum(p[0] for p in want)
+    for i in (1, 2, 3):
+        assert np.allclose(found[i], sum(p[i] for p in want), rtol=1e-9)
+    # What the driver gets follows the cores, not the partitions or the batches.
+    most = quality.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert most < 90 and 0 < len(quality._task_sums(rows.repartition(90), quality._moments)) <= most
